@@ -67,7 +67,8 @@ def with_numpy(df: DataFrame, name: str, kind: str, columns: Sequence[str], of:
 
 def collected(df: DataFrame, columns: Sequence[str], limit: int, order: str = "id") -> list[np.ndarray]:
     """Columns as arrays on the driver, in the order of `order`; an error beyond `limit` rows, for methods that need all pairs of rows."""
-    rows = df.select(order, *columns).limit(limit + 1).toArrow() if limit else df.select(order, *columns).toArrow()
+    rows = df.select(*dict.fromkeys([order, *columns]))
+    rows = (rows.limit(limit + 1) if limit else rows).toArrow()
     if limit and rows.num_rows > limit:
         raise ValueError(f"this method holds all pairs of rows; it takes {limit} at most, or sample first")
     rows = rows.sort_by(order)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from math import log
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,8 +52,6 @@ class FeatureHasher(Estimator, Transformer):
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
-        import pandas as pd
-
         n, signed = self.n_features, self.alternate_sign
 
         @F.pandas_udf("array<double>")
