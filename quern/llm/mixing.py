@@ -198,8 +198,11 @@ def mixed_documents(df: DataFrame, spark: SparkSession, block: int = BLOCK, shar
     `text` is the whole text where the pass takes all of it, else the words taken, blank-joined; n_chars, where df has
     it, is counted anew. Documents without words are left out, as the mix takes nothing of them.
     """
-    rows = saved(df.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")).withColumn("row", F.monotonically_increasing_id()), spark, "mix-rows")
-    small = rows.select("doc_id", "source", "size", "row")
+    # Columns go by numbers meanwhile, as df's own names may be those used here.
+    own = df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+    doc_id, source, text = (F.col(f"c{df.columns.index(n)}") for n in ("doc_id", "source", "text"))
+    rows = saved(own.withColumn("size", F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")).withColumn("row", F.monotonically_increasing_id()), spark, "mix-rows")
+    small = rows.select(doc_id.alias("doc_id"), source.alias("source"), "size", "row")
     names, made = plan(small, block, shards, seed)
     if not names:
         return df.limit(0)
@@ -210,13 +213,14 @@ def mixed_documents(df: DataFrame, spark: SparkSession, block: int = BLOCK, shar
     taken = spans.groupBy("row", "pass").agg(F.array_sort(F.collect_list(F.struct("first", "end"))).alias("spans"), F.sum(F.col("end") - F.col("first")).alias("words"))
     whole = rows.join(taken, "row")
     names_out = df.columns
-    at = {n: k for k, n in enumerate(whole.columns)}
+    at = {n: whole.columns.index(f"c{k}") for k, n in enumerate(names_out)}
+    text_at, size_at, words_at, spans_at = at["text"], *(whole.columns.index(n) for n in ("size", "words", "spans"))
     schema = df.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, size, words, spans in zip(*(batch.column(at[n]).to_pylist() for n in ("text", "size", "words", "spans")), strict=True):
+            for text, size, words, spans in zip(*(batch.column(k).to_pylist() for k in (text_at, size_at, words_at, spans_at)), strict=True):
                 if words < size:
                     each = text.encode().split()
                     text = b" ".join(w for s in spans for w in each[s["first"] : s["end"]]).decode()

@@ -176,12 +176,12 @@ def one_of_each(df: DataFrame, spark: SparkSession) -> DataFrame:
     """
     found = near_duplicates(df, spark)
     keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = df.join(keep.withColumnRenamed("doc_id", "_keep"), F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
+    kept = df.join(keep.withColumnRenamed("doc_id", "__kept_id"), F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi")
     again = kept.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
     if not again:
         return kept
     order = W.partitionBy("doc_id").orderBy(*[F.xxhash64(c) for c in df.columns])
-    return kept.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+    return kept.withColumn("__place", F.row_number().over(order)).filter("__place = 1").drop("__place")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
