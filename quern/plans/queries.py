@@ -348,3 +348,40 @@ def libsvm_round_trip(spark, d):
     path = f"{base}/libsvm-{uuid.uuid4().hex}"
     libsvm.dump_libsvm_file(lines(spark, d), path)
     return libsvm.load_libsvm_file(spark, path, integers=True).groupBy("label").agg(F.count("*").alias("n"), F.round(F.sum(F.col("features")[0]), 2).alias("total"))
+
+
+# ---- calibration, draws, validation, streams
+
+
+@register("fit_sigmoid")
+def fit_sigmoid(spark, d):
+    """Platt's calibration of one feature against half of the classes."""
+    from quern.operators.base import platt
+
+    df = vectors(spark, d).select(F.col("features")[0].alias("f"), F.when(F.col("label") >= 5, 1).otherwise(-1).alias("y"))
+    return spark.createDataFrame([tuple(float(v) for v in platt(df, "f", "y"))], "alpha double, beta double")
+
+
+register("rand_uniform")(lambda spark, d: generators.rand_uniform(table(spark, d, "part").select(F.col("p_partkey").alias("id")), "u", 3))
+register("rand_normal")(lambda spark, d: generators.rand_normal(table(spark, d, "part").select(F.col("p_partkey").alias("id")), "z", 3))
+register("silhouette_samples")(lambda spark, d: metrics.silhouette_samples(vectors(spark, d)).select("id", F.round("silhouette", 5).alias("silhouette")))
+register("estimator_accuracy", CL + "q AS (SELECT y AS c, count(*)::DOUBLE AS k, " + ", ".join(f"avg({x}) AS m{j}, var_samp({x}) AS v{j}" for j, x in enumerate(X)) + " FROM li GROUP BY y), s AS (SELECT rid, y, c, ln(k / n) - 0.5 * (" + " + ".join(f"ln(2 * pi() * v{j}) + pow({x} - m{j}, 2) / v{j}" for j, x in enumerate(X)) + ") AS s FROM li, q, t), b AS (SELECT y, c, row_number() OVER (PARTITION BY rid ORDER BY s DESC, c) AS r FROM s) SELECT round(avg((y = c)::INTEGER), 6) AS score FROM b WHERE r = 1")(
+    lambda spark, d: one(metrics.accuracy(bayes.GaussianNB().fit(df := lines(spark, d).drop("prediction")).predict(df)))
+)
+
+
+@register("stream_mini_batch_k_means")
+def stream_mini_batch_k_means(spark, d):
+    """Centres learnt from the embeddings table read as a stream, one partial_fit a micro-batch."""
+    import tempfile
+    import uuid
+
+    from quern.streaming.partial import learn
+
+    model = clustering.MiniBatchKMeans(4, random_seed=1)
+    schema = table(spark, d, "embeddings").schema
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "embeddings*.parquet").parquet(d)
+    rows = stream.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("features"))
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quern-")
+    learn(rows, model, f"{base}/stream-{uuid.uuid4().hex}").trigger(availableNow=True).start().awaitTermination()
+    return spark.createDataFrame([(k, [float(v) for v in c]) for k, c in enumerate(model.cluster_centers)], "cluster int, centre array<double>")
