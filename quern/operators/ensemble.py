@@ -96,12 +96,12 @@ class AdaBoostClassifier(_TreeClassifier):
                 return w * np.exp(-(k - 1) / k * (code * np.log(p)).sum(1))
 
             def missed(x, y, w, tables=tables, values=values):
-                return np.array([(w * (known[values[tables.route(x, 0)].argmax(1)] != y)).sum(), weighed(x, y, w).sum()])
+                return np.array([(w * (known[values[tables.route(x, 0)].argmax(1)] != y)).sum(), weighed(x, y, w).sum(), len(x)])
 
-            error, total = sums(rows, ["features", "label", "_w"], missed)
+            error, total, n = sums(rows, ["features", "label", "_w"], missed)
             if error <= 0 or turn == self.n_estimators - 1:
                 break
-            new = with_numpy(rows, "_w", "double", ["features", "label", "_w"], lambda x, y, w: weighed(x, y, w) / total).persist()
+            new = with_numpy(rows, "_w", "double", ["features", "label", "_w"], lambda x, y, w: weighed(x, y, w) * n / total).persist()
             new.count()
             rows.unpersist()
             rows = new
@@ -151,13 +151,13 @@ class AdaBoostRegressor(_TreeRegressor):
                 with np.errstate(divide="ignore", invalid="ignore"):
                     return np.abs((values[tables.route(x, 0)] - y) / y) > self.threshold
 
-            error, total = sums(rows, ["features", "target", "_w"], lambda x, y, w: np.array([(w * off(x, y)).sum(), w.sum()]))
+            error, total, n = sums(rows, ["features", "target", "_w"], lambda x, y, w: np.array([(w * off(x, y)).sum(), w.sum(), len(x)]))
             share = min(max(error / total, 1e-12), 1 - 1e-12)
             beta = share**self.exponent
             self.estimator_weights.append(math.log(1 / beta))
             if error <= 0 or turn == self.n_estimators - 1:
                 break
-            new = with_numpy(rows, "_w", "double", ["features", "target", "_w"], lambda x, y, w: np.where(off(x, y), w, w * beta) / total * 1.0).persist()
+            new = with_numpy(rows, "_w", "double", ["features", "target", "_w"], lambda x, y, w: np.where(off(x, y), w, w * beta) * n / (error + (total - error) * beta)).persist()
             new.count()
             rows.unpersist()
             rows = new

@@ -186,7 +186,7 @@ class Grower:
         full = self.max_depth is not None and node.depth >= self.max_depth
         leaves = sum(1 for n in nodes if n.left < 0)
         full |= self.max_leaf_nodes is not None and leaves >= self.max_leaf_nodes
-        pure = self.criterion != "gradient" and node.impurity <= 1e-12
+        pure = (total > 1e-12).sum() <= 1 if self.criterion in ("gini", "entropy") else self.criterion != "gradient" and node.impurity <= 1e-12
         if full or pure or node.n_samples <= self.min_samples_leaf:
             node.leaf = True
             return
