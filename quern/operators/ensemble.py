@@ -270,6 +270,11 @@ class GradientBoostingRegressor(_Boosting, Regressor):
         return with_numpy(samples(df), "prediction", "double", ["features"], lambda x: self._margin(x, 0))
 
 
+def _times(column: str, w: float) -> F.Column:
+    """An array times a number; a second parameter of the function would be the element's place."""
+    return F.transform(column, lambda v: v * w)
+
+
 class VotingClassifier(Estimator, Classifier):
     """Weighted votes of predictions (hard) or of probabilities (soft)."""
 
@@ -295,7 +300,7 @@ class VotingClassifier(Estimator, Classifier):
                 own = F.array(*[F.when(F.col(f"_p{i}") == c, w).otherwise(0.0) for c in self.classes])
             else:
                 out = e.predict_proba(out).withColumnRenamed("probability", f"_p{i}")
-                own = F.transform(f"_p{i}", lambda v, w=w: v * w)
+                own = _times(f"_p{i}", w)
             total = F.zip_with(total, own, lambda a, b: a + b)
         return out.withColumn("decision", total).drop(*[f"_p{i}" for i in range(len(self.estimators))])
 
@@ -325,7 +330,7 @@ class VotingRegressor(Estimator, Regressor):
         if dict(out.dtypes)["_p0"].startswith("array"):
             total = F.transform("_p0", lambda v: v * 0.0)
             for c, w in parts:
-                total = F.zip_with(total, F.col(c), lambda a, b, w=w: a + b * w / whole)
+                total = F.zip_with(total, _times(c, w / whole), lambda a, b: a + b)
         else:
             total = sum((F.col(c) * w for c, w in parts), F.lit(0.0)) / whole
         return out.withColumn("prediction", total).drop(*[c for c, _ in parts])
