@@ -185,7 +185,8 @@ def mix(df: DataFrame, spark: SparkSession, block: int = BLOCK, shards: int = SH
     # Slots meet their blocks once counted: how often whole, and for the cut ones how many words are missing at the end.
     uses = slots(spark, made).groupBy("k", "block").agg(F.count("*").alias("uses"), F.max("cut").alias("cut"))
     cut_from = F.least((F.col("block") + 1) * block, F.col("source_size")) - F.col("cut") - F.col("at")
-    found = segments(placed(rows, F.col("row")), sources, block).join(uses, ["k", "block"])
+    # Spark can't know how many rows slots makes of its few tasks; unhinted it would broadcast them.
+    found = segments(placed(rows, F.col("row")), sources, block).join(uses.hint("merge"), ["k", "block"])
     lost = F.greatest(F.lit(0), F.col("end") - F.greatest(F.col("first"), cut_from))
     given = found.groupBy("row").agg(F.sum((F.col("end") - F.col("first")) * F.col("uses") - F.when(F.col("cut") > 0, lost).otherwise(0)).cast("long").alias("taken"))
     out = rows.join(given, "row", "left").join(F.broadcast(sources.withColumnRenamed("source", "_source")), F.col("source").eqNullSafe(F.col("_source")))
@@ -207,7 +208,7 @@ def mixed_documents(df: DataFrame, spark: SparkSession, block: int = BLOCK, shar
     if not names:
         return df.limit(0)
     sources = numbered(spark, names, made)
-    spans = segments(placed(small, F.col("row")), sources, block).join(slots(spark, made).select("k", "pass", "block", "cut"), ["k", "block"])
+    spans = segments(placed(small, F.col("row")), sources, block).join(slots(spark, made).select("k", "pass", "block", "cut").hint("merge"), ["k", "block"])
     stop = F.least((F.col("block") + 1) * block, F.col("source_size")) - F.col("cut") - F.col("at")
     spans = spans.withColumn("end", F.least("end", stop)).filter("end > first")
     taken = spans.groupBy("row", "pass").agg(F.array_sort(F.collect_list(F.struct("first", "end"))).alias("spans"), F.sum(F.col("end") - F.col("first")).alias("words"))
