@@ -93,7 +93,7 @@ class Automaton:
                 if cut and any((rank := cut.get(v)) is not None and rank < consumed and rank <= gone for v, gone in self.left[y]):
                     known = False
                     break
-            if len(self.arcs) > 2_000_000:
+            if len(self.arcs) > 200_000:
                 self.arcs.clear()
             self.arcs[x, y] = known
         return known
@@ -151,7 +151,7 @@ class Automaton:
 class Tokenizer:
     """A vocabulary file's tokenizer around the automaton, with a bounded memory of words."""
 
-    def __init__(self, file: str, remember: int = 400_000):
+    def __init__(self, file: str, remember: int = 200_000):
         spec = json.loads(file)
         model = spec["model"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
@@ -162,69 +162,60 @@ class Tokenizer:
         self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         letters = byte_letters()
         self.letters = {i: x for i, x in enumerate(letters)}
-        self.ids_of: dict[str, str] = {}
-        self.text_of: dict[str, str] = {}
+        #: Pieces of text: their ids, a tab, and the labels that these decode to.
+        self.known: dict[str, str] = {}
         self.remember = remember
 
-    def _learn(self, word: str, spelled: str | None = None) -> tuple[str, str]:
-        """The word's ids and the labels that its ids decode to."""
+    def _learn(self, word: str, spelled: str | None = None) -> str:
+        """A word's ids and the labels that its ids decode to."""
         spelled = spelled or word.encode().decode("latin-1").translate(self.letters)
         auto = self.automaton
         ids = [auto.ids[t] for t in auto.path(spelled)]
-        found = " ".join(map(str, ids)), " ".join(auto.labels[i] for i in ids)
-        self._store(word, found)
-        return found
+        return self._store(word, " ".join(map(str, ids)) + "\t" + " ".join(auto.labels[i] for i in ids))
 
-    def _store(self, word: str, found: tuple[str, str]) -> None:
-        if len(self.ids_of) < self.remember:  # the frequent words come first
-            self.ids_of[word], self.text_of[word] = found
+    def _store(self, word: str, found: str) -> str:
+        if len(self.known) < self.remember and len(word) < 64:  # the frequent ones come first
+            self.known[word] = found
+        return found
 
-    def _plain(self, text: str) -> tuple[list[str], list[str]]:
+    def _plain(self, text: str) -> list[str]:
         """By pieces between blanks, which the pattern never crosses; pieces are remembered whole."""
         pieces = text.lower().split()
-        ids, out = list(map(self.ids_of.get, pieces)), list(map(self.text_of.get, pieces))
-        if None in ids:
-            for k, (piece, known) in enumerate(zip(pieces, ids, strict=True)):
+        found = list(map(self.known.get, pieces))
+        if None in found:
+            for k, (piece, known) in enumerate(zip(pieces, found, strict=True)):
                 if known is None:
-                    ids[k], out[k] = (self.ids_of[piece], self.text_of[piece]) if piece in self.ids_of else self._piece(piece)
-        return ids, out
+                    found[k] = self.known.get(piece) or self._piece(piece)
+        return found
 
-    def _piece(self, piece: str) -> tuple[str, str]:
+    def _piece(self, piece: str) -> str:
         words = self.split.findall(piece)
         if words == [piece]:
             return self._learn(piece)
-        each = [(self.ids_of[w], self.text_of[w]) if w in self.ids_of else self._learn(w) for w in words]
-        found = " ".join(a for a, _ in each), " ".join(b for _, b in each)
-        self._store(piece, found)
-        return found
+        each = "\t".join([self.known.get(w) or self._learn(w) for w in words]).split("\t")
+        return self._store(piece, " ".join(each[::2]) + "\t" + " ".join(each[1::2]))
 
-    def _rare(self, text: str) -> tuple[list[str], list[str]]:
+    def _rare(self, text: str) -> list[str]:
         """By the file's own normalizer and splitter, which spell words in byte letters; the automaton encodes."""
         if self.rare is None:
             import tokenizers
 
             self.rare = tokenizers.Tokenizer.from_str(self.file)
-        ids, out = [], []
-        for word, _ in self.rare.pre_tokenizer.pre_tokenize_str(self.rare.normalizer.normalize_str(text)):
-            if word:
-                key = "\0" + word
-                a, b = (self.ids_of[key], self.text_of[key]) if key in self.ids_of else self._learn(key, word)
-                ids.append(a)
-                out.append(b)
-        return ids, out
+        words = self.rare.pre_tokenizer.pre_tokenize_str(self.rare.normalizer.normalize_str(text))
+        return [self.known.get("\0" + w) or self._learn("\0" + w, w) for w, _ in words if w]
 
     def encode(self, text: str) -> tuple[str, str]:
         """A text's ids, and the text that they decode to, each joined by one space."""
-        ids, out = [], []
+        found: list[str] = []
         for part in self.marks.split(text) if self.marks and "<|" in text else (text,):
             if part in self.special:
-                ids.append(str(self.special[part]))
-                out.append(part)
+                found.append(f"{self.special[part]}\t{part}")
             elif part:
-                a, b = self._rare(part) if RARE.search(part) else self._plain(part)
-                ids += a
-                out += b
-        return " ".join(ids), " ".join(out)
+                found += self._rare(part) if RARE.search(part) else self._plain(part)
+        if not found:
+            return "", ""
+        each = "\t".join(found).split("\t")  # labels hold no tab: it has a letter of its own
+        return " ".join(each[::2]), " ".join(each[1::2])
 
     def decode(self, ids: list[int]) -> str:
         """The labels of ids."""
@@ -244,6 +235,22 @@ def tokenizer(file: str) -> Tokenizer:
     return _TOKENIZERS[key]
 
 
+def forget_tables() -> None:
+    """Gives this process's tables and freed memory back, for stages that follow in the same workers."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    _TOKENIZERS.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
     """The path of a public vocabulary file."""
     import public_tokenizers
@@ -251,10 +258,11 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def encode(df: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:
+def encode(df: DataFrame, path: str | None = None, with_ids: bool = False, keep_tables: bool = True) -> DataFrame:
     """doc_id, n_tokens and the digests of ids and decoded text for every row of df (doc_id, text); with_ids adds `ids`.
 
-    The driver reads the vocabulary file (1.7 MB) and broadcasts it; each worker compiles it once.
+    The driver reads the vocabulary file (1.7 MB) and broadcasts it; each worker compiles it once, or once a partition without
+    keep_tables, which leaves the worker's memory to whatever runs in it next.
     """
     with open(path or vocabulary(), encoding="utf-8") as f:
         file = df.sparkSession.sparkContext.broadcast(f.read())
@@ -272,7 +280,7 @@ def encode(df: DataFrame, path: str | None = None, with_ids: bool = False) -> Da
                 out["ids"].append(list(map(int, ids.split())))
         return {"doc_id": part["doc_id"]} | out
 
-    return arrow_map(df.select("doc_id", "text"), each, schema + (",ids array<int>" if with_ids else ""))
+    return arrow_map(df.select("doc_id", "text"), each, schema + (",ids array<int>" if with_ids else ""), after=None if keep_tables else forget_tables)
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,10 +43,10 @@ def forget(spark: SparkSession, df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def arrow_map(df: DataFrame, each: Callable[[dict[str, list]], dict[str, list]], schema: str, rows: int = 256) -> DataFrame:
+def arrow_map(df: DataFrame, each: Callable[[dict[str, list]], dict[str, list]], schema: str, rows: int = 256, after: Callable[[], None] | None = None) -> DataFrame:
     """mapInArrow over slices of at most `rows` rows; `each` turns a dict of column lists into another.
 
-    Slices keep the Python objects of one step small however long the texts are.
+    Slices keep the Python objects of one step small however long the texts are. `after` runs at a partition's end.
     """
     kinds = to_arrow(df.sparkSession, schema)
 
@@ -56,6 +56,8 @@ def arrow_map(df: DataFrame, each: Callable[[dict[str, list]], dict[str, list]],
                 part = batch.slice(at, rows)
                 out = each({k: c for k, c in zip(part.schema.names, part.columns, strict=True)})
                 yield pa.RecordBatch.from_pydict(out, schema=kinds)
+        if after:
+            after()
 
     return df.mapInArrow(run, schema)
 
