@@ -10,7 +10,9 @@ Texts become 64-bit SimHash fingerprints of their 3-word shingles, and equal fin
    column, so that only neighbours in it are paired, and the other columns discard among those.
 3. Survivors are verified bit by bit. What leaves a key is a star for each linked set, never all of its pairs.
 
-Components of these links are found by distributed label propagation. Null and empty texts have fingerprint zero, linked
+`one_of_each`, the pipeline's stage, has links of its own: exact Jaccard similarity of 5-word shingles (see `near_copies`).
+
+Components of links are found by distributed label propagation. Null and empty texts have fingerprint zero, linked
 like any other; repeated rows are rows like any other; a null doc_id keeps its row and is never the smallest id.
 """
 
@@ -32,19 +34,24 @@ from quern.llm.common import arrow_map, components, forget, raw_texts, saved, ta
 SEGMENTS = (13, 13, 13, 13, 12)
 
 
-def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
-    """The SimHash of a text, signed: a bit is 1 if set in over half of the shingles' XXH64."""
+def digests(text: bytes, shingle: int, seed: int = 42) -> bytes:
+    """The XXH64 of every shingle, 8 bytes each; none without words."""
     words = text.lower().split()
     if not words:
-        return 0
+        return b""
     digest, joined = xxhash.xxh64_digest, b" ".join(words)
     if len(words) <= shingle:
-        hashes = digest(joined, seed)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        hashes = b"".join([digest(joined[a:b], seed) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)])
-    rows = np.frombuffer(hashes, np.uint8).reshape(-1, 8)
+        return digest(joined, seed)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    return b"".join([digest(joined[a:b], seed) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)])
+
+
+def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
+    """The SimHash of a text, signed: a bit is 1 if set in over half of the shingles' XXH64."""
+    rows = np.frombuffer(digests(text, shingle, seed), np.uint8).reshape(-1, 8)
+    if not len(rows):
+        return 0
     counts = np.zeros(64, np.int64)
     for at in range(0, len(rows), 4096):
         counts += np.unpackbits(rows[at : at + 4096], axis=1).sum(axis=0, dtype=np.int64)
@@ -169,13 +176,152 @@ def near_duplicates(df: DataFrame, spark: SparkSession, shingle: int = 3, near:
     return rows.join(whole.select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(df: DataFrame, spark: SparkSession) -> DataFrame:
-    """df with one row of every near-duplicate group, the one of the smallest doc_id; its columns stay.
+def multipliers(n: int) -> np.ndarray:
+    """Odd factors that order shingles anew, fixed by their numbers."""
+    return np.array([xxhash.xxh64_intdigest(b"order", i) | 1 for i in range(n)], np.uint64)
+
+
+def shingles(text: bytes, shingle: int) -> np.ndarray:
+    """The set of a text's shingles as sorted hashes; a text without words has one of its own."""
+    found = np.unique(np.frombuffer(digests(text, shingle), np.uint64))
+    return found if len(found) else np.zeros(1, np.uint64)
+
+
+def least_hashes(found: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """The least shingle in each order: alike in two sets as often as their Jaccard similarity."""
+    out = np.full(len(factors), np.iinfo(np.uint64).max)
+    for at in range(0, len(found), 1024):
+        out = np.minimum(out, (found[at : at + 1024, None] * factors).min(axis=0))
+    return out
+
+
+def signatures(distinct: DataFrame, shingle: int, keys: int = 24, each_key: int = 5) -> DataFrame:
+    """node, keys and the low bytes of all least hashes, for every text of distinct (node, text)."""
+    factors = multipliers(keys * each_key)
+    tags = [bytes([k]) for k in range(keys)]
+
+    def each(part: dict) -> dict:
+        out, low = [], []
+        for text in raw_texts(part["text"]):
+            least = least_hashes(shingles(text, shingle), factors)
+            out.append([xxhash.xxh64_intdigest(t + x.tobytes()) - (1 << 63) for t, x in zip(tags, least.reshape(keys, each_key), strict=True)])
+            low.append((least >> np.uint64(56)).astype(np.uint8).tobytes())
+        return {"node": part["node"], "keys": out, "low": low}
+
+    return arrow_map(distinct, each, "node long,keys array<bigint>,low binary")
+
+
+def jaccard(one: np.ndarray, two: np.ndarray, least: float) -> bool:
+    """Whether two sets have at least this similarity."""
+    if min(len(one), len(two)) < least * max(len(one), len(two)):
+        return False
+    both = len(np.intersect1d(one, two, assume_unique=True))
+    return both + 1e-9 >= least * (len(one) + len(two) - both)
+
+
+def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles have at least this Jaccard similarity."""
+    met = pairs.join(sets.toDF("a", "one"), "a").join(sets.toDF("b", "two"), "b").select("a", "b", "one", "two")
+
+    def each(part: dict) -> dict:
+        each_pair = zip(part["one"].to_pylist(), part["two"].to_pylist(), strict=True)
+        out = [jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), similarity) for x, y in each_pair]
+        return {"a": part["a"], "b": part["b"], "ok": out}
+
+    return arrow_map(met, each, "a long,b long,ok boolean").filter("ok").select("a", "b")
+
+
+def open_links(nodes: np.ndarray, roots: np.ndarray, key: int, keys: np.ndarray, low: np.ndarray, held: list[bytes], similarity: float) -> Iterator[tuple[int, int]]:
+    """Links between the sets of one key's rows that are not linked yet; a pair is held against another in its first key alone."""
+    labels = np.unique(roots, return_inverse=True)[1]
+    # 120 least hashes estimate a similarity within 0.037: four deviations are left as room.
+    least = (similarity - 0.15) * low.shape[1]
+    for k in range(len(nodes) - 1):
+        at = np.flatnonzero(labels[k + 1 :] != labels[k]) + k + 1
+        same = (low[at] == low[k]).sum(axis=1)
+        at, same = at[same >= least], same[same >= least]
+        own = np.flatnonzero(keys[k] == key)[0]
+        at = at[np.argsort(-same, kind="stable")]
+        at = at[(keys[at] == keys[k]).argmax(axis=1) == own]
+        one = np.frombuffer(held[k], np.uint64)
+        for j in at.tolist():
+            if labels[j] != labels[k] and jaccard(one, np.frombuffer(held[j], np.uint64), similarity):
+                labels[labels == labels[j]] = labels[k]
+                yield int(nodes[k]), int(nodes[j])
+
+
+def apart(rows: DataFrame, similarity: float, most: int = 4096) -> DataFrame:
+    """Links (a, b) that join what all near copies among rows (key, node, root, keys, low, held) that share a key join."""
+    large = rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("key", F.ceil(F.col("n") * 2 / most).cast("int").alias("chunks"))
+    chunk = F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: (F.least(j, F.col("chunk")) * F.col("chunks") + F.greatest(j, F.col("chunk"))).cast("long"))
+    dealt = rows.join(large, "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("chunk", chunk)
+    dealt = dealt.select("key", F.explode(pairs).alias("pair"), "node", "root", "keys", "low", "held").repartition("key", "pair").sortWithinPartitions("key", "pair")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+
+        def links(whole: np.ndarray, keys: np.ndarray, low: np.ndarray, held: list[bytes]) -> pa.RecordBatch:
+            found = list(open_links(whole[:, 2], whole[:, 3], whole[0, 0], keys, low, held, similarity))
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], schema=schema)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            whole = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)], axis=1)
+            keys = batch.column(4).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            low = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            held = batch.column(6).to_pylist()
+            if rest is not None:
+                whole, keys, low = (np.concatenate(x) for x in zip(rest[:3], (whole, keys, low), strict=True))
+                held = rest[3] + held
+            cuts = np.concatenate(([0], np.flatnonzero((whole[1:, :2] != whole[:-1, :2]).any(axis=1)) + 1)).tolist()
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                yield links(whole[x:y], keys[x:y], low[x:y], held[x:y])
+            x = cuts[-1]
+            rest = whole[x:], keys[x:], low[x:], held[x:]
+        if rest is not None:
+            yield links(*rest)
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def near_copies(distinct: DataFrame, spark: SparkSession, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """node and root of every text of distinct (node, text) that has a near copy: sets linked by Jaccard similarity.
+
+    Each key hashes five least shingles, so that a pair at 0.8 shares one of 24 keys but for a chance of 1 in 10,000; SimHash
+    segments can't reach that far, as such a pair differs in about ten bits. Every text is held against the smallest of
+    each of its keys, exactly, and then against all others of its keys that are not linked with it yet.
+    """
+    marks = saved(signatures(distinct, shingle), spark, "copies-signatures")
+    dealt = marks.select("node", F.explode("keys").alias("key"))
+    shared = dealt.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1").select("key", "first")
+    shared = saved(dealt.join(shared, "key"), spark, "copies-keys")
+    sets = distinct.join(shared.select("node").distinct(), "node", "left_semi")
+    sets = saved(arrow_map(sets, lambda part: {"node": part["node"], "held": [shingles(t, shingle).tobytes() for t in raw_texts(part["text"])]}, "node long,held binary"), spark, "copies-sets")
+    stars = shared.filter("node != first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    links = saved(alike(stars, sets, similarity), spark, "copies-links")
+    roots = components(links, spark, "copies")
+    known = shared.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = known.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("key")
+    rest = known.join(several, "key", "left_semi").join(marks, "node").join(sets, "node")
+    more = saved(apart(rest.select("key", "node", "root", "keys", "low", "held"), similarity), spark, "copies-more")
+    found = components(links.unionByName(more), spark, "copies-all")
+    for done in (marks, shared, sets, links, more):
+        forget(spark, done)
+    return found
+
+
+def one_of_each(df: DataFrame, spark: SparkSession, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """df with one row of every set of near copies, the one of the smallest doc_id; its columns stay.
 
     Of repeated rows with that doc_id one stays: the first by fingerprint, then by the rest of the row.
     """
-    found = near_duplicates(df, spark)
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    node = F.xxhash64(F.coalesce("text", F.lit(""))).alias("node")
+    roots = near_copies(df.select(node, "text").dropDuplicates(["node"]), spark, shingle, similarity)
+    rows = df.select("doc_id", node).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    keep = rows.groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     kept = df.join(keep.withColumnRenamed("doc_id", "__kept_id"), F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi")
     again = kept.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
     if not again:

@@ -292,6 +292,29 @@ def test_links_are_all_pairs_within_three_bits(spark):
         assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
+def test_copies_at_five_word_similarity_go(spark):
+    r, sets, data = random.Random(8), {}, []
+    for k in range(25):
+        words = prose(300, 2000 + k).lower().split()
+        for copy in range(4):  # 0 to 9 words changed: similarities on both sides of 0.8
+            changed = list(words)
+            for at in r.sample(range(300), 3 * copy):
+                changed[at] = f"w{r.random()}"
+            data.append((4 * k + copy, " ".join(changed), "a"))
+    for i, t, _ in data:
+        w = t.split()
+        sets[i] = {tuple(w[a : a + 5]) for a in range(len(w) - 4)}
+    up = {i: i for i in sets}
+    for i in sorted(sets):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((up[i], up[j]))
+                up = {x: a if y == b else y for x, y in up.items()}
+    want = set(up.values())
+    assert 30 < len(want) < 90
+    assert {r.doc_id for r in rows(simhash.one_of_each(documents(spark, data), spark))} == want
+
+
 # ---- 7: BPE
 
 
