@@ -25,7 +25,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.llm.common import arrow_map, components, forget, raw_texts, saved, table
@@ -314,20 +313,23 @@ def near_copies(distinct: DataFrame, spark: SparkSession, shingle: int = 5, simi
 
 
 def one_of_each(df: DataFrame, spark: SparkSession, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """df with one row of every set of near copies, the one of the smallest doc_id; its columns stay.
+    """df with one row of every set of near copies, that of the smallest doc_id (null last); its columns stay.
 
-    Of repeated rows with that doc_id one stays: the first by fingerprint, then by the rest of the row.
+    Rows are told apart by all of their columns, so that neither null nor repeated doc_ids join different texts.
     """
     node = F.xxhash64(F.coalesce("text", F.lit(""))).alias("node")
+    row = F.xxhash64(*df.columns, *[F.col(c).isNull() for c in df.columns]).alias("__row")
     roots = near_copies(df.select(node, "text").dropDuplicates(["node"]), spark, shingle, similarity)
-    rows = df.select("doc_id", node).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    keep = rows.groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    kept = df.join(keep.withColumnRenamed("doc_id", "__kept_id"), F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi")
-    again = kept.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
-    if not again:
-        return kept
-    order = W.partitionBy("doc_id").orderBy(*[F.xxhash64(c) for c in df.columns])
-    return kept.withColumn("__place", F.row_number().over(order)).filter("__place = 1").drop("__place")
+    # No row or one for each: equal rows are one here, with their number.
+    rows = df.select("doc_id", node, row).groupBy("doc_id", "node", "__row").agg(F.count("*").alias("__n"))
+    rows = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node", "__row", "__n")).alias("kept")
+    keep = saved(rows.groupBy("root").agg(first).select("kept.__row", "kept.__n"), spark, "copies-kept")
+    kept = df.select("*", row).join(keep, "__row")
+    if not keep.filter("__n > 1").limit(1).count():
+        return kept.select(df.columns)
+    once = kept.filter("__n > 1").dropDuplicates(["__row"])
+    return kept.filter("__n = 1").unionByName(once).select(df.columns)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

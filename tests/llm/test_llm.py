@@ -315,6 +315,13 @@ def test_copies_at_five_word_similarity_go(spark):
     assert {r.doc_id for r in rows(simhash.one_of_each(documents(spark, data), spark))} == want
 
 
+def test_rows_without_an_id_are_texts_of_their_own(spark):
+    data = [(None, prose(60, 3000 + i), "a") for i in range(8)] + [(None, prose(60, 3000), "b"), (4, prose(60, 3001), "a"), (7, prose(60, 3100), "a"), (7, prose(60, 3101), "a"), (7, prose(60, 3101), "a")]
+    kept = rows(simhash.one_of_each(documents(spark, data), spark))
+    assert sorted(r.text for r in kept) == sorted({t for _, t, _ in data})
+    assert [r.doc_id for r in kept if r.text == prose(60, 3001)] == [4]
+
+
 # ---- 7: BPE
 
 
