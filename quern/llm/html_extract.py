@@ -33,17 +33,38 @@ RAW = frozenset("script style textarea title noscript iframe xmp noembed noframe
 FRAME = frozenset("nav footer aside form button select menu dialog head object canvas audio video label".split())
 #: Words in class, id or role that mark no main text.
 MARKS = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent contentinfo cookie cookies disqus footer gdpr masthead menu menubar modal nav navbar navigation newsletter notice overlay popup promo promoted related respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split())
+#: Words that may stand beside a mark in one class name.
+NEUTRAL = frozenset("area bar block bottom box container inner left list main outer page primary right secondary section site top wrap wrapper".split())
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 WORDS = re.compile(r"[A-Za-z]+")
 
 
 def _marked(attributes: str) -> bool:
-    return bool(attributes) and any(w.lower() in MARKS for _, v in ATTRIBUTE.findall(attributes) for w in WORDS.findall(v))
+    """Whether a whole name in class, id or role is made of marks, with neutral words at most ("has-sidebar" is none)."""
+    for _, value in ATTRIBUTE.findall(attributes):
+        for name in value.strip("\"'").split():
+            words = {w.lower() for w in WORDS.findall(name)}
+            if words & MARKS and words <= MARKS | NEUTRAL:
+                return True
+    return False
 
 
 def lines(page: str) -> list[tuple[str, int]]:
-    """The text lines of a page in order; with each 0 if it's frame, 1 if plain, 2 if in main, 3 if in an article."""
+    """The text lines of a page in order; with each 0 if it's frame, 1 if plain, 2 if in main, 3 if in an article.
+
+    Where the only article or main element is itself marked or stands inside frame, and holds more than all plain lines, it counts.
+    """
+    found = _lines(page, False)
+    if all(s < 2 for _, s in found) and re.search("<article|<main|role", page, re.I):
+        again = _lines(page, True)
+        if sum(len(x) for x, s in again if s > 1) > sum(len(x) for x, s in found if s == 1):
+            return again
+    return found
+
+
+def _lines(page: str, freed: bool) -> list[tuple[str, int]]:
+    """The lines; `freed` lets an outermost article or main element stand above marks and frame."""
     out: list[tuple[str, int]] = []
     parts: list[str] = []
     stack: list[tuple[str, int]] = []  # open elements and the state of what stands in them
@@ -96,11 +117,14 @@ def lines(page: str) -> list[tuple[str, int]]:
                             break
             state = stack[-1][1] if stack else 1
         below = state
-        if below and (name in FRAME or (name == "header" and below < 2) or (name != "body" and name != "html" and _marked(attributes))):
+        whole = name == "article" or name == "main" or bool(re.search(r"\brole\s*=\s*[\"']?main\b", attributes))
+        if freed and whole and all(s < 2 for _, s in stack):
+            new = 3 if name == "article" else 2
+        elif below and (name in FRAME or (name == "header" and below < 2) or (name != "body" and name != "html" and _marked(attributes))):
             new = 0
         elif below and name == "article":
             new = 3
-        elif below and (name == "main" or re.search(r"\brole\s*=\s*[\"']?main\b", attributes)):
+        elif below and whole:
             new = max(below, 2)
         else:
             new = below

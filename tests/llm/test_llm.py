@@ -163,6 +163,15 @@ def test_main_text_of_a_page(spark):
     assert rows(html_extract.extract(df.limit(0), spark)) == []
 
 
+def test_marks_are_whole_names():
+    for page in ('<div class="layout has-sidebar"><article>Text</article></div>', '<div class="content no-sidebar"><article>Text</article></div>', '<article class="post category-social">Text</article>', '<article class="entry comments-open">Text</article>', '<div class="overlay"><article class="widget">Text</article></div>', '<form><main>Text</main></form>'):
+        assert html_extract.main_text(f"<body>{page}<footer>us</footer></body>", None) == "Text", page
+    for name in ("ad", "cookie-notice", "site-footer", "main-nav", "sidebar_left", "x share-bar"):
+        assert html_extract.main_text(f'<article>Text<div class="{name}">no</div></article>', None) == "Text", name
+    assert html_extract.main_text('<main>Text<div id="comments"><article>First!</article></div></main>', None) == "Text"
+    assert html_extract.main_text('<p>A longer text</p><aside><article>Teaser</article></aside>', None) == "A longer text"
+
+
 def test_common_lines_are_longest():
     for _ in range(300):
         a, b = ([rng.randrange(4) for _ in range(rng.randrange(12))] for _ in range(2))
