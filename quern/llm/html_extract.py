@@ -1,16 +1,21 @@
-"""HTML extraction by differencing a page with the page of the nearest URL.
+"""HTML extraction by differencing a page with the pages of the nearest URLs.
 
-A page becomes text lines, one for each block. Within each host, pages are ordered by URL path and each is paired with
-the neighbour whose path shares more with its own. Their lines are aligned by longest common subsequence, and the lines
-that both share are deleted: a site's menus, notices and footers. A shared line stays where the page marks it as its
-article (an article or main element), as copies of an article share all of it. As sites also vary their frames from page
-to page, differencing alone can't find all of them: lines within elements that can't be main text (menus, page headers
-and footers, sidebars, forms, scripts, styles, adverts, notices, reader comments) go in any case, and where a page marks an article
-only lines within it stay.
+A page becomes text lines, one for each block. Within each host, pages are ordered by URL path, and each is held against
+up to `NEAR` pages on either side. Lines are aligned by longest common subsequence, and the lines that two pages share
+are deleted: a site's menus, notices and footers. Structure breaks ties only:
+
+* A shared line inside an article element stays, as articles repeat licence lines and copies of an article share all.
+* A neighbour that shares over nine tenths of a page's text outside articles is a copy and deletes nothing.
+* Sites vary their frames from page to page, so unshared lines may be frame too: those within elements that can't be main
+  text (menus, page headers and footers, sidebars, forms, scripts, styles, adverts, notices, reader comments) go.
+* Of what is left, an article that holds the greater part of the text stands with the unshared lines of its main
+  element; else (an article is but a teaser card) all unshared lines stay.
 
 Nothing gathers a host: pages are dealt by ranges of (host, path, row), so that a host of many pages spans many ranges,
-and a range's last page is handed to the next. Null and empty pages have empty texts. Pages without a host pair by path
-under an empty host. Repeated rows are one page, never paired with themselves.
+and a range's first and last pages are handed to the ranges beside it. Null and empty pages have empty texts; an empty
+table gives no rows. Pages without a host pair by path under an empty host. Repeated rows are one page, never paired with
+themselves, and come out as often as they stand. Very long pages are read whole. Columns other than page_id, url and html,
+whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -35,14 +40,21 @@ FRAME = frozenset("nav footer aside form button select menu dialog head object c
 MARKS = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent contentinfo cookie cookies disqus footer gdpr masthead menu menubar modal nav navbar navigation newsletter notice overlay popup promo promoted related respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split())
 #: Words that may stand beside a mark in one class name.
 NEUTRAL = frozenset("area bar block bottom box container inner left list main outer page primary right secondary section site top wrap wrapper".split())
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+ATTRIBUTES = r"""(?:[\s/]++|[^\s/>=][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+|(?=>)))?+|=)*+"""
+TAG = re.compile(rf"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)({ATTRIBUTES})(?:>|\Z)""", re.S)
+ATTRIBUTE = re.compile(r"""([^\s/>=][^\s/>=]*+)\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)|[^\s/>=]++""")
 WORDS = re.compile(r"[A-Za-z]+")
+#: How many pages on either side a page is held against.
+NEAR = 2
+#: A page that shares more than this part of the characters outside articles is a copy.
+COPY = 0.9
 
 
 def _marked(attributes: str) -> bool:
     """Whether a whole name in class, id or role is made of marks, with neutral words at most ("has-sidebar" is none)."""
-    for _, value in ATTRIBUTE.findall(attributes):
+    for key, value in ATTRIBUTE.findall(attributes):
+        if key.lower() not in ("class", "id", "role"):
+            continue
         for name in value.strip("\"'").split():
             words = {w.lower() for w in WORDS.findall(name)}
             if words & MARKS and words <= MARKS | NEUTRAL:
@@ -160,18 +172,41 @@ def common_lines(a: list[int], b: list[int]) -> set[int]:
     return out
 
 
+def outside(found: list[tuple[str, int]]) -> list[int]:
+    """The places of the lines that differencing may delete: all but those in an article."""
+    return [k for k, (_, s) in enumerate(found) if s < 3]
+
+
 def line_hashes(found: list[tuple[str, int]]) -> list[int]:
-    """What lines are compared by."""
-    return [xxhash.xxh3_64_intdigest(x) - (1 << 63) for x, _ in found]
+    """What those lines are compared by."""
+    return [xxhash.xxh3_64_intdigest(found[k][0]) - (1 << 63) for k in outside(found)]
+
+
+def shared_lines(found: list[tuple[str, int]], others: list[list[int]]) -> set[int]:
+    """The places of the lines that the page shares with any near page that isn't a copy of it."""
+    at, own = outside(found), line_hashes(found)
+    text = {k: len(found[k][0]) for k in at if found[k][1]}
+    out: set[int] = set()
+    for other in others:
+        same = {at[i] for i in common_lines(own, other)}
+        if sum(text.get(k, 0) for k in same) <= COPY * sum(text.values()):
+            out |= same
+        else:  # a copy, which tells frame from text no better than structure does
+            out |= {k for k in same if not found[k][1]}
+    return out
 
 
-def main_text(page: str, other: list[int] | None) -> str:
-    """The main text of a page, given the lines' hashes of the page that it's held against."""
+def main_text(page: str, others: list[list[int]]) -> tuple[str, int]:
+    """The main text of a page, given the lines' hashes of the pages that it's held against; and the number of lines that they delete."""
     found = lines(page)
-    shared = common_lines(line_hashes(found), other) if other else set()
-    best = max((s for _, s in found), default=0)
-    best = best if best > 1 else 1
-    return " ".join(x for k, (x, s) in enumerate(found) if s >= best and (best > 1 or k not in shared))
+    shared = shared_lines(found, others)
+    left = [(x, s) for k, (x, s) in enumerate(found) if s and k not in shared]
+    best = max((s for _, s in left), default=0)
+    if best == 3 and 2 * sum(len(x) for x, s in left if s == 3) >= sum(len(x) for x, _ in left):
+        left = [(x, s) for x, s in left if s > 1]
+    elif best == 2:
+        left = [(x, s) for x, s in left if s == 2]
+    return " ".join(x for x, _ in left), len(shared)
 
 
 def place(url: str | None) -> tuple[str, str]:
@@ -184,44 +219,46 @@ def place(url: str | None) -> tuple[str, str]:
 
 
 def neighbours(pages: DataFrame, spark: SparkSession) -> DataFrame:
-    """row and the line hashes of the nearest page, for every distinct row of pages (page_id, url, html) that has one."""
+    """page_id, row and the line hashes of the nearest pages, for every distinct row of pages (page_id, url, html)."""
 
     def each(part: dict) -> dict:
         at = [place(u) for u in part["url"].to_pylist()]
-        return {"row": part["row"], "host": [h for h, _ in at], "path": [p for _, p in at], "hashes": [line_hashes(lines(x)) for x in texts(part["html"])]}
+        return {"page_id": part["page_id"], "row": part["row"], "host": [h for h, _ in at], "path": [p for _, p in at], "hashes": [line_hashes(lines(x)) for x in texts(part["html"])]}
 
-    keys = arrow_map(pages.select("row", "url", "html"), each, "row long,host string,path string,hashes array<bigint>").dropDuplicates(["row"])
-    order = ["host", "path", "row"]
+    keys = arrow_map(pages.select("page_id", "row", "url", "html"), each, "page_id long,row long,host string,path string,hashes array<bigint>").dropDuplicates(["page_id", "row"])
+    order = ["host", "path", "row", "page_id"]
     dealt = saved(keys.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("range", F.spark_partition_id()), spark, "html-keys")
     within = W.partitionBy("range").orderBy(*order)
-    page = F.struct("host", "path", "row", "hashes")
-    dealt = dealt.withColumn("page", page).withColumn("before", F.lag("page").over(within)).withColumn("after", F.lead("page").over(within))
-    # A row a range: what the ranges around it hand over.
-    ends = dealt.groupBy("range").agg(F.min("page").alias("low"), F.max("page").alias("high"))
-    ends = ends.withColumn("handed", F.lag("high").over(W.orderBy("range"))).withColumn("next", F.lead("low").over(W.orderBy("range"))).select("range", "handed", "next")
-    dealt = dealt.join(F.broadcast(ends), "range").withColumn("before", F.coalesce("before", "handed")).withColumn("after", F.coalesce("after", "next"))
-
-    def shares(side: str) -> F.Column:
-        # Characters of path that the two have in common; -1 on another host.
-        there = F.col(f"{side}.path")
-        same = F.aggregate(F.sequence(F.lit(1), F.least(F.length("path"), F.length(there)) + 1), F.lit(0), lambda n, k: F.when((n == k - 1) & (F.substr(F.col("path"), F.lit(1), k) == F.substr(there, F.lit(1), k)), k).otherwise(n))
-        return F.when(F.col(f"{side}.host") == F.col("host"), same).otherwise(-1)
-
-    dealt = dealt.withColumn("sb", F.coalesce(shares("before"), F.lit(-1))).withColumn("sa", F.coalesce(shares("after"), F.lit(-1)))
-    nearest = F.when((F.col("sb") < 0) & (F.col("sa") < 0), None).when(F.col("sb") >= F.col("sa"), F.col("before.hashes")).otherwise(F.col("after.hashes"))
-    return dealt.select("row", nearest.alias("other")).filter("other IS NOT NULL")
+    page = F.struct("host", "hashes")
+    # At most NEAR rows from each end of a range are handed on, so this table has a few rows a range.
+    marked = dealt.withColumn("up", F.row_number().over(within)).withColumn("down", F.count("*").over(W.partitionBy("range")) - F.col("up") + 1)
+    ends = marked.filter((F.col("up") <= NEAR) | (F.col("down") <= NEAR)).groupBy("range").agg(
+        F.array_sort(F.collect_list(F.when(F.col("up") <= NEAR, F.struct("up", page.alias("page"))))).alias("low"),
+        F.array_sort(F.collect_list(F.when(F.col("down") <= NEAR, F.struct("down", page.alias("page"))))).alias("high"),
+    )
+    whole = W.orderBy("range")
+    ends = ends.withColumn("handed", F.lag("high").over(whole)).withColumn("next", F.lead("low").over(whole)).select("range", "handed", "next")
+    sides = []
+    for k in range(1, NEAR + 1):
+        before = F.coalesce(F.lag(page, k).over(within), F.get(F.col("handed.page"), (k - F.col("up")).cast("int")))
+        after = F.coalesce(F.lead(page, k).over(within), F.get(F.col("next.page"), (k - F.col("down")).cast("int")))
+        sides += [before, after]
+    met = marked.join(F.broadcast(ends), "range").select("page_id", "row", "host", F.array(*sides).alias("sides"))
+    others = F.transform(F.filter("sides", lambda x: x["host"] == F.col("host")), lambda x: x["hashes"])
+    return met.select("page_id", "row", others.alias("others"))
 
 
 def extract(pages: DataFrame, spark: SparkSession) -> DataFrame:
-    """page_id, url, text and n_chars for every row of pages (page_id, url, html)."""
+    """page_id, url, text, n_chars and n_shared (lines deleted as shared) for every row of pages (page_id, url, html)."""
     pages = pages.select("page_id", "url", "html", F.xxhash64("page_id", "url", "html").alias("row"))
-    whole = pages.join(neighbours(pages, spark), "row", "left")
+    near = neighbours(pages, spark).withColumnsRenamed({"page_id": "_page", "row": "_row"})
+    whole = pages.join(near, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("row") == F.col("_row")), "left")
 
     def each(part: dict) -> dict:
-        found = [main_text(x, other) for x, other in zip(texts(part["html"]), part["other"].to_pylist(), strict=True)]
-        return {"page_id": part["page_id"], "url": part["url"], "text": found, "n_chars": [len(x) for x in found]}
+        found = [main_text(x, others or []) for x, others in zip(texts(part["html"]), part["others"].to_pylist(), strict=True)]
+        return {"page_id": part["page_id"], "url": part["url"], "text": [x for x, _ in found], "n_chars": [len(x) for x, _ in found], "n_shared": [n for _, n in found]}
 
-    return arrow_map(whole.select("page_id", "url", "html", "other"), each, "page_id long,url string,text string,n_chars long")
+    return arrow_map(whole.select("page_id", "url", "html", "others"), each, "page_id long,url string,text string,n_chars long,n_shared long")
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

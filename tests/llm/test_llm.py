@@ -165,11 +165,47 @@ def test_main_text_of_a_page(spark):
 
 def test_marks_are_whole_names():
     for page in ('<div class="layout has-sidebar"><article>Text</article></div>', '<div class="content no-sidebar"><article>Text</article></div>', '<article class="post category-social">Text</article>', '<article class="entry comments-open">Text</article>', '<div class="overlay"><article class="widget">Text</article></div>', '<form><main>Text</main></form>'):
-        assert html_extract.main_text(f"<body>{page}<footer>us</footer></body>", None) == "Text", page
+        assert html_extract.main_text(f"<body>{page}<footer>us</footer></body>", [])[0] == "Text", page
     for name in ("ad", "cookie-notice", "site-footer", "main-nav", "sidebar_left", "x share-bar"):
-        assert html_extract.main_text(f'<article>Text<div class="{name}">no</div></article>', None) == "Text", name
-    assert html_extract.main_text('<main>Text<div id="comments"><article>First!</article></div></main>', None) == "Text"
-    assert html_extract.main_text('<p>A longer text</p><aside><article>Teaser</article></aside>', None) == "A longer text"
+        assert html_extract.main_text(f'<article>Text<div class="{name}">no</div></article>', [])[0] == "Text", name
+    assert html_extract.main_text('<main>Text<div id="comments"><article>First!</article></div></main>', [])[0] == "Text"
+    assert html_extract.main_text('<p>A longer text</p><aside><article>Teaser</article></aside>', [])[0] == "A longer text"
+
+
+def test_attributes_are_read_as_html_does():
+    for tag in ("<p data-x=don't>", '<p title="a > b">', "<p data-class='ad' data-y=\"class='ad'\">", '<p " broken>', "<p a=1/b c='>'  d>"):
+        assert html_extract.main_text(f"<article>{tag}Text</p></article><footer>us</footer>", [])[0] == "Text", tag
+
+
+def test_differencing_decides_and_structure_breaks_ties(spark):
+    frame = "<div>Site menu</div><div>Log in here</div>{}<div>Imprint of the site</div>"
+    pages = [(i, f"http://h.org/p/{i}", frame.format(f"<div>Lead number {i}</div><article>Text number {i} is the longest block of all here<p>CC BY 4.0</p></article>")) for i in range(4)]
+    pages += [(10 + i, f"http://g.org/p/{i}", frame.format(f"<div>The body of page {i} without any mark</div><article>Teaser {i}</article>")) for i in range(3)]
+    pages += [(20 + i, f"http://m.org/p/{i}", "<div>A mirrored text of some length</div>") for i in range(2)]
+    found = {r.page_id: r for r in rows(html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string"), spark))}
+    for i in range(4):  # the licence line is shared, but stands in the article; the frame has no marks, and goes
+        assert found[i].text == f"Text number {i} is the longest block of all here CC BY 4.0" and found[i].n_shared == 3
+        assert "Site menu" in html_extract.main_text(pages[i][2].replace("article", "section"), [])[0]
+    for i in range(3):
+        assert found[10 + i].text == f"The body of page {i} without any mark Teaser {i}"
+    assert found[20].text == found[21].text == "A mirrored text of some length"
+
+
+def test_pages_meet_the_nearest_of_their_host(spark):
+    r = random.Random(4)
+    pages = [(i, f"http://h{r.randrange(3)}.org/{r.choice('abc')}/{r.randrange(30)}" if r.random() < 0.9 else None, f"<p>line {r.randrange(9)}</p><p>own {i}</p>") for i in range(60)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("row", F.xxhash64("page_id", "url", "html"))
+    line = {x: html_extract.line_hashes([(f"line {x}", 1)])[0] for x in range(9)}
+    order = sorted((*html_extract.place(r.url), r.row, r.page_id, r.html) for r in rows(df))
+    want = {}
+    for k, (host, _, _, i, _) in enumerate(order):
+        near = [order[j] for d in (1, 2) for j in (k - d, k + d) if 0 <= j < len(order) and order[j][0] == host]
+        want[i] = sorted(line[int(html[8])] for *_, html in near)
+    for parts in ("1", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        found = {r.page_id: sorted(o[0] for o in r.others) for r in rows(html_extract.neighbours(df, spark))}
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        assert found == want
 
 
 def test_common_lines_are_longest():
