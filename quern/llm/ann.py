@@ -4,27 +4,29 @@ Vectors are normalised, so that the largest inner product is the largest cosine.
 components with 16 codewords each, so a code has four bits. The quantiser weighs the residual along the vector, which
 changes inner products most, `eta` times as much as the residual across it: codes are chosen and codewords solved for under that
 loss, with what other subspaces leave of the parallel residual taken into account. A query's tables of 16 products a
-subspace are joined in pairs to 256 whole numbers, one look-up for each byte of code, and summed over every row of a
-block. The `rerank` best of each block are scored exactly on the original vectors.
+subspace are joined in pairs to 256 whole numbers, one look-up for each byte of code, and summed over every row of a part.
+
+The `rerank` best of each part are scored exactly on the original vectors, and so is every other row whose code score could
+still beat the kth exact one: a code score is wrong by no more than the length of the row's residual, of which `margin` is
+allowed for. With margin 1 the result is exact however vectors cluster; less is faster, and then recall must be measured.
 
 Codebooks are fitted on a bounded sample of rows by hash order (`sample`, a documented parameter); every row is indexed
-and every row is scanned for every query. Null, zero, empty or non-finite vectors and null ids take no part. Rows alike in id and
-vector count once; a query's own id is no candidate; equal scores go to the smaller id. Vectors of other lengths than a
-query's are no candidates. A query with fewer candidates returns all.
+and every row is scanned for every query. Rows are dealt over parts once and stay there, queries stream past them. Null, zero,
+empty or non-finite vectors and null ids take no part. Repeated rows are candidates (and queries) each; only a query's own row is
+no candidate; equal scores go to the smaller id. Vectors of other lengths than a query's are no candidates. A query with
+fewer candidates returns all. An empty table gives no rows. Columns but vec_id and embedding are left out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import saved, table
-from quern.llm.cover_tree import Best, packed, pairs, ranked, results, vectors
+from quern.llm.common import table
+from quern.llm.cover_tree import Best, met, numbered, ranked
 
-CODES, SPLIT = 16, 2
+CODES, SPLIT, SCALE = 16, 2, 1 << 16
 
 
 class Quantiser:
@@ -95,74 +97,83 @@ class Quantiser:
             out[at : at + 4096] = codes[:, ::2] * CODES + codes[:, 1::2]
         return out
 
+    def residuals(self, units: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The length of what the codes leave of every row."""
+        out = np.empty(len(units))
+        for at in range(0, len(units), 4096):
+            both = codes[at : at + 4096]
+            each = np.stack((both // CODES, both % CODES), axis=2).reshape(len(both), self.parts)
+            gap = self.cut(units[at : at + 4096]) - self.books[np.arange(self.parts), each]
+            out[at : at + 4096] = np.sqrt((gap * gap).sum((1, 2)))
+        return out
+
     def tables(self, query: np.ndarray) -> np.ndarray:
         """Whole-number tables of 256 entries for each byte of code."""
         each = np.einsum("mcs,ms->mc", self.books, self.cut(query[None])[0])
         both = each[::2, :, None] + each[1::2, None, :]
-        return np.rint(both.reshape(len(both), CODES * CODES) * (1 << 16)).astype(np.int32)
+        return np.rint(both.reshape(len(both), CODES * CODES) * SCALE).astype(np.int32)
 
 
 class Block:
-    """Ids, vectors and norms of a block; data blocks have codes too."""
+    """Row numbers, ids, vectors and norms of the rows of a part, by id, with their codes and the lengths of their residuals."""
 
-    def __init__(self, ids: np.ndarray, points: np.ndarray, tools: dict[int, Quantiser] | None = None):
+    def __init__(self, numbers: np.ndarray, ids: np.ndarray, points: np.ndarray, tool: Quantiser):
         norms = np.sqrt((points * points).sum(1))
-        self.ids, self.points, self.norms = ids[norms > 0], points[norms > 0], norms[norms > 0]
-        self.codes = tools[points.shape[1]].encode(self.units()) if tools else None
-
-    def units(self) -> np.ndarray:
-        return self.points / self.norms[:, None]
-
-
-def scan(queries: Block, data: Block, tool: Quantiser, best: Best, rerank: int) -> None:
-    """Scans a data block's codes for every query, and scores the best of them exactly."""
-    n, units = len(data.ids), queries.units()
-    codes = np.ascontiguousarray(data.codes.T)
-    place = np.arange(n, dtype=np.int64)
-    for row in range(len(queries.ids)):
-        sums = np.zeros(n, np.int32)
-        for byte, of in zip(codes, tool.tables(units[row]), strict=True):
-            sums += of[byte]
-        # Rows are in order of their ids, so that equal sums go to the smaller id.
-        keys = (sums.astype(np.int64) << 24) - place
-        few = np.argpartition(-keys, min(rerank, n) - 1)[:rerank]
-        few = few[data.ids[few] != queries.ids[row]]
+        order = np.lexsort((numbers, ids))
+        order = order[norms[order] > 0]
+        self.numbers, self.ids, self.points, self.norms = numbers[order], ids[order], points[order], norms[order]
+        units = self.points / self.norms[:, None]
+        codes = tool.encode(units)
+        self.rows = np.ascontiguousarray(codes.T)
+        # What a code score may be wrong by, with what rounding the tables adds.
+        self.wrong = tool.residuals(units, codes) * (1 + 1e-9) + len(self.rows) / SCALE
+
+
+def scan(tool: Quantiser, data: Block, number: int, query: np.ndarray, best: Best, row: int, rerank: int, margin: float) -> int:
+    """Scans a part's codes for one query; scores the best, and all that could beat them, exactly. Returns how many."""
+    norm = np.sqrt((query * query).sum())
+    sums = np.zeros(len(data.ids), np.int32)
+    for byte, of in zip(data.rows, tool.tables(query / norm), strict=True):
+        sums += of[byte]
+
+    def exact(few: np.ndarray) -> None:
+        few = few[data.numbers[few] != number]
         if len(few):
-            dots = (data.points[few] * queries.points[row]).sum(1)
-            scores = dots / (data.norms[few] * queries.norms[row])
+            scores = (data.points[few] * query).sum(1) / (data.norms[few] * norm)
             best.add(np.array([row]), scores[None], data.ids[few][None])
 
+    few = np.argpartition(-sums, min(rerank, len(sums)) - 1)[:rerank]
+    exact(few)
+    could = sums / SCALE + margin * data.wrong >= best.scores[row, -1]
+    could[few] = False
+    rest = np.flatnonzero(could)
+    exact(rest)
+    return len(few) + len(rest)
 
-def nearest(df: DataFrame, spark: SparkSession, every: int = 50, k: int = 5, sample: int = 20_000, rerank: int = 160, per_block: int = 16_384, query_block: int = 512) -> DataFrame:
+
+def nearest(df: DataFrame, spark: SparkSession, every: int = 50, k: int = 5, sample: int = 20_000, rerank: int = 160, margin: float = 1.0, query_block: int = 1024, part_bytes: int = 64 << 20) -> DataFrame:
     """query_id, rank, vec_id and score (cosine): for each row whose id is divisible by `every`, the k nearest found."""
-    rows = vectors(df)
-    widths = {r["width"]: r["count"] for r in rows.groupBy("width").count().collect()}
+    rows = numbered(df, spark, "ann-rows")
     tools = {}
-    for width in widths:
-        few = rows.filter(F.col("width") == width).select("vec_id", "vector").orderBy(F.xxhash64("vec_id", F.lit(5)), "vec_id", "vector").limit(sample).toArrow()
+    for width in sorted(r["width"] for r in rows.select("width").distinct().collect()):
+        few = rows.filter(F.col("width") == width).select("vec_id", "vector", "number").orderBy(F.xxhash64("vec_id", F.lit(5)), "vec_id", "number").limit(sample).toArrow()
         points = few["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
         norms = np.sqrt((points * points).sum(1))
         tools[width] = Quantiser(width)
         if (norms > 0).any():
             tools[width].fit(points[norms > 0] / norms[norms > 0, None])
     shipped = spark.sparkContext.broadcast(tools)
-    n = sum(widths.values())
-    data = saved(packed(rows, per_block, n, "data", lambda ids, points: Block(ids, points, shipped.value)), spark, "ann-data")
-    queries = saved(packed(rows.filter(F.col("vec_id") % every == 0), query_block, -(-n // every), "queries", Block), spark, "ann-queries")
-
-    def run(met) -> Iterator[tuple]:
-        last, block, best = None, None, None
-        for key, queries, data in met:
-            if key != last:
-                if best is not None:
-                    yield results(best, block.ids)
-                last, block, best = key, queries, Best(len(queries.ids), k)
-            if len(data.ids):
-                scan(block, data, shipped.value[key[1]], best, rerank)
-        if best is not None:
-            yield results(best, block.ids)
-
-    return ranked(pairs(data, queries, spark, run), k)
+
+    def load(numbers: np.ndarray, ids: np.ndarray, points: np.ndarray) -> Block:
+        return Block(numbers, ids, points, shipped.value[points.shape[1]])
+
+    def best_of(data: Block, numbers: np.ndarray, ids: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        best, tool = Best(len(ids), k, np.float64), shipped.value[points.shape[1]]
+        for row in np.flatnonzero((points != 0).any(axis=1)).tolist() if len(data.ids) else ():
+            scan(tool, data, int(numbers[row]), points[row], best, row, rerank, margin)
+        return best.found()
+
+    return ranked(met(rows, spark, every, load, best_of, "double", query_block, part_bytes), k)
 
 
 def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

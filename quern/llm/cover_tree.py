@@ -1,31 +1,30 @@
 """Exact top-k search by inner product with a dual-tree cover-tree search.
 
-Vectors fall into blocks by a hash of their id, and so do queries. Each block is indexed once as a cover tree: a node has
-a centre that is one of its points, and the exact covering radius of all points below it; children are centred on points
-far apart. Query blocks and data blocks then meet in pairs. Two trees are descended together: a pair of nodes can't beat
-q.x = cq.cx + rq |cx| + rx |cq| + rq rx, and is pruned if that is below the worst kth score of the query node's group.
-Pairs of leaves are scored by one matrix product. A query block meets its data blocks one after another, best first, so
-that its kth scores rise; long rows of data blocks are split into chunks, whose results are merged.
+Rows are dealt over parts of bounded bytes by a hash of their row number, once, and stay there. A part is indexed as a
+cover tree: a node has a centre that is one of its points, and the exact covering radius of all points below it; children
+are centred on points far apart. Blocks of queries stream past the parts and are indexed likewise. Two trees are descended
+together: a pair of nodes can't beat q.x = cq.cx + rq |cx| + rx |cq| + rq rx, and is pruned if that is below the worst kth
+score of the query node's group. Pairs of leaves are scored by one matrix product. Each part gives k rows a query.
 
 Components are integers, scores are exact integers, and ties go to the smaller id. Null, empty or non-finite vectors and
-null ids take no part. Rows alike in id and vector count once; a query's own id is no candidate. Vectors of different
-lengths do not meet. A query with fewer candidates returns all. Scores beyond 64 bits are held to the largest long.
+null ids take no part. Rows are told apart by their number alone: repeated rows are candidates (and queries) each, and only
+a query's own row is no candidate. Vectors of different lengths do not meet. A query with fewer candidates returns all.
+Scores beyond 64 bits are held to the largest long. An empty table gives no rows. Columns but vec_id and embedding are left out.
 """
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.llm.common import saved, table
 
-EXACT = float(1 << 53)
+EXACT, LONG, TOP = float(1 << 53), float(1 << 62), (1 << 63) - 1
 
 
 def vectors(df: DataFrame) -> DataFrame:
@@ -35,11 +34,16 @@ def vectors(df: DataFrame) -> DataFrame:
     return rows.filter(F.forall("vector", fine)).withColumn("width", F.size("vector"))
 
 
+def whole(x: Column) -> Column:
+    """The floor of a double as a double: beyond 2^52 a double is whole already, and a long might not hold it."""
+    return F.when(F.abs(x) < EXACT, F.floor(x).cast("double")).otherwise(x)
+
+
 class Tree:
     """A cover tree over the rows of one block, nodes in arrays."""
 
-    def __init__(self, ids: np.ndarray, points: np.ndarray, leaf: int = 64, ways: int = 12):
-        self.ids, self.points = ids, points
+    def __init__(self, numbers: np.ndarray, ids: np.ndarray, points: np.ndarray, leaf: int = 64, ways: int = 12):
+        self.numbers, self.ids, self.points = numbers, ids, points
         self.centre: list[int] = []
         self.radius: list[float] = []
         self.children: list[list[int]] = []
@@ -85,33 +89,41 @@ class Tree:
 
 
 class Best:
-    """The k best so far of every query of a block: score, then smaller id."""
+    """The k best so far of every query of a block: score, then smaller id. Scores are whole numbers or doubles."""
 
-    def __init__(self, n: int, k: int):
-        self.scores = np.full((n, k), -np.inf)
+    def __init__(self, n: int, k: int, kind: type = np.int64):
+        self.none = np.iinfo(np.int64).min if kind is np.int64 else -np.inf
+        self.scores = np.full((n, k), self.none, kind)
         self.ids = np.full((n, k), np.iinfo(np.int64).max)
 
     def add(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
-        """Merges scores [rows, candidates]; -inf is no candidate."""
+        """Merges scores [rows, candidates]; `none` is no candidate."""
         k = self.scores.shape[1]
         hit = scores.max(axis=1) >= self.scores[rows, -1]
         rows, scores, ids = rows[hit], scores[hit], ids[hit]
         if not len(rows):
             return
         s = np.concatenate((self.scores[rows], scores), axis=1)
-        i = np.concatenate((self.ids[rows], np.where(np.isneginf(scores), np.iinfo(np.int64).max, ids)), axis=1)
-        order = np.lexsort((i, -s), axis=1)[:, :k]
+        i = np.concatenate((self.ids[rows], np.where(scores == self.none, np.iinfo(np.int64).max, ids)), axis=1)
+        order = np.lexsort((i, ~s if s.dtype == np.int64 else -s), axis=1)[:, :k]
         self.scores[rows] = np.take_along_axis(s, order, 1)
         self.ids[rows] = np.take_along_axis(i, order, 1)
 
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The query's place, vec_id and score of what has been found."""
+        at, col = np.nonzero(self.scores != self.none)
+        return at, self.ids[at, col], self.scores[at, col]
+
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products of integer vectors, as doubles; in Python's integers where doubles would round."""
-    if np.abs(a).max() * np.abs(b).max() * a.shape[1] < EXACT:
-        return a @ b.T
+    """Exact inner products of integer vectors given as doubles: by doubles, longs or Python's integers, as they fit."""
+    most = np.abs(a).max() * np.abs(b).max() * a.shape[1]
+    if most < EXACT:
+        return (a @ b.T).astype(np.int64)
+    if most < LONG:
+        return a.astype(np.int64) @ b.astype(np.int64).T
     whole = [[int(v) for v in row] for row in b]
-    top = (1 << 63) - 1
-    return np.array([[float(max(-top, min(top, sum(int(x) * y for x, y in zip(row, other, strict=True))))) for other in whole] for row in a])
+    return np.array([[max(-TOP, min(TOP, sum(x * y for x, y in zip(row, other, strict=True)))) for other in whole] for row in ([int(v) for v in r] for r in a)], np.int64)
 
 
 def search(queries: Tree, data: Tree, best: Best) -> int:
@@ -123,8 +135,8 @@ def search(queries: Tree, data: Tree, best: Best) -> int:
 
     def bounds(q: int, nodes: np.ndarray) -> np.ndarray:
         rq, rx = queries.radius[q], data.radius[nodes]
-        most = data.centres[nodes] @ queries.centres[q] + rq * data.norms[nodes] + rx * queries.norms[q] + rq * rx
-        return most + 1e-9 * (1 + np.abs(most))
+        room = rq * data.norms[nodes] + rx * queries.norms[q] + rq * rx
+        return data.centres[nodes] @ queries.centres[q] + room + 1e-9 * (1 + room + queries.norms[q] * data.norms[nodes])
 
     stack = [(float(bounds(0, np.array([0]))[0]), 0, 0)]
     while stack:
@@ -136,7 +148,7 @@ def search(queries: Tree, data: Tree, best: Best) -> int:
             rows, found = groups[q], data.rows[x]
             s = products(queries.points[rows], data.points[found])
             ids = data.ids[found]
-            s[queries.ids[rows][:, None] == ids[None, :]] = -np.inf
+            s[queries.numbers[rows][:, None] == data.numbers[found][None, :]] = best.none
             best.add(rows, s, np.broadcast_to(ids, s.shape))
             scored += 1
         elif not x_leaf and (q_leaf or data.radius[x] >= queries.radius[q]):
@@ -150,89 +162,75 @@ def search(queries: Tree, data: Tree, best: Best) -> int:
     return scored
 
 
-def _distinct(ids: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows by id, those alike in id and vector once."""
-    order = np.lexsort((*points.T[::-1], ids))
-    ids, points = ids[order], points[order]
-    again = np.concatenate(([False], (ids[1:] == ids[:-1]) & (points[1:] == points[:-1]).all(1)))
-    return ids[~again], points[~again]
-
-
-def packed(rows: DataFrame, per_block: int, n: int, name: str, make) -> DataFrame:
-    """One row a block: block, width and `make`(ids, points) pickled. Blocks are even, as a hash of the id deals them."""
-    blocks = max(1, -(-n // per_block))
+def numbered(df: DataFrame, spark: SparkSession, name: str) -> DataFrame:
+    """The rows that take part, each with its number, saved."""
+    return saved(vectors(df).withColumn("number", F.monotonically_increasing_id()), spark, name)
 
-    def each(of: pa.Table) -> pa.Table:
-        width = of["width"][0].as_py()
-        ids = of["vec_id"].to_numpy()
-        points = of["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-        return pa.table({"block": pa.array([of["block"][0].as_py()], pa.int32()), "width": pa.array([width], pa.int32()), name: pa.array([pickle.dumps(make(*_distinct(ids, points)))], pa.binary())})
 
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    return dealt.select("vec_id", "vector", "width", "block").groupBy("block", "width").applyInArrow(each, f"block int, width int, {name} binary")
+def met(rows: DataFrame, spark: SparkSession, every: int, load: Callable, search: Callable, kind: str, query_block: int = 1024, part_bytes: int = 64 << 20) -> DataFrame:
+    """query (its number), query_id, vec_id and score of every part's best for every query: rows whose id `every` divides.
 
-
-def pairs(data: DataFrame, queries: DataFrame, spark: SparkSession, run, chunk: int = 16) -> DataFrame:
-    """query_id, vec_id, score from `run`, which gets an iterator of (query block's number, its object, data objects) in turn.
-
-    Every query block meets every data block of its width: a stated query set against all rows, in blocks.
+    `load`(numbers, ids, points) makes a part's index; `search`(index, numbers, ids, points) yields (place of the query, vec_id, score)
+    arrays for a block of queries. Data rows are shuffled once; queries go to each part, of which there is one for
+    each `part_bytes` of vectors (or as many as the cluster runs at once, down to a MB each).
     """
-    q_blocks = [r["block"] for r in queries.select("block").distinct().collect()]
-    if not q_blocks:
-        return spark.createDataFrame([], "query_id long, vec_id long, score double")
-    left = data.select(F.col("block").alias("x_block"), "width", "data", F.explode(F.array(*[F.lit(b) for b in q_blocks])).alias("block"))
-    met = left.join(queries, ["block", "width"]).withColumn("chunk", F.floor(F.col("x_block") / chunk))
-    met = met.select("block", "width", "chunk", "x_block", "queries", "data")
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows():
-            last, tool = None, None
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    key = tuple(batch.column(c)[i].as_py() for c in range(3))
-                    if key != last:
-                        last, tool = key, pickle.loads(batch.column(4)[i].as_py())
-                    yield key, tool, pickle.loads(batch.column(5)[i].as_py())
-
-        for found in run(rows()):
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], schema=schema)
-
-    return met.repartition("block", "width", "chunk").sortWithinPartitions("block", "width", "chunk", "x_block").mapInArrow(each, "query_id long, vec_id long, score double")
+    size = rows.agg(F.sum("width")).first()[0] or 0
+    parts = max(1, -(-size * 8 // part_bytes), min(-(-size * 8 // (1 << 20)), spark.sparkContext.defaultParallelism))
+    own = F.pmod(F.xxhash64("number"), F.lit(parts)).cast("int")
+    columns = ["part", "width", "block", "number", "vec_id", "vector"]
+    data = rows.withColumn("part", own).withColumn("block", F.lit(-1)).select(columns)
+    blocks = max(1, -(-rows.filter(F.col("vec_id") % every == 0).count() // query_block))
+    asked = rows.filter(F.col("vec_id") % every == 0).withColumn("block", F.pmod(F.xxhash64("number", F.lit(1)), F.lit(blocks)).cast("int"))
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select(columns)
+    schema = pa.schema([("query", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64() if kind == "long" else pa.float64())])
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """Rows that stand together in part, width and block."""
+        held, last = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.stack([batch.column(c).to_numpy() for c in range(3)], axis=1)
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if last is not None and tuple(key[a]) != last:
+                    yield last, *map(np.concatenate, zip(*held, strict=True))
+                    held = []
+                last = tuple(key[a])
+                few = batch.slice(a, b - a)
+                held.append((few.column(3).to_numpy(), few.column(4).to_numpy(), few.column(5).flatten().to_numpy(zero_copy_only=False).reshape(b - a, int(last[1]))))
+        if held:
+            yield last, *map(np.concatenate, zip(*held, strict=True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, of = None, None
+        for (part, width, block), numbers, ids, points in groups(batches):
+            if block < 0:  # a part's rows come before its queries
+                index, of = load(numbers, ids, points), (part, width)
+            elif (part, width) == of:
+                at, found, scores = search(index, numbers, ids, points)
+                yield pa.RecordBatch.from_arrays([pa.array(numbers[at]), pa.array(ids[at]), pa.array(found), pa.array(scores)], schema=schema)
+
+    dealt = data.unionByName(asked).repartition(2 * parts, "part", "width").sortWithinPartitions("part", "width", "block")
+    return dealt.mapInArrow(run, f"query long, query_id long, vec_id long, score {kind}")
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
-    """The k best of every query's candidates, which are k from each chunk of blocks at most."""
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    """The k best of every query's candidates, which are k from each part at most."""
+    rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def results(best: Best, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """query_id, vec_id and score of what has been found."""
-    at, col = np.nonzero(~np.isneginf(best.scores))
-    return ids[at], best.ids[at, col], best.scores[at, col]
+def top_k(df: DataFrame, spark: SparkSession, every: int = 50, scale: float = 256.0, k: int = 5, query_block: int = 1024, part_bytes: int = 64 << 20) -> DataFrame:
+    """query_id, rank, vec_id and score: for each row whose id is divisible by `every`, the k largest inner products."""
+    rows = numbered(df, spark, "cover-rows").withColumn("vector", F.transform("vector", lambda x: whole(x * scale)))
 
+    def best_of(tree: Tree, numbers: np.ndarray, ids: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        best = Best(len(ids), k)
+        search(Tree(numbers, ids, points), tree, best)
+        return best.found()
 
-def top_k(df: DataFrame, spark: SparkSession, every: int = 50, scale: float = 256.0, k: int = 5, per_block: int = 4096, query_block: int = 1024) -> DataFrame:
-    """query_id, rank, vec_id and score: for each row whose id is divisible by `every`, the k largest inner products."""
-    rows = vectors(df).withColumn("vector", F.transform("vector", lambda x: F.floor(x * scale).cast("double")))
-    n = rows.count()
-    data = packed(rows, per_block, n, "data", Tree)
-    queries = saved(packed(rows.filter(F.col("vec_id") % every == 0), query_block, -(-n // every), "queries", Tree), spark, "cover-queries")
-
-    def run(met) -> Iterator[tuple]:
-        last, tree, best = None, None, None
-        for key, queries, data in met:
-            if key != last:
-                if best is not None:
-                    yield results(best, tree.ids)
-                last, tree, best = key, queries, Best(len(queries.ids), k)
-            search(tree, data, best)
-        if best is not None:
-            yield results(best, tree.ids)
-
-    found = pairs(saved(data, spark, "cover-data"), queries, spark, run)
-    return ranked(found, k).withColumn("score", F.col("score").cast("long"))
+    return ranked(met(rows, spark, every, Tree, best_of, "long", query_block, part_bytes), k)
 
 
 def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,13 +240,13 @@ def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
+  SELECT row_number() OVER () AS number, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::HUGEINT) AS x FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
 ), s AS (
-  SELECT q.vec_id AS query_id, d.vec_id, list_inner_product(q.x, d.x)::BIGINT AS score
-  FROM v q JOIN v d ON q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id
+  SELECT q.number, q.vec_id AS query_id, d.vec_id, list_sum(list_transform(list_zip(q.x, d.x), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v d ON q.vec_id % 50 = 0 AND q.number <> d.number AND len(q.x) = len(d.x)
 ), r AS (
-  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s
+  SELECT query_id, row_number() OVER (PARTITION BY number ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """

@@ -234,30 +234,53 @@ def vectors(spark):
 
 
 def brute(data, of):
-    fine = {(i, tuple(v)) for i, v in data if i is not None and v and all(x is not None and math.isfinite(x) for x in v)}
-    out = {}
-    for q, v in sorted(fine):
+    """By (query's place): each row is a candidate of every other row of its length."""
+    fine = [(k, i, v) for k, (i, v) in enumerate(data) if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for k, q, v in fine:
         if q % 50 == 0:
-            scores = [(-s, i) for i, w in fine if i != q and len(w) == len(v) and (s := of(v, w)) is not None]
-            out[q] = [(k + 1, i, -s) for k, (s, i) in enumerate(sorted(scores)[:5])]
-    return {q: f for q, f in out.items() if f}
+            scores = [(-s, i) for m, i, w in fine if m != k and len(w) == len(v) and (s := of(v, w)) is not None]
+            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(sorted(scores)[:5])]
+    return sorted(out)
 
 
 def test_top_k_is_exact(spark):
     df, data = vectors(spark)
-    found = {}
-    for r in rows(cover_tree.top_k(df, spark, per_block=64, query_block=4)):
-        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
     whole = lambda v: [math.floor(256 * x) for x in v]
-    assert {q: sorted(f) for q, f in found.items()} == brute(data, lambda a, b: sum(x * y for x, y in zip(whole(a), whole(b), strict=True)))
+    want = brute(data, lambda a, b: sum(x * y for x, y in zip(whole(a), whole(b), strict=True)))
+    for part_bytes in (64 << 20, 4096):
+        found = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in rows(cover_tree.top_k(df, spark, query_block=4, part_bytes=part_bytes)))
+        assert found == want
     assert rows(cover_tree.top_k(df.limit(0), spark)) == []
 
 
+def test_top_k_agrees_with_its_sql(spark):
+    import duckdb
+
+    df, data = vectors(spark)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding DOUBLE[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", [(i, v) for i, v in data])
+    want = sorted(con.execute(cover_tree.ORACLE).fetchall())
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in rows(cover_tree.top_k(df, spark))) == want
+
+
+def test_top_k_scores_are_exact_beyond_doubles(spark):
+    data = [(0, [1e6, 1.0]), (1, [1e6, 1.0]), (2, [1e6, 1.0 + 1 / 256]), (3, [1e6, 1.0]), (50, [2.0**40, 3.0]), (51, [2.0**41, 5.0])]
+    whole = lambda v: [math.floor(256 * x) for x in v]
+    top = (1 << 63) - 1
+    want = brute(data, lambda a, b: max(-top, min(top, sum(x * y for x, y in zip(whole(a), whole(b), strict=True)))))
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in rows(cover_tree.top_k(df, spark))) == want
+    a = np.random.default_rng(3).integers(-(1 << 29), 1 << 29, (9, 4)).astype(float)
+    assert (cover_tree.products(a, a) == [[sum(int(x) * int(y) for x, y in zip(p, q, strict=True)) for q in a] for p in a]).all()
+
+
 def test_pruning_skips_pairs():
     r = np.random.default_rng(2)
     centres = r.normal(0, 2000, (12, 8))
     points = np.floor(np.repeat(centres, 100, 0) + r.normal(0, 5, (1200, 8)))
-    data, queries = cover_tree.Tree(np.arange(1200), points), cover_tree.Tree(np.arange(40), points[:40])
+    data, queries = cover_tree.Tree(np.arange(1200), np.arange(1200), points), cover_tree.Tree(np.arange(40), np.arange(40), points[:40])
     best = cover_tree.Best(40, 5)
     leaves = sum(x is not None for x in data.rows) * sum(x is not None for x in queries.rows)
     assert cover_tree.search(queries, data, best) < leaves / 2
@@ -266,22 +289,30 @@ def test_pruning_skips_pairs():
     assert (best.scores == -np.sort(-scores, axis=1)[:, :5]).all()
 
 
+def cosine(a, b):
+    a, b = np.array(a), np.array(b)
+    size = np.sqrt((a * a).sum()) * np.sqrt((b * b).sum())
+    return None if size == 0 else float((a * b).sum() / size)
+
+
 def test_nearest_reaches_its_recall(spark):
     df, data = vectors(spark)
+    want = brute(data, cosine)
+    for part_bytes in (64 << 20, 4096):
+        found = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in rows(ann.nearest(df, spark, rerank=10, part_bytes=part_bytes)))
+        assert [f[:2] for f in found] == [w[:2] for w in want]
+        assert all(abs(f[3] - w[3]) < 1e-12 for f, w in zip(found, want, strict=True))
+    assert rows(ann.nearest(df.limit(0), spark)) == []
 
-    def cosine(a, b):
-        a, b = np.array(a), np.array(b)
-        size = np.sqrt((a * a).sum()) * np.sqrt((b * b).sum())
-        return None if size == 0 else float((a * b).sum() / size)
 
+def test_nearest_in_a_tight_group(spark):
+    # A third of all rows differ by less than codes tell apart; their neighbours are found all the same.
+    r = np.random.default_rng(6)
+    middle = r.normal(0, 1, 16)
+    data = [(i, (middle + r.normal(0, 0.02, 16) if i % 3 == 0 else r.normal(0, 1, 16)).tolist()) for i in range(1500)]
     want = brute(data, cosine)
-    found = {}
-    for r in rows(ann.nearest(df, spark, rerank=40, per_block=128)):
-        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
-    hits = sum(len({i for _, i, _ in found[q]} & {i for _, i, _ in f}) for q, f in want.items())
-    assert found.keys() == want.keys() and hits >= 0.9 * sum(map(len, want.values()))
-    assert all(abs(s - cosine(dict(data)[q], dict(data)[i])) < 1e-12 for q, f in found.items() for _, i, s in f)
-    assert rows(ann.nearest(df.limit(0), spark)) == []
+    found = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in rows(ann.nearest(spark.createDataFrame(data, "vec_id long, embedding array<double>"), spark, rerank=20)))
+    assert [f[:3] for f in found] == [w[:3] for w in want]
 
 
 # ---- 5: near-duplicates
