@@ -1,16 +1,23 @@
 """BPE encoding and decoding by a tokenization automaton.
 
-The automaton reads tokens: a state is the token read last, and a transition exists where two tokens may stand side by
-side in a BPE tokenization. It starts from the bare alphabet, where every symbol may follow every other, and one gadget
-for each merge (a, b) -> c, in the order of the merges, changes it: it adds the state c, which inherits b's ways out and
-a's ways in, and it cuts a from b, as they are merged from that rank on. What a state inherits are its spines: on the
+The automaton over tokens comes first: a state is the token read last, and a transition exists where two tokens may stand
+side by side in a BPE tokenization. It starts from the bare alphabet, where every symbol may follow every other, and one
+gadget for each merge (a, b) -> c, in the order of the merges, changes it: it adds the state c, which inherits b's ways out
+and a's ways in, and it cuts a from b, as they are merged from that rank on. What a state inherits are its spines: on the
 right, the token itself and the right parts that it was made of, each with the rank of the merge that consumed it; on
 the left likewise. A transition x -> y is missing exactly if a cut (u, v) of some rank holds for a u of x's right spine
-and a v of y's left spine that were both still unconsumed at that rank. A word has one accepted path, its encoding:
-deterministic, as every prefix of a word has one accepted last token. Decoding emits the labels of the arcs.
+and a v of y's left spine that were both still unconsumed at that rank.
+
+Every prefix of a word has one accepted path, and so one accepted last token. Over letters, the automaton is therefore
+made deterministic: a state of the table is the set of tokens that are open after a prefix, each as the token before it
+and the letters of it that have been read; its first member is the token that the prefix ends with. One table row a state
+holds the next state for each letter, another the last token for a letter that ends the word. Rows are filled when first
+needed, up to `STATES` of them, then anew. Words are read in step, one table look-up a letter for all of them at once, and
+the tokens are read off backwards from each word's end: nothing is tried twice. Decoding emits the labels of the arcs.
 
 Words are pre-split as the vocabulary file says; plain texts by a pattern, texts with rarer characters by the file's own
-normalizer and splitter. Null texts are empty: no ids, and empty decoded text. Texts are encoded whole.
+normalizer and splitter. Null texts are empty: no ids, and empty decoded text. Texts are encoded whole, however long. Repeated
+rows come out as often as they stand; an empty table gives no rows; columns but doc_id and text, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -18,13 +25,19 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections.abc import Iterator
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm.common import arrow_map, table, texts
 
 NEVER = 1 << 60
+#: Most states of the table at a time: 32 MB.
+STATES = 1 << 14
+#: Words up to this many letters are read in step, longer ones alone.
+STEP = 64
 #: Characters for which lower-casing and splitting need no tables beyond the pattern's.
 RARE = re.compile(r"[^\x20-\x7e\n\t\r\xa1-įı-ɏ]")
 
@@ -52,8 +65,6 @@ class Automaton:
         self.left: dict[str, tuple[tuple[str, int], ...]] = {}
         self.arcs: dict[tuple[str, str], bool] = {}
         self.made: dict[str, tuple[str, str]] = {}
-        #: Longest token that starts with a letter, so that no longer arc is tried.
-        self.reach: dict[str, int] = {}
         made = {a + b for a, b in merges}
         for token in vocab:
             if token not in made:
@@ -62,15 +73,161 @@ class Automaton:
             self.gadget(a, b, rank)
         #: What arcs may carry: tokens that their own letters make, and no others that the vocabulary lists.
         self.tokens = frozenset(t for t in self.right if self.whole(t))
+        self._letters()
+        self._restart()
 
     def state(self, token: str) -> None:
         """A state of the alphabet: nothing consumes it."""
         self.right[token] = self.left[token] = ((token, NEVER),)
-        self._reaches(token)
 
-    def _reaches(self, token: str) -> None:
-        n = len(token.removesuffix(self.word_end)) if token.endswith(self.word_end) else len(token)
-        self.reach[token[0]] = max(n, self.reach.get(token[0], 1))
+    def _letters(self) -> None:
+        """The letters of all tokens as a tree: byte + 256 for a letter that ends a word, as it is no letter within one."""
+        at = {x: b for b, x in enumerate(byte_letters())}
+        self.tree: dict[int, int] = {}
+        self.token_at, self.goes_on = [-1], [True]
+        self.sizes = np.zeros(max(self.ids.values()) + 1, np.int64)
+        for token in self.tokens:
+            ends = token.endswith(self.word_end) and token != self.word_end
+            letters = token.removesuffix(self.word_end) if ends else token
+            if any(x not in at for x in letters):
+                continue  # no byte spells it
+            symbols = [at[x] for x in letters]
+            symbols[-1] += 256 * ends
+            node = 0
+            for x in symbols:
+                self.goes_on[node] = True
+                below = self.tree.get(node * 512 + x)
+                if below is None:
+                    below = self.tree[node * 512 + x] = len(self.token_at)
+                    self.token_at.append(-1)
+                    self.goes_on.append(False)
+                node = below
+            self.token_at[node] = self.ids[token]
+            self.sizes[self.ids[token]] = len(symbols)
+
+    def _restart(self) -> None:
+        """An empty table with the start alone: no token before, no letters read."""
+        self.states: list[tuple[tuple[int, int], ...]] = [((-1, 0),)]
+        self.index = {self.states[0]: 0}
+        self.go = np.full((64, 256), -1, np.int32)
+        self.end = np.full((64, 256), -1, np.int32)
+        self.last = np.full(64, -1, np.int32)
+
+    def accepted(self, state: int, symbol: int) -> list[int]:
+        """The tokens that a prefix may end with after one more letter: there is one."""
+        out = []
+        for before, node in self.states[state]:
+            token = self.token_at[below] if (below := self.tree.get(node * 512 + symbol)) is not None else -1
+            if token >= 0 and (before < 0 or self.follows(self.labels[before], self.labels[token])):
+                out.append(token)
+        return out
+
+    def _fill(self, state: int, byte: int) -> None:
+        """The table's entry for a letter within a word."""
+        found = self.accepted(state, byte)
+        if not found:
+            raise ValueError(f"no token for byte {byte}")
+        new = ((found[0], 0), *((before, below) for before, node in self.states[state] if (below := self.tree.get(node * 512 + byte)) is not None and self.goes_on[below]))
+        at = self.index.get(new)
+        if at is None:
+            at = self.index[new] = len(self.states)
+            self.states.append(new)
+            if at == len(self.last):
+                self.go, self.end = (np.concatenate((x, np.full_like(x, -1))) for x in (self.go, self.end))
+                self.last = np.concatenate((self.last, np.full_like(self.last, -1)))
+            self.last[at] = found[0]
+        self.go[state, byte] = at
+
+    def _fill_end(self, state: int, byte: int) -> None:
+        """The table's entry for a letter that ends a word."""
+        found = self.accepted(state, byte + 256)
+        if not found:
+            raise ValueError(f"no token for byte {byte} at a word's end")
+        self.end[state, byte] = found[0]
+
+    def _next(self, states: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        """One look-up for each word."""
+        found = self.go[states, letters]
+        if (found < 0).any():
+            for key in np.unique(states[found < 0].astype(np.int64) * 256 + letters[found < 0]).tolist():
+                self._fill(key >> 8, key & 255)
+            found = self.go[states, letters]
+        return found
+
+    def _finish(self, states: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        found = self.end[states, letters]
+        if (found < 0).any():
+            for key in np.unique(states[found < 0].astype(np.int64) * 256 + letters[found < 0]).tolist():
+                self._fill_end(key >> 8, key & 255)
+            found = self.end[states, letters]
+        return found
+
+    def paths(self, words: list[bytes]) -> list[list[int]]:
+        """The ids of every word, none of them empty."""
+        out: list[list[int]] = [[]] * len(words)
+        short = sorted((k for k, w in enumerate(words) if len(w) <= STEP), key=lambda k: -len(words[k]))
+        for low in range(0, len(short), 1024):
+            if len(self.states) > STATES:
+                self._restart()
+            part = short[low : low + 1024]
+            for k, ids in zip(part, self._in_step([words[k] for k in part]), strict=True):
+                out[k] = ids
+        for k, w in enumerate(words):
+            if len(w) > STEP:
+                out[k] = self._alone(w)
+        return out
+
+    def _in_step(self, words: list[bytes]) -> list[list[int]]:
+        """Words of falling length, one letter of all of them at a time."""
+        sizes = np.array([len(w) for w in words])
+        n, most = len(words), int(sizes[0])
+        letters = np.frombuffer(b"".join(w.ljust(most, b"\0") for w in words), np.uint8).reshape(n, most)
+        last, states = np.zeros((n, most), np.int32), np.zeros(n, np.int32)
+        for at in range(most):
+            within = int(np.searchsorted(-sizes, -(at + 1)))  # longer than at + 1
+            ending = int(np.searchsorted(-sizes, -at))
+            if ending > within:
+                last[within:ending, at] = self._finish(states[within:ending], letters[within:ending, at])
+            if within:
+                states = self._next(states[:within], letters[:within, at])
+                last[:within, at] = self.last[states]
+        # Backwards: the last token, then the one that its first letter's prefix ends with, and so on.
+        left, rows, steps = sizes.copy(), np.arange(n), []
+        while len(rows):
+            tokens = last[rows, left[rows] - 1]
+            steps.append((rows, tokens))
+            left[rows] -= self.sizes[tokens]
+            rows = rows[left[rows] > 0]
+        out: list[list[int]] = [[] for _ in words]
+        for rows, tokens in reversed(steps):
+            for k, token in zip(rows.tolist(), tokens.tolist(), strict=True):
+                out[k].append(token)
+        return out
+
+    def _alone(self, word: bytes) -> list[int]:
+        state, last = 0, []
+        for byte in word[:-1]:
+            new = int(self.go[state, byte])
+            if new < 0:
+                if len(self.states) > STATES:  # the state goes on in the new table
+                    held = self.states[state]
+                    self._restart()
+                    state = 1
+                    self.states.append(held)
+                    self.index[held] = 1
+                    self.last[1] = held[0][0]
+                self._fill(state, byte)
+                new = int(self.go[state, byte])
+            state = new
+            last.append(int(self.last[state]))
+        if self.end[state, word[-1]] < 0:
+            self._fill_end(state, word[-1])
+        last.append(int(self.end[state, word[-1]]))
+        out, at = [], len(word)
+        while at:
+            out.append(last[at - 1])
+            at -= int(self.sizes[last[at - 1]])
+        return out[::-1]
 
     def gadget(self, a: str, b: str, rank: int) -> None:
         """One merge: cuts b from a, and adds their union's state with what it inherits."""
@@ -81,7 +238,6 @@ class Automaton:
         self.made[whole] = a, b
         self.right[whole] = ((whole, NEVER), (b, rank), *self.right[b][1:])
         self.left[whole] = ((whole, NEVER), (a, rank), *self.left[a][1:])
-        self._reaches(whole)
 
     def follows(self, x: str, y: str) -> bool:
         """Whether there is a transition from state x by token y; of overlapping equal merges the leftmost goes first."""
@@ -98,40 +254,6 @@ class Automaton:
             self.arcs[x, y] = known
         return known
 
-    def path(self, word: str) -> list[str]:
-        """The labels of the one accepted path over a word's letters; the last letter carries the word end."""
-        n, end, tokens, reach, arcs = len(word), self.word_end, self.tokens, self.reach, self.arcs
-        if word + end in tokens:
-            return [word + end]
-        dead: set[tuple[str, int]] = set()
-        # The path so far, the place after each of its arcs, and the next length to try at each place, longest first.
-        path: list[str] = []
-        places, todo = [0], [min(n, reach.get(word[0], 1))]
-        while places[-1] < n:
-            at, last = places[-1], path[-1] if path else None
-            for size in range(todo[-1], 0, -1):
-                stop = at + size
-                token = word[at:stop] if stop < n else word[at:] + end
-                if token not in tokens:
-                    continue
-                if last is not None:
-                    known = arcs.get((last, token))
-                    if not (self.follows(last, token) if known is None else known):
-                        continue
-                if dead and (token, stop) in dead:
-                    continue
-                todo[-1] = size - 1
-                path.append(token)
-                places.append(stop)
-                todo.append(min(n - stop, reach.get(word[stop], 1)) if stop < n else 0)
-                break
-            else:
-                if not path:
-                    raise ValueError(f"no path over {word!r}")
-                dead.add((path.pop(), places.pop()))
-                todo.pop()
-        return path
-
     def whole(self, token: str) -> bool:
         """Whether a token's own letters make it: every part of it that a merge made must have come about that way."""
         made = self.made.get(token)
@@ -160,62 +282,65 @@ class Tokenizer:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.marks = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        letters = byte_letters()
-        self.letters = {i: x for i, x in enumerate(letters)}
+        self.bytes = {x: b for b, x in enumerate(byte_letters())}
         #: Pieces of text: their ids, a tab, and the labels that these decode to.
         self.known: dict[str, str] = {}
         self.remember = remember
 
-    def _learn(self, word: str, spelled: str | None = None) -> str:
-        """A word's ids and the labels that its ids decode to."""
-        spelled = spelled or word.encode().decode("latin-1").translate(self.letters)
-        auto = self.automaton
-        ids = [auto.ids[t] for t in auto.path(spelled)]
-        return self._store(word, " ".join(map(str, ids)) + "\t" + " ".join(auto.labels[i] for i in ids))
+    def _words(self, piece: str) -> list[bytes]:
+        """The words of a piece between blanks, or of a word that the file's own splitter has spelled in byte letters."""
+        if piece[0] == "\0" and len(piece) > 1:
+            return [bytes(map(self.bytes.__getitem__, piece[1:]))]
+        return [w.encode() for w in self.split.findall(piece)]
 
-    def _store(self, word: str, found: str) -> str:
-        if len(self.known) < self.remember and len(word) < 64:  # the frequent ones come first
-            self.known[word] = found
-        return found
+    def _pieces(self, text: str) -> list[str]:
+        """What a text is looked up by: pieces between blanks, which the pattern never crosses, and marks."""
+        found: list[str] = []
+        for part in self.marks.split(text) if self.marks and "<|" in text else (text,):
+            if part in self.special:
+                found.append("\0\0" + part)
+            elif not RARE.search(part):
+                found += part.lower().split()
+            elif part:
+                if self.rare is None:
+                    import tokenizers
 
-    def _plain(self, text: str) -> list[str]:
-        """By pieces between blanks, which the pattern never crosses; pieces are remembered whole."""
-        pieces = text.lower().split()
-        found = list(map(self.known.get, pieces))
-        if None in found:
-            for k, (piece, known) in enumerate(zip(pieces, found, strict=True)):
-                if known is None:
-                    found[k] = self.known.get(piece) or self._piece(piece)
+                    self.rare = tokenizers.Tokenizer.from_str(self.file)
+                found += ["\0" + w for w, _ in self.rare.pre_tokenizer.pre_tokenize_str(self.rare.normalizer.normalize_str(part)) if w]
         return found
 
-    def _piece(self, piece: str) -> str:
-        words = self.split.findall(piece)
-        if words == [piece]:
-            return self._learn(piece)
-        each = "\t".join([self.known.get(w) or self._learn(w) for w in words]).split("\t")
-        return self._store(piece, " ".join(each[::2]) + "\t" + " ".join(each[1::2]))
-
-    def _rare(self, text: str) -> list[str]:
-        """By the file's own normalizer and splitter, which spell words in byte letters; the automaton encodes."""
-        if self.rare is None:
-            import tokenizers
-
-            self.rare = tokenizers.Tokenizer.from_str(self.file)
-        words = self.rare.pre_tokenizer.pre_tokenize_str(self.rare.normalizer.normalize_str(text))
-        return [self.known.get("\0" + w) or self._learn("\0" + w, w) for w, _ in words if w]
+    def _learn(self, pieces: list[str]) -> dict[str, str]:
+        """What new pieces are encoded as."""
+        auto, out = self.automaton, {}
+        each = [() if p.startswith("\0\0") else self._words(p) for p in pieces]
+        words = list(dict.fromkeys(w for ws in each for w in ws))
+        paths = dict(zip(words, auto.paths(words), strict=True))
+        for piece, ws in zip(pieces, each, strict=True):
+            if not ws:
+                out[piece] = f"{self.special[piece[2:]]}\t{piece[2:]}"
+                continue
+            ids = [i for w in ws for i in paths[w]]
+            out[piece] = " ".join(map(str, ids)) + "\t" + " ".join([auto.labels[i] for i in ids])
+        return out
+
+    def encode_all(self, some: list[str]) -> list[tuple[str, str]]:
+        """Each text's ids, and the text that they decode to, each joined by one space."""
+        pieces = [self._pieces(t) for t in some]
+        new = self._learn([p for p in dict.fromkeys(x for ps in pieces for x in ps) if p not in self.known])
+        out = []
+        for ps in pieces:
+            each = "\t".join([self.known.get(p) or new[p] for p in ps]).split("\t")  # labels hold no tab: it has a letter of its own
+            out.append((" ".join(each[::2]), " ".join(each[1::2])))
+        for piece, found in new.items():
+            if len(self.known) >= self.remember:
+                break
+            if len(piece) < 64:  # the frequent ones come first
+                self.known[piece] = found
+        return out
 
     def encode(self, text: str) -> tuple[str, str]:
-        """A text's ids, and the text that they decode to, each joined by one space."""
-        found: list[str] = []
-        for part in self.marks.split(text) if self.marks and "<|" in text else (text,):
-            if part in self.special:
-                found.append(f"{self.special[part]}\t{part}")
-            elif part:
-                found += self._rare(part) if RARE.search(part) else self._plain(part)
-        if not found:
-            return "", ""
-        each = "\t".join(found).split("\t")  # labels hold no tab: it has a letter of its own
-        return " ".join(each[::2]), " ".join(each[1::2])
+        """One text's ids and what they decode to."""
+        return self.encode_all([text])[0]
 
     def decode(self, ids: list[int]) -> str:
         """The labels of ids."""
@@ -235,6 +360,19 @@ def tokenizer(file: str) -> Tokenizer:
     return _TOKENIZERS[key]
 
 
+def by_size(some: list[str], size: int = 1 << 19) -> Iterator[list[str]]:
+    """Lists of whole texts of about `size` characters, so that one step's words stay few."""
+    held, n = [], 0
+    for text in some:
+        if held and n + len(text) > size:
+            yield held
+            held, n = [], 0
+        held.append(text)
+        n += len(text)
+    if held:
+        yield held
+
+
 def forget_tables() -> None:
     """Gives this process's tables and freed memory back, for stages that follow in the same workers."""
     import ctypes
@@ -271,13 +409,13 @@ def encode(df: DataFrame, path: str | None = None, with_ids: bool = False, keep_
     def each(part: dict) -> dict:
         tool = tokenizer(file.value)
         out = {k: [] for k in ("n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else []))}
-        for text in texts(part["text"]):
-            ids, decoded = tool.encode(text)
-            out["n_tokens"].append(ids.count(" ") + 1 if ids else 0)
-            out["ids_sha256"].append(hashlib.sha256(ids.encode()).hexdigest())
-            out["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
-            if with_ids:
-                out["ids"].append(list(map(int, ids.split())))
+        for few in by_size(texts(part["text"])):
+            for ids, decoded in tool.encode_all(few):
+                out["n_tokens"].append(ids.count(" ") + 1 if ids else 0)
+                out["ids_sha256"].append(hashlib.sha256(ids.encode()).hexdigest())
+                out["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
+                if with_ids:
+                    out["ids"].append(list(map(int, ids.split())))
         return {"doc_id": part["doc_id"]} | out
 
     return arrow_map(df.select("doc_id", "text"), each, schema + (",ids array<int>" if with_ids else ""), after=None if keep_tables else forget_tables)

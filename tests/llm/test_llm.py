@@ -422,6 +422,37 @@ def test_encoding_equals_the_library(spark, odd):
     assert {r.ids_sha256 for r in found} == {hashlib.sha256(" ".join(map(str, w)).encode()).hexdigest() for w in want}
 
 
+def test_every_prefix_has_one_last_token():
+    with open(bpe.vocabulary(), encoding="utf-8") as f:
+        auto = bpe.Tokenizer(f.read()).automaton
+    for k in range(400):
+        word = "".join(rng.choice(SYLLABLES + ["ü", "9", "-", "ing", "q"]) for _ in range(rng.randrange(1, 9))).encode()
+        state = 0
+        for byte in word[:-1]:
+            assert len(auto.accepted(state, byte)) == 1, word
+            state = int(auto._next(np.array([state]), np.array([byte]))[0])
+        assert len(auto.accepted(state, word[-1] + 256)) == 1, word
+        assert auto.paths([word]) == [auto._alone(word)]
+
+
+def test_tables_start_anew(monkeypatch):
+    monkeypatch.setattr(bpe, "STATES", 50)
+    with open(bpe.vocabulary(), encoding="utf-8") as f:
+        small = bpe.Tokenizer(f.read(), remember=10)
+    monkeypatch.undo()
+    with open(bpe.vocabulary(), encoding="utf-8") as f:
+        large = bpe.Tokenizer(f.read())
+    some = [prose(200, k) + " " + "".join(rng.choice("aeinorst-") for _ in range(300)) for k in range(5)]
+    monkeypatch.setattr(bpe, "STATES", 50)
+    found = [small.encode(t) for t in some]
+    monkeypatch.undo()
+    assert found == large.encode_all(some)
+
+
+def test_empty_table_has_no_ids(spark):
+    assert rows(bpe.encode(documents(spark, []))) == []
+
+
 # ---- 8: sentence spans
 
 
