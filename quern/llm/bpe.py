@@ -10,9 +10,9 @@ and a v of y's left spine that were both still unconsumed at that rank.
 
 Every prefix of a word has one accepted path, and so one accepted last token. Over letters, the automaton is therefore
 made deterministic: a state of the table is the set of tokens that are open after a prefix, each as the token before it
-and the letters of it that have been read; its first member is the token that the prefix ends with. One table row a state
-holds the next state for each letter, another the last token for a letter that ends the word. Rows are filled when first
-needed, up to `STATES` of them, then anew. Words are read in step, one table look-up a letter for all of them at once, and
+and the letters of it that have been read; its first member is the token that the prefix ends with. A table holds the
+next state for state and letter, and the last token for a letter that ends the word. Entries are made when first needed,
+for up to `STATES` states, then anew. Words are read in step, one table look-up a letter for all of them at once, and
 the tokens are read off backwards from each word's end: nothing is tried twice. Decoding emits the labels of the arcs.
 
 Words are pre-split as the vocabulary file says; plain texts by a pattern, texts with rarer characters by the file's own
@@ -34,8 +34,11 @@ from pyspark.sql import DataFrame, SparkSession
 from quern.llm.common import arrow_map, table, texts
 
 NEVER = 1 << 60
-#: Most states of the table at a time: 32 MB.
-STATES = 1 << 14
+#: Most states at a time (about 40 MB), and slots of the table of transitions, where a new one overwrites an old one.
+STATES, SLOTS = 1 << 16, 1 << 20
+#: Slots of the table of token pairs; what stands for no token before; odd factors that mix hashes.
+PAIRS, NONE = 1 << 19, 1 << 18
+MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 #: Words up to this many letters are read in step, longer ones alone.
 STEP = 64
 #: Characters for which lower-casing and splitting need no tables beyond the pattern's.
@@ -63,7 +66,6 @@ class Automaton:
         self.cuts: dict[str, dict[str, int]] = {}
         self.right: dict[str, tuple[tuple[str, int], ...]] = {}
         self.left: dict[str, tuple[tuple[str, int], ...]] = {}
-        self.arcs: dict[tuple[str, str], bool] = {}
         self.made: dict[str, tuple[str, str]] = {}
         made = {a + b for a, b in merges}
         for token in vocab:
@@ -81,10 +83,10 @@ class Automaton:
         self.right[token] = self.left[token] = ((token, NEVER),)
 
     def _letters(self) -> None:
-        """The letters of all tokens as a tree: byte + 256 for a letter that ends a word, as it is no letter within one."""
+        """The letters of all tokens as a tree of sorted arcs: byte + 256 for a letter that ends a word, as it is no letter within one."""
         at = {x: b for b, x in enumerate(byte_letters())}
-        self.tree: dict[int, int] = {}
-        self.token_at, self.goes_on = [-1], [True]
+        tree: dict[int, int] = {}
+        token_at, goes_on = [-1], [True]
         self.sizes = np.zeros(max(self.ids.values()) + 1, np.int64)
         for token in self.tokens:
             ends = token.endswith(self.word_end) and token != self.word_end
@@ -95,101 +97,139 @@ class Automaton:
             symbols[-1] += 256 * ends
             node = 0
             for x in symbols:
-                self.goes_on[node] = True
-                below = self.tree.get(node * 512 + x)
+                goes_on[node] = True
+                below = tree.get(node * 512 + x)
                 if below is None:
-                    below = self.tree[node * 512 + x] = len(self.token_at)
-                    self.token_at.append(-1)
-                    self.goes_on.append(False)
+                    below = tree[node * 512 + x] = len(token_at)
+                    token_at.append(-1)
+                    goes_on.append(False)
                 node = below
-            self.token_at[node] = self.ids[token]
+            token_at[node] = self.ids[token]
             self.sizes[self.ids[token]] = len(symbols)
-
-    def _restart(self) -> None:
-        """An empty table with the start alone: no token before, no letters read."""
-        self.states: list[tuple[tuple[int, int], ...]] = [((-1, 0),)]
-        self.index = {self.states[0]: 0}
-        self.go = np.full((64, 256), -1, np.int32)
-        self.end = np.full((64, 256), -1, np.int32)
-        self.last = np.full(64, -1, np.int32)
-
-    def accepted(self, state: int, symbol: int) -> list[int]:
-        """The tokens that a prefix may end with after one more letter: there is one."""
-        out = []
-        for before, node in self.states[state]:
-            token = self.token_at[below] if (below := self.tree.get(node * 512 + symbol)) is not None else -1
-            if token >= 0 and (before < 0 or self.follows(self.labels[before], self.labels[token])):
-                out.append(token)
+        keys = np.fromiter(tree, np.int64, len(tree))
+        order = np.argsort(keys)
+        self.arc_keys, self.arc_ends = keys[order], np.fromiter(tree.values(), np.int32, len(tree))[order]
+        self.token_at, self.goes_on = np.array(token_at, np.int32), np.array(goes_on)
+        self.pairs, self.may = np.full(PAIRS, -1, np.int64), np.zeros(PAIRS, bool)
+
+    def _restart(self, start: tuple[tuple[int, int], ...] = ((-1, 0),)) -> None:
+        """An empty table with one state: at first no token before, no letters read."""
+        self.asked, self.goal = np.full(SLOTS, -1, np.int64), np.zeros(SLOTS, np.int32)
+        self.last = np.array([start[0][0]], np.int32)
+        self.index: dict[tuple[int, int], int] = {}
+        # The members of states, one state after another: the token before, and the place in the tree.
+        self.before, self.node = np.array([m[0] for m in start], np.int32), np.array([m[1] for m in start], np.int32)
+        self.first, self.count = np.zeros(1, np.int64), np.array([len(start)], np.int64)
+
+    def _follow(self, before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        """`follows` for arrays, by a table of pairs that new ones overwrite."""
+        key = before.astype(np.int64) << 20 | tokens
+        slot = ((key.astype(np.uint64) * MIX[0]) >> np.uint64(64 - PAIRS.bit_length() + 1)).astype(np.int64)
+        new = self.pairs[slot] != key
+        out = self.may[slot]
+        if new.any():
+            some, back = np.unique(key[new], return_inverse=True)
+            found = np.array([x >> 20 == NONE or self.follows(self.labels[x >> 20], self.labels[x & 0xFFFFF]) for x in some.tolist()])
+            out[new] = found[back]
+            self.pairs[slot[new]], self.may[slot[new]] = key[new], found[back]
         return out
 
-    def _fill(self, state: int, byte: int) -> None:
-        """The table's entry for a letter within a word."""
-        found = self.accepted(state, byte)
-        if not found:
-            raise ValueError(f"no token for byte {byte}")
-        new = ((found[0], 0), *((before, below) for before, node in self.states[state] if (below := self.tree.get(node * 512 + byte)) is not None and self.goes_on[below]))
-        at = self.index.get(new)
-        if at is None:
-            at = self.index[new] = len(self.states)
-            self.states.append(new)
-            if at == len(self.last):
-                self.go, self.end = (np.concatenate((x, np.full_like(x, -1))) for x in (self.go, self.end))
-                self.last = np.concatenate((self.last, np.full_like(self.last, -1)))
-            self.last[at] = found[0]
-        self.go[state, byte] = at
-
-    def _fill_end(self, state: int, byte: int) -> None:
-        """The table's entry for a letter that ends a word."""
-        found = self.accepted(state, byte + 256)
-        if not found:
-            raise ValueError(f"no token for byte {byte} at a word's end")
-        self.end[state, byte] = found[0]
-
-    def _next(self, states: np.ndarray, letters: np.ndarray) -> np.ndarray:
-        """One look-up for each word."""
-        found = self.go[states, letters]
-        if (found < 0).any():
-            for key in np.unique(states[found < 0].astype(np.int64) * 256 + letters[found < 0]).tolist():
-                self._fill(key >> 8, key & 255)
-            found = self.go[states, letters]
-        return found
+    def accepted(self, states: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, ...]:
+        """One more letter for each state: which of them (owner), the token accepted and the members that stay open, flat."""
+        n = self.count[states]
+        owner = np.repeat(np.arange(len(states)), n)
+        at = np.repeat(self.first[states] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        key = self.node[at].astype(np.int64) * 512 + symbols[owner]
+        place = np.minimum(np.searchsorted(self.arc_keys, key), len(self.arc_keys) - 1)
+        ok = self.arc_keys[place] == key
+        owner, before, node = owner[ok], self.before[at[ok]], self.arc_ends[place[ok]]
+        token = self.token_at[node]
+        ends = np.flatnonzero(token >= 0)
+        ends = ends[self._follow(np.where(before[ends] < 0, NONE, before[ends]), token[ends])]
+        return owner[ends], token[ends], owner, before, node
+
+    def _one(self, owner: np.ndarray, token: np.ndarray, n: int) -> np.ndarray:
+        """The accepted token of each of n states."""
+        out = np.full(n, -1, np.int32)
+        out[owner] = token
+        if (out < 0).any():
+            raise ValueError("a letter that the vocabulary doesn't spell")
+        return out
 
-    def _finish(self, states: np.ndarray, letters: np.ndarray) -> np.ndarray:
-        found = self.end[states, letters]
-        if (found < 0).any():
-            for key in np.unique(states[found < 0].astype(np.int64) * 256 + letters[found < 0]).tolist():
-                self._fill_end(key >> 8, key & 255)
-            found = self.end[states, letters]
-        return found
+    def _fill(self, states: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        """The states that letters within words lead to."""
+        ends, token, owner, before, node = self.accepted(states, letters)
+        last = self._one(ends, token, len(states))
+        on = self.goes_on[node]
+        owner, before, node = (np.concatenate(x) for x in ((np.arange(len(states)), owner[on]), (last, before[on]), (np.zeros(len(states), np.int32), node[on])))
+        order = np.argsort(owner, kind="stable")  # the accepted token comes first
+        owner, before, node = owner[order], before[order], node[order]
+        n = np.bincount(owner, minlength=len(states))
+        first = np.cumsum(n) - n
+        # States are alike if their members are, which 128 bits of hashes tell.
+        key = ((before + 1).astype(np.uint64) << np.uint64(32)) | node.astype(np.uint64)
+        marks = []
+        for by in MIX:
+            x = (key + by) * by
+            x = (x ^ (x >> np.uint64(31))) * MIX[0]
+            marks.append(np.add.reduceat(x ^ (x >> np.uint64(29)), first).tolist())
+        new, to, size = [], [], len(self.last)
+        for k, mark in enumerate(zip(*marks, strict=True)):
+            found = self.index.get(mark)
+            if found is None:
+                found = self.index[mark] = size + len(new)
+                new.append(k)
+            to.append(found)
+        if new:
+            k = np.array(new)
+            take = np.repeat(first[k] - (np.cumsum(n[k]) - n[k]), n[k]) + np.arange(int(n[k].sum()))
+            self.first = np.concatenate((self.first, len(self.before) + np.cumsum(n[k]) - n[k]))
+            self.count = np.concatenate((self.count, n[k]))
+            self.before, self.node = np.concatenate((self.before, before[take])), np.concatenate((self.node, node[take]))
+            self.last = np.concatenate((self.last, last[k]))
+        return np.array(to, np.int32)
+
+    def _look(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """One look-up for each word: the next state, or the last token where the symbol ends the word. Missing entries are filled."""
+        key = states * 512 + symbols
+        slot = ((key.astype(np.uint64) * MIX[0]) >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+        out, new = self.goal[slot], self.asked[slot] != key
+        if new.any():
+            some, back = np.unique(key[new], return_inverse=True)
+            found = self._one(*self.accepted(some >> 9, some & 511)[:2], len(some)) if some[0] & 256 else self._fill(some >> 9, some & 511)
+            out[new] = found[back]
+            self.asked[slot[new]], self.goal[slot[new]] = key[new], found[back]
+        return out
 
     def paths(self, words: list[bytes]) -> list[list[int]]:
         """The ids of every word, none of them empty."""
         out: list[list[int]] = [[]] * len(words)
-        short = sorted((k for k, w in enumerate(words) if len(w) <= STEP), key=lambda k: -len(words[k]))
+        sizes = np.array([len(w) for w in words], np.int64)
+        short = np.argsort(-sizes, kind="stable")
+        short = short[sizes[short] <= STEP]
         for low in range(0, len(short), 1024):
-            if len(self.states) > STATES:
+            if len(self.last) > STATES:
                 self._restart()
             part = short[low : low + 1024]
-            for k, ids in zip(part, self._in_step([words[k] for k in part]), strict=True):
+            for k, ids in zip(part.tolist(), self._in_step([words[k] for k in part.tolist()], sizes[part]), strict=True):
                 out[k] = ids
-        for k, w in enumerate(words):
-            if len(w) > STEP:
-                out[k] = self._alone(w)
+        for k in np.flatnonzero(sizes > STEP).tolist():
+            out[k] = self._alone(words[k])
         return out
 
-    def _in_step(self, words: list[bytes]) -> list[list[int]]:
+    def _in_step(self, words: list[bytes], sizes: np.ndarray) -> list[list[int]]:
         """Words of falling length, one letter of all of them at a time."""
-        sizes = np.array([len(w) for w in words])
         n, most = len(words), int(sizes[0])
-        letters = np.frombuffer(b"".join(w.ljust(most, b"\0") for w in words), np.uint8).reshape(n, most)
-        last, states = np.zeros((n, most), np.int32), np.zeros(n, np.int32)
+        rows = np.repeat(np.arange(n), sizes)
+        letters = np.zeros((n, most), np.int64)
+        letters[rows, np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = np.frombuffer(b"".join(words), np.uint8)
+        last, states = np.zeros((n, most), np.int32), np.zeros(n, np.int64)
         for at in range(most):
-            within = int(np.searchsorted(-sizes, -(at + 1)))  # longer than at + 1
-            ending = int(np.searchsorted(-sizes, -at))
+            within, ending = (int(x) for x in np.searchsorted(-sizes, (-(at + 1), -at)))
             if ending > within:
-                last[within:ending, at] = self._finish(states[within:ending], letters[within:ending, at])
+                last[within:ending, at] = self._look(states[within:ending], letters[within:ending, at] + 256)
             if within:
-                states = self._next(states[:within], letters[:within, at])
+                states = self._look(states[:within], letters[:within, at]).astype(np.int64)
                 last[:within, at] = self.last[states]
         # Backwards: the last token, then the one that its first letter's prefix ends with, and so on.
         left, rows, steps = sizes.copy(), np.arange(n), []
@@ -205,24 +245,18 @@ class Automaton:
         return out
 
     def _alone(self, word: bytes) -> list[int]:
-        state, last = 0, []
+        state, last, one = np.zeros(1, np.int64), [], lambda byte: np.array([byte], np.int64)
         for byte in word[:-1]:
-            new = int(self.go[state, byte])
-            if new < 0:
-                if len(self.states) > STATES:  # the state goes on in the new table
-                    held = self.states[state]
-                    self._restart()
-                    state = 1
-                    self.states.append(held)
-                    self.index[held] = 1
-                    self.last[1] = held[0][0]
-                self._fill(state, byte)
-                new = int(self.go[state, byte])
-            state = new
-            last.append(int(self.last[state]))
-        if self.end[state, word[-1]] < 0:
-            self._fill_end(state, word[-1])
-        last.append(int(self.end[state, word[-1]]))
+            if len(self.last) > STATES:  # the state goes on in a new table, and the start is none of its states
+                at = int(state[0])
+                members = slice(int(self.first[at]), int(self.first[at] + self.count[at]))
+                self._restart(tuple(zip(self.before[members].tolist(), self.node[members].tolist(), strict=True)))
+                state = np.zeros(1, np.int64)
+            state = self._look(state, one(byte)).astype(np.int64)
+            last.append(int(self.last[state[0]]))
+        last.append(int(self._look(state, one(word[-1] + 256))[0]))
+        if self.last[0] >= 0:
+            self._restart()
         out, at = [], len(word)
         while at:
             out.append(last[at - 1])
@@ -241,18 +275,12 @@ class Automaton:
 
     def follows(self, x: str, y: str) -> bool:
         """Whether there is a transition from state x by token y; of overlapping equal merges the leftmost goes first."""
-        known = self.arcs.get((x, y))
-        if known is None:
-            known = True
-            for u, consumed in self.right[x]:
-                cut = self.cuts.get(u)
-                if cut and any((rank := cut.get(v)) is not None and rank < consumed and rank <= gone for v, gone in self.left[y]):
-                    known = False
-                    break
-            if len(self.arcs) > 200_000:
-                self.arcs.clear()
-            self.arcs[x, y] = known
-        return known
+        left = self.left[y]
+        for u, consumed in self.right[x]:
+            cut = self.cuts.get(u)
+            if cut and any((rank := cut.get(v)) is not None and rank < consumed and rank <= gone for v, gone in left):
+                return False
+        return True
 
     def whole(self, token: str) -> bool:
         """Whether a token's own letters make it: every part of it that a merge made must have come about that way."""
@@ -326,16 +354,19 @@ class Tokenizer:
     def encode_all(self, some: list[str]) -> list[tuple[str, str]]:
         """Each text's ids, and the text that they decode to, each joined by one space."""
         pieces = [self._pieces(t) for t in some]
-        new = self._learn([p for p in dict.fromkeys(x for ps in pieces for x in ps) if p not in self.known])
+        found = [list(map(self.known.get, ps)) for ps in pieces]
+        new = self._learn(list(dict.fromkeys(p for ps, fs in zip(pieces, found, strict=True) if None in fs for p, f in zip(ps, fs, strict=True) if f is None)))
         out = []
-        for ps in pieces:
-            each = "\t".join([self.known.get(p) or new[p] for p in ps]).split("\t")  # labels hold no tab: it has a letter of its own
+        for ps, fs in zip(pieces, found, strict=True):
+            if None in fs:
+                fs = [new[p] if f is None else f for p, f in zip(ps, fs, strict=True)]
+            each = "\t".join(fs).split("\t")  # labels hold no tab: it has a letter of its own
             out.append((" ".join(each[::2]), " ".join(each[1::2])))
-        for piece, found in new.items():
+        for piece, f in new.items():
             if len(self.known) >= self.remember:
                 break
             if len(piece) < 64:  # the frequent ones come first
-                self.known[piece] = found
+                self.known[piece] = f
         return out
 
     def encode(self, text: str) -> tuple[str, str]:

@@ -427,11 +427,11 @@ def test_every_prefix_has_one_last_token():
         auto = bpe.Tokenizer(f.read()).automaton
     for k in range(400):
         word = "".join(rng.choice(SYLLABLES + ["ü", "9", "-", "ing", "q"]) for _ in range(rng.randrange(1, 9))).encode()
-        state = 0
+        state = np.zeros(1, np.int64)
         for byte in word[:-1]:
-            assert len(auto.accepted(state, byte)) == 1, word
-            state = int(auto._next(np.array([state]), np.array([byte]))[0])
-        assert len(auto.accepted(state, word[-1] + 256)) == 1, word
+            assert len(auto.accepted(state, np.array([byte]))[1]) == 1, word
+            state = auto._look(state, np.array([byte])).astype(np.int64)
+        assert len(auto.accepted(state, np.array([word[-1] + 256]))[1]) == 1, word
         assert auto.paths([word]) == [auto._alone(word)]
 
 
