@@ -23,15 +23,17 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset (tests, one machine)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="quern-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
-def saved(df: DataFrame, spark: SparkSession, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: a cut of the lineage that outlives any executor."""
+def saved(df: DataFrame, spark: SparkSession, name: str, *by: str) -> DataFrame:
+    """Writes df to the shared folder, in folders `by` columns, and reads it back: a cut of the lineage that outlives any executor."""
     path = f"{shared_dir(spark)}/quern/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -46,7 +46,7 @@ def rows(df):
 
 
 def test_scores_cover_every_token_and_base_matches(spark, odd):
-    found = rows(lm_scoring.score(odd, spark, heads=64, sample=50, steps=5, batch=8, frequent=20))
+    found = rows(lm_scoring.score(odd, spark, heads=64, least=100, batch=8, frequent=20))
     assert len(found) == len(ODD)
     held = {i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0 for i, _, _ in ODD}
     words = lambda t: (t or "").encode().lower().split() + [None]
@@ -83,19 +83,47 @@ def test_gradient_matches_differences():
         assert abs((sides[0] - sides[1]) / 2e-5 - g[name][at]) < 1e-5, name
 
 
+def test_scoring_equals_the_training_path():
+    r = np.random.default_rng(7)
+    model = lm_scoring.Model(r.integers(0, 50, 300), 9, heads=128)
+    model.p = {k: v + r.normal(0, 0.3, v.shape).astype(np.float32) for k, v in model.p.items()}
+    symbols = [r.integers(3, 131, n).astype(np.int32) for n in (0, 1, 15, 16, 17, 200)]
+    fast = model.ready().log_probs(symbols)
+    for k, one in enumerate(symbols):
+        x, y, _ = model.windows([one])
+        assert abs(fast[k] + model.gradient(x, y)[0] * (len(one) + 1)) < 1e-3
+
+
+def test_training_reads_every_training_document(spark, monkeypatch):
+    # With dense windows, what the trainers see is every block of every training document.
+    data = [(i, prose(5 + 13 * i, 600 + i), "a") for i in range(40)] + [(None, prose(30, 9), "a"), (3, None, "a")]
+    df = documents(spark, data)
+    with open(__import__("public_tokenizers").path(lm_scoring.VOCABULARY), "rb") as f:
+        ranks = spark.sparkContext.broadcast(f.read())
+    learn = df.filter(~lm_scoring.held_out())
+    counts = lm_scoring.word_counts(learn.select("doc_id", "text"))
+    ids = lm_scoring.id_counts(counts, ranks, lm_scoring.speller(ranks.value).size)
+    model = lm_scoring.Model(ids, learn.count(), 64)
+    corpus = lm_scoring.Corpus(counts, learn.count(), 50)
+    found = lm_scoring.spelled(df, spark.sparkContext.broadcast((model, corpus)), ranks, 3)
+    train = [r for r in rows(found) if r["round"] >= 0]
+    assert len(train) == learn.count() and {r["round"] for r in train} == {0, 1, 2}
+    assert sum(len(r.symbols) // 2 for r in train) == ids.sum()
+
+
 def test_scoring_beats_the_base_where_order_tells(spark):
     # Words follow one another in one fixed round: context tells the next one, counts of words do not.
     r = random.Random(9)
     ring = ["".join(r.choice(SYLLABLES) for _ in range(2)) + str(i) for i in range(60)]
     df = documents(spark, [(i, " ".join(ring[(i * 7 + k) % 60] for k in range(80)), "a") for i in range(120)])
-    found = rows(lm_scoring.score(df, spark, heads=256, sample=120, steps=250, batch=32))
+    found = rows(lm_scoring.score(df, spark, heads=256, least=8000, batch=32))
     held = [r for r in found if r.held_out]
     assert held and sum(r.score for r in held) > 0.7 * sum(r.base_score for r in held)
 
 
 def test_empty_table_has_no_scores(spark):
     empty = documents(spark, [])
-    assert rows(lm_scoring.score(empty, spark, steps=1)) == []
+    assert rows(lm_scoring.score(empty, spark)) == []
 
 
 # ---- 2: mixing
