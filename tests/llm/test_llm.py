@@ -521,6 +521,58 @@ def test_base_spans_match_plain_patterns():
         assert secrets.base_spans(text) == sorted(want)
 
 
+def test_random_runs_equal_a_slow_scan():
+    import string
+
+    encode = secrets._encoding(secrets._ranks(None)).encode_ordinary
+    r = random.Random(11)
+    alphabets = [string.ascii_lowercase, string.ascii_letters, string.ascii_letters + string.digits, string.ascii_uppercase, "0123456789", "0123456789abcdef"]
+    keys = set(string.ascii_letters + string.digits + "+/_=-")
+    planted = hit = 0
+    for _ in range(300):
+        secret = "".join(r.choice(r.choice(alphabets[:4])) for _ in range(r.randrange(12, 40)))
+        other = "".join(r.choice(alphabets[r.randrange(6)]) for _ in range(r.choice([5, 12, 16, 32, 40])))
+        text = " ".join(r.sample(["token = abcdef123", secret, other, "user/name/option_of_it-12", "internationalization", f"AKIA{other.upper()}", "é" + other, "x=" + secret[:9]], 6))
+        base = secrets.base_spans(text)
+        covered = {i for a, _, b in base for i in range(a, b)}
+        want, at = [], 0
+        while at < len(text):  # a run of key characters that began as one of 12 or more, cut at base spans
+            end = at
+            while end < len(text) and text[end] in keys:
+                end += 1
+            if end - at >= 12:
+                a = at
+                while a < end:
+                    b = a
+                    while b < end and b not in covered:
+                        b += 1
+                    run = text[a:b]
+                    numbers = all(c in "0123456789+/_=-" for c in run) or all(c in "0123456789+/_=-" for c in run[2:]) and run[:2].isupper()
+                    digest = len(run) in secrets.DIGESTS and all(c in string.hexdigits for c in run)
+                    if len(run) >= 12 and not numbers and not digest:
+                        parts = re.split("[_+/=-]", run)
+                        name = len(parts) > 1 and all(not p or (p[1:].islower() or len(p) == 1) and p.isalpha() or p.isupper() and p.isalpha() or p.isdigit() and len(p) < 7 for p in parts)
+                        spots = [(a, b)] if not name else [(a + m.start(), a + m.end()) for m in re.finditer("[A-Za-z0-9]{12,}", run)]
+                        for x, y in spots:
+                            ratio = (y - x) / len(encode(text[x:y]))
+                            if ratio <= (2.0 if y - x >= 20 else 1.75 if y - x >= 16 else 1.5):
+                                want.append((x, 3, y))
+                    a = b + 1
+            at = end + 1
+        assert secrets.random_spans(text, base, encode) == want, text
+        if secret in text and len(secret) >= 20:
+            planted, hit = planted + 1, hit + any(text[a:b] == secret for a, _, b in want)
+    assert planted > 50 and hit > 0.9 * planted
+
+
+def test_clean_words_are_no_secrets(spark):
+    words = "Donaudampfschifffahrtsgesellschaft internationalization anticonstitutionnellement /usr/local/share/applications --no-install-recommends https://example.org/a/path_of_words 4111111111111111 DE89370400440532013000 +49-30-123456 ===================="
+    found = rows(secrets.scan(documents(spark, [(1, words + " " + prose(2000, 5), "a"), (2, "zqxvkjwpfhtnmbcd", "a"), (3, "token=abcdef,qZxVkJwPfHtNmBcDy", "a")])))
+    by = {r.doc_id: r for r in found}
+    assert by[1].n_random == 0 and by[2].spans == "random:0:16" and by[3].spans == "assign:0:12,random:13:30"
+    assert rows(secrets.scan(documents(spark, []))) == [] and rows(secrets.redact(documents(spark, []))) == []
+
+
 # ---- 10: quality
 
 
