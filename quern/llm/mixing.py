@@ -10,9 +10,12 @@ Targets: sources by code point, null last, weigh 1, 2, 3 and again; they share 1
 `most` times its source's words and the excess is shared again by weight. As passes are whole before the next begins, no
 document gives more than `most` times its size.
 
-Places in a source are found without gathering it: documents fall into hash buckets of about a few thousand rows, sums
-of buckets give offsets, and each bucket is summed up on its own. Null and empty texts have no words and are never
-taken; repeated rows stand side by side and are rows like any other; an empty table gives no rows.
+Places in a source are found without gathering it: documents fall into hash buckets of a few hundred rows, sums of
+buckets, and of groups of buckets, give offsets, and each bucket is summed up on its own. Copies of a row are numbered first,
+partition by partition, and so spread over buckets. What the driver plans and broadcasts has a row for each source, of which there
+may be `SOURCES`; more raise an error. Null and empty texts have no words and are never taken; repeated rows are rows like any
+other; very long texts span blocks; an empty table gives no rows. `mix` leaves out columns but doc_id, source and text, whatever
+their names; `mixed_documents` carries all through.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import WORD, saved, table
 
-BLOCK, SHARDS, MOST = 128, 64, 3
+BLOCK, SHARDS, MOST, SOURCES = 128, 64, 3, 100_000
 
 
 def targets(sizes: list[int], most: float = MOST) -> list[float]:
@@ -44,24 +47,37 @@ def targets(sizes: list[int], most: float = MOST) -> list[float]:
         full |= over
 
 
-def permuted(index: np.ndarray, n: int, seed: int) -> np.ndarray:
-    """A pseudorandom permutation of range(n), at index."""
+def _network(index: np.ndarray, n: int, seed: int, turns) -> np.ndarray:
+    """A Feistel network over the least even number of bits that hold range(n), walked until it falls within; backwards if turns fall."""
     half = max(1, ((max(n - 1, 1)).bit_length() + 1) // 2)
-    mask = np.uint64((1 << half) - 1)
-    out = index.astype(np.uint64)
-    todo = np.arange(len(out))
+    mask, wide = np.uint64((1 << half) - 1), np.uint64(half)
+    out, todo = index.astype(np.uint64), np.arange(len(index))
     while len(todo):
-        left, right = out[todo] >> np.uint64(half), out[todo] & mask
-        for turn in range(4):
+        left, right = out[todo] >> wide, out[todo] & mask
+        for turn in turns:
+            if turns.step < 0:
+                left, right = right, left
             mixed = (right + np.uint64((seed * 4 + turn + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9)
             mixed ^= mixed >> np.uint64(29)
             mixed *= np.uint64(0x94D049BB133111EB)
-            left, right = right, left ^ ((mixed >> np.uint64(32)) & mask)
-        out[todo] = (left << np.uint64(half)) | right
+            left ^= (mixed >> np.uint64(32)) & mask
+            if turns.step > 0:
+                left, right = right, left
+        out[todo] = (left << wide) | right
         todo = todo[out[todo] >= np.uint64(n)]
     return out.astype(np.int64)
 
 
+def permuted(index: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """A pseudorandom permutation of range(n), at index."""
+    return _network(index, n, seed, range(4))
+
+
+def unpermuted(value: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """Where the permutation takes these values."""
+    return _network(value, n, seed, range(3, -1, -1))
+
+
 class Plan:
     """What the driver decides: targets, blocks and each shard's slots a source. It grows with the number of sources alone."""
 
@@ -88,11 +104,7 @@ class Plan:
 
     def _place(self, k: int, index: int) -> int:
         """The slot of a pass at which source k's block `index` comes."""
-        for at in range(0, self.blocks[k], 1 << 20):
-            found = np.flatnonzero(permuted(np.arange(at, min(at + (1 << 20), self.blocks[k])), self.blocks[k], self.seed + k) == index)
-            if len(found):
-                return at + int(found[0])
-        raise AssertionError("a permutation reaches every index")
+        return int(unpermuted(np.array([index]), self.blocks[k], self.seed + k)[0])
 
     def _draw(self, shards: int) -> np.ndarray:
         """Slots by shard and source: a multinomial draw for each shard, never beyond what a source still lacks."""
@@ -108,56 +120,75 @@ class Plan:
         return out
 
 
+def words() -> Column:
+    """The size of `text` in words."""
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def sized(df: DataFrame) -> DataFrame:
-    """doc_id, source and size in words of every row."""
-    return df.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    """doc_id, source, size in words, a mark of the text and the number of every row."""
+    return df.select("doc_id", "source", words().alias("size"), F.xxhash64("text").alias("mark"), F.monotonically_increasing_id().alias("row"))
 
 
-def placed(rows: DataFrame, key: Column, per_bucket: int = 4000) -> DataFrame:
-    """rows (source, size, ...) with `at`, the number of the source's words before the row.
+def placed(rows: DataFrame, per_bucket: int = 256, group: int = 4096) -> DataFrame:
+    """rows (doc_id, source, size, mark, row) with `at`, the number of the source's words before the row.
 
-    `key` orders rows of equal hash; rows alike in everything are in no order, as they are the same.
+    The order is by hashes of content and, among copies, by their numbers, so that it doesn't hang on how rows are dealt.
     """
     n = rows.count()
-    buckets = max(1, n // per_bucket)
-    rows = rows.withColumn("_h", F.xxhash64("doc_id")).withColumn("_b", F.pmod("_h", F.lit(buckets)))
-    sums = rows.groupBy("source", "_b").agg(F.sum("size").alias("_sum"))
-    # A row a bucket: their offsets in the source.
-    offsets = sums.select(F.col("source").alias("_source"), F.col("_b").alias("_bucket"), (F.sum("_sum").over(W.partitionBy("source").orderBy("_b")) - F.col("_sum")).alias("_before"))
-    running = F.sum("size").over(W.partitionBy("source", "_b").orderBy("_h", "doc_id", "size", key).rowsBetween(W.unboundedPreceding, 0))
+    rows = rows.withColumn("_h", F.xxhash64("doc_id", "size", "mark")).withColumn("_p", F.shiftright("row", 33))
+    # Copies: counted in each partition, and numbered on from those of the partitions before.
+    copies = rows.groupBy("_h", "_p").agg(F.count("*").alias("_c")).withColumn("_o", F.sum("_c").over(W.partitionBy("_h").orderBy("_p")) - F.col("_c"))
+    own = F.row_number().over(W.partitionBy("_h", "_p").orderBy("row")) - 1
+    rows = rows.withColumn("_j", own).join(copies.filter("_o > 0").drop("_c"), ["_h", "_p"], "left").withColumn("_j", F.col("_j") + F.coalesce("_o", F.lit(0)))
+    rows = rows.withColumn("_b", F.pmod(F.xxhash64("_h", "_j"), F.lit(max(1, n // per_bucket)))).drop("_p", "_o")
+    sums = rows.groupBy("source", "_b").agg(F.sum("size").alias("_sum")).withColumn("_g", F.expr(f"_b div {group}"))
+    above = sums.groupBy("source", "_g").agg(F.sum("_sum").alias("_all")).withColumn("_above", F.sum("_all").over(W.partitionBy("source").orderBy("_g")) - F.col("_all"))
+    within = F.sum("_sum").over(W.partitionBy("source", "_g").orderBy("_b")) - F.col("_sum")
+    above = above.select(F.col("source").alias("_s"), F.col("_g").alias("_up"), "_above")
+    offsets = sums.withColumn("_within", within).join(above, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_g") == F.col("_up")))
+    offsets = offsets.select(F.col("source").alias("_source"), F.col("_b").alias("_bucket"), (F.col("_within") + F.col("_above")).alias("_before"))
+    running = F.sum("size").over(W.partitionBy("source", "_b").orderBy("_h", "_j").rowsBetween(W.unboundedPreceding, 0))
     rows = rows.withColumn("at", running - F.col("size"))
     same = F.col("source").eqNullSafe(F.col("_source")) & (F.col("_b") == F.col("_bucket"))
-    return rows.join(offsets, same).withColumn("at", F.col("at") + F.col("_before")).drop("_h", "_b", "_source", "_bucket", "_before")
+    return rows.join(offsets, same).withColumn("at", F.col("at") + F.col("_before")).drop("_h", "_j", "_b", "_source", "_bucket", "_before", "mark")
 
 
 def plan(rows: DataFrame, block: int = BLOCK, shards: int = SHARDS, seed: int = 7) -> tuple[list[str | None], Plan]:
     """The sources in order, and the plan over them."""
-    sums = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.sum("size").alias("n")).collect()}
+    sums = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.sum("size").alias("n")).limit(SOURCES + 1).collect()}
+    if len(sums) > SOURCES:
+        raise ValueError(f"more than {SOURCES} sources")
     names = sorted((s for s in sums if s is not None)) + [None] * (None in sums)
     return names, Plan([sums[s] for s in names], block, shards, seed)
 
 
-def slots(spark: SparkSession, made: Plan, chunk: int = 1 << 16) -> DataFrame:
+def slots(spark: SparkSession, made: Plan, chunk: int = 1 << 18) -> DataFrame:
     """shard, place in the shard, source number k, pass, block index and words cut off the end, a row for each slot."""
-    offsets = made.shards.cumsum(axis=0) - made.shards
-    rows = [(s, k, int(offsets[s, k]) + a, min(chunk, int(n) - a), int(made.shards[s, :k].sum()) + a) for s, line in enumerate(made.shards) for k, n in enumerate(line) for a in range(0, int(n), chunk)]
-    if not rows:
-        return spark.createDataFrame([], "shard int,place long,k int,pass long,block long,cut long")
-    plan = spark.sparkContext.broadcast((made.blocks, made.slots, made.cut, made.seed))
+    total = sum(made.slots)
+    starts = np.concatenate(([0], np.cumsum(made.slots))).astype(np.int64)
+    # By source: the slots of all shards up to and with each, counted on over the sources; and where its slots begin in each shard.
+    ends = (made.shards.cumsum(axis=0) + starts[:-1]).T
+    begin = (made.shards.cumsum(axis=1) - made.shards).T
+    shipped = spark.sparkContext.broadcast((np.array(made.blocks, np.int64), starts, ends, begin, np.array(made.cut, np.int64), made.seed))
     names = pa.schema([("shard", pa.int32()), ("place", pa.int64()), ("k", pa.int32()), ("pass", pa.int64()), ("block", pa.int64()), ("cut", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks, total, cut, seed = plan.value
+        blocks, starts, ends, begin, cut, seed = shipped.value
         for batch in batches:
-            for r in batch.to_pylist():
-                n, k = np.arange(r["first"], r["first"] + r["n"]), r["k"]
-                block = permuted(n % blocks[k], blocks[k], seed + k)
-                ends = np.where(n == total[k] - 1, cut[k], 0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), r["shard"], np.int32)), pa.array(r["place"] + np.arange(len(n))), pa.array(np.full(len(n), k, np.int32)), pa.array(n // blocks[k]), pa.array(block), pa.array(ends)], schema=names)
+            slot = batch.column(0).to_numpy()
+            k = np.searchsorted(starts, slot, side="right") - 1
+            n = slot - starts[k]
+            shard, block = np.zeros(len(slot), np.int64), np.zeros(len(slot), np.int64)
+            for one in np.unique(k).tolist():
+                own = k == one
+                shard[own] = np.searchsorted(ends[one], slot[own], side="right")
+                block[own] = permuted(n[own] % blocks[one], int(blocks[one]), seed + one)
+            first = np.where(shard > 0, ends[k, np.maximum(shard - 1, 0)], starts[k])
+            last = slot == starts[k + 1] - 1
+            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(begin[k, shard] + slot - first), pa.array(k.astype(np.int32)), pa.array(n // np.maximum(blocks[k], 1)), pa.array(block), pa.array(np.where(last, cut[k], 0))], schema=names)
 
-    parts = sum(made.slots) // (4 * chunk) + 1
-    tasks = spark.createDataFrame(rows, "shard int,k int,first long,n long,place long").repartition(parts)
-    return tasks.mapInArrow(run, "shard int,place long,k int,pass long,block long,cut long")
+    return spark.range(0, total, 1, total // chunk + 1).mapInArrow(run, "shard int,place long,k int,pass long,block long,cut long")
 
 
 def numbered(spark: SparkSession, names: list[str | None], made: Plan) -> DataFrame:
@@ -177,7 +208,7 @@ def segments(rows: DataFrame, sources: DataFrame, block: int = BLOCK) -> DataFra
 
 def mix(df: DataFrame, spark: SparkSession, block: int = BLOCK, shards: int = SHARDS, seed: int = 7) -> DataFrame:
     """doc_id, size, source_size, target and taken for every row of df (doc_id, source, text)."""
-    rows = saved(sized(df).withColumn("row", F.monotonically_increasing_id()), spark, "mix-sizes")
+    rows = saved(sized(df), spark, "mix-sizes")
     names, made = plan(rows, block, shards, seed)
     if not names:
         return spark.createDataFrame([], "doc_id long,size long,source_size long,target double,taken long")
@@ -186,7 +217,7 @@ def mix(df: DataFrame, spark: SparkSession, block: int = BLOCK, shards: int = SH
     uses = slots(spark, made).groupBy("k", "block").agg(F.count("*").alias("uses"), F.max("cut").alias("cut"))
     cut_from = F.least((F.col("block") + 1) * block, F.col("source_size")) - F.col("cut") - F.col("at")
     # Spark can't know how many rows slots makes of its few tasks; unhinted it would broadcast them.
-    found = segments(placed(rows, F.col("row")), sources, block).join(uses.hint("merge"), ["k", "block"])
+    found = segments(placed(rows), sources, block).join(uses.hint("merge"), ["k", "block"])
     lost = F.greatest(F.lit(0), F.col("end") - F.greatest(F.col("first"), cut_from))
     given = found.groupBy("row").agg(F.sum((F.col("end") - F.col("first")) * F.col("uses") - F.when(F.col("cut") > 0, lost).otherwise(0)).cast("long").alias("taken"))
     out = rows.join(given, "row", "left").join(F.broadcast(sources.withColumnRenamed("source", "_source")), F.col("source").eqNullSafe(F.col("_source")))
@@ -202,17 +233,18 @@ def mixed_documents(df: DataFrame, spark: SparkSession, block: int = BLOCK, shar
     # Columns go by numbers meanwhile, as df's own names may be those used here.
     own = df.toDF(*[f"c{k}" for k in range(len(df.columns))])
     doc_id, source, text = (F.col(f"c{df.columns.index(n)}") for n in ("doc_id", "source", "text"))
-    rows = saved(own.withColumn("size", F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")).withColumn("row", F.monotonically_increasing_id()), spark, "mix-rows")
-    small = rows.select(doc_id.alias("doc_id"), source.alias("source"), "size", "row")
+    rows = own.withColumn("text", text).withColumn("size", words()).withColumn("mark", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id()).drop("text")
+    rows = saved(rows, spark, "mix-rows")
+    small = rows.select(doc_id.alias("doc_id"), source.alias("source"), "size", "mark", "row")
     names, made = plan(small, block, shards, seed)
     if not names:
         return df.limit(0)
     sources = numbered(spark, names, made)
-    spans = segments(placed(small, F.col("row")), sources, block).join(slots(spark, made).select("k", "pass", "block", "cut").hint("merge"), ["k", "block"])
+    spans = segments(placed(small), sources, block).join(slots(spark, made).select("k", "pass", "block", "cut").hint("merge"), ["k", "block"])
     stop = F.least((F.col("block") + 1) * block, F.col("source_size")) - F.col("cut") - F.col("at")
     spans = spans.withColumn("end", F.least("end", stop)).filter("end > first")
     taken = spans.groupBy("row", "pass").agg(F.array_sort(F.collect_list(F.struct("first", "end"))).alias("spans"), F.sum(F.col("end") - F.col("first")).alias("words"))
-    whole = rows.join(taken, "row")
+    whole = rows.drop("mark").join(taken, "row")
     names_out = df.columns
     at = {n: whole.columns.index(f"c{k}") for k, n in enumerate(names_out)}
     text_at, size_at, words_at, spans_at = at["text"], *(whole.columns.index(n) for n in ("size", "words", "spans"))

@@ -165,6 +165,36 @@ def test_mixed_documents_hold_the_words_taken(spark, odd):
 def test_permutations_are_permutations():
     for n in (1, 2, 3, 17, 64, 1000):
         assert sorted(mixing.permuted(np.arange(n), n, 3).tolist()) == list(range(n))
+        assert (mixing.unpermuted(mixing.permuted(np.arange(n), n, 3), n, 3) == np.arange(n)).all()
+
+
+def test_mix_equals_a_plain_walk(spark):
+    # Every slot of the plan in turn, word by word, over sources laid out one row after another.
+    data = [(i, " ".join(f"{i}.{w}" for w in range(rng.randrange(0, 90))), rng.choice(["a", "b", None])) for i in range(120)] + [(None, "x y z", "a")] * 9 + [(7, "q " * 40, "b")] * 30
+    df = documents(spark, data)
+    for sizes in ({"per_bucket": 16, "group": 3}, {}):
+        placed, laid = rows(mixing.placed(mixing.sized(df), **sizes)), {}
+        for r in sorted(placed, key=lambda r: (r.at, r["size"])):
+            assert r.at == len(laid.setdefault(r.source, [])), "rows stand end to end"
+            laid[r.source] += [r.row] * r["size"]
+    names, made = mixing.plan(mixing.sized(df), 16, 3)
+    taken, seen = Counter(), Counter()
+    for k, name in enumerate(names):
+        for n in range(made.slots[k]):
+            block = int(mixing.permuted(np.array([n % made.blocks[k]]), made.blocks[k], made.seed + k)[0])
+            words = laid[name][16 * block : 16 * block + 16]
+            if n == made.slots[k] - 1:
+                words = words[: len(words) - made.cut[k]]
+            taken.update(words)
+    by_row = {r.row: r.doc_id for r in placed}
+    want = sorted((str(by_row[i]), taken[i]) for i in by_row)
+    assert sorted((str(r.doc_id), r.taken) for r in rows(mixing.mix(df, spark, block=16, shards=3))) == want
+    for r in rows(mixing.slots(spark, made)):
+        seen[r.shard, r.k] += 1
+        assert r["pass"] < 3 and 0 <= r.block < made.blocks[r.k]
+    assert all(seen[s, k] == made.shards[s, k] for s in range(3) for k in range(len(names)))
+    again = rows(mixing.mix(df.repartition(3, "text"), spark, block=16, shards=3))
+    assert sorted((str(r.doc_id), r.taken) for r in again) == want
 
 
 def test_empty_mix(spark):
