@@ -1,13 +1,16 @@
 """Substring dedup by sliding sentence spans.
 
 A text is cut into sentences: after closing marks, at line ends, and before every capitalised word, so that a passage set
-into the middle of a sentence starts one of its own. Every run of at least `several` sentences and `words` words is hashed
-that is the shortest from its first or from its last sentence, and so is every sentence that is that long alone. Hashes
-are joined globally; the first run in (doc_id, place) order stays, and sentences covered by any other are removed. As runs
-are shortest from either end, they cover a repeated passage whole, and nothing around it.
-
-Words are compared as they stand; white space between them is not. Null and empty texts have no sentences. Repeated rows
-(one doc_id, one text) are one document: none is a copy of the other. A null doc_id comes before all others.
+into the middle of a sentence starts one of its own. A sentence of more than `LONG` words is cut again, after words that a
+hash of the word picks, so that copies are cut alike wherever they begin and a sentence hardly ever holds a passage (a word said over and over does not cut). Every run of `several` consecutive
+sentences is hashed, and hashes are joined globally; the first run in (doc_id, place) order stays. Sentences covered by any
+other run are removed, where sentences so covered stand together with at least `words` words: shorter repeats are phrases.
+
+Hashes have 96 bits, and a document is known by its id and a hash of its text. Hashes of many runs (`HEAVY` at most, as each
+holds that part of all runs) are broadcast with their first places; the rest are joined. Words are compared as they stand; white
+space between them is not. Null and empty texts have no sentences; very long texts are cut whole. Repeated rows (one doc_id, one
+text) are one document: none is a copy of the other. A null doc_id comes before all others. An empty table gives no rows.
+Columns but doc_id and text, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -20,8 +23,13 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import arrow_map, saved, table, texts
 
-#: What parts two sentences: a line end, white space after closing marks, or white space before a capitalised word.
-SPLIT = regex.compile(r"\s*\n\s*|(?<=[.!?…。！？][\"'”’)\]]?)\s+|\s+(?=\p{Lu})")
+#: What parts two sentences: a line end, white space after closing marks, white space before a capitalised word, or a wide closing mark.
+SPLIT = regex.compile(r"\s*\n\s*|(?<=[.!?…。！？][\"'”’)\]]?)\s+|\s+(?=\p{Lu})|(?<=[。！？][”’」』）]?)(?=[^\s”’」』）])")
+WORD = regex.compile(r"\S+")
+#: Longer sentences are cut after one word in `EACH`.
+LONG, EACH = 12, 6
+#: How many hashes may count as frequent: those of more than this part of all runs.
+HEAVY = 2000
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
@@ -30,95 +38,99 @@ def sentences(text: str) -> list[tuple[int, int]]:
     end = len(text.rstrip())
     for m in SPLIT.finditer(text, at, end):
         if m.start() > at:
-            out.append((at, m.start()))
+            _cut(text, at, m.start(), out)
         at = m.end()
-    return out + [(at, end)] * (at < end)
-
-
-def runs(text: str, several: int, words: int) -> tuple[list[tuple[int, int]], list[int], np.ndarray, np.ndarray]:
-    """The text's sentences; hash, first and last sentence of every run."""
-    cut = sentences(text)
-    if not cut:
-        return cut, [], np.empty(0, np.int64), np.empty(0, np.int64)
-    each = [text[a:b].split() for a, b in cut]
-    before = np.concatenate(([0], np.cumsum([len(x) for x in each])))
-    n = len(cut)
-    # From each first sentence, the least end of enough words; to each last one, the greatest start.
-    first = np.arange(n)
-    last = np.maximum(np.searchsorted(before, before[:-1] + words) - 1, first + several - 1)
-    ahead = np.stack((first, last), axis=1)[last < n]
-    start = np.minimum(np.searchsorted(before, before[1:] - words, side="right") - 1, first - several + 1)
-    back = np.stack((start, first), axis=1)[start >= 0]
-    alone = np.stack((first, first), axis=1)[before[1:] - before[:-1] >= words]
-    found = np.unique(np.concatenate((ahead, back, alone)), axis=0)
-    if not len(found):
-        return cut, [], np.empty(0, np.int64), np.empty(0, np.int64)
-    digest = xxhash.xxh3_64_intdigest
-    joined = [" ".join(x) for x in each]
-    hashes = [digest(" ".join(joined[a : b + 1])) for a, b in found.tolist()]
-    return cut, hashes, found[:, 0], found[:, 1]
+    if at < end:
+        _cut(text, at, end, out)
+    return out
+
+
+def _cut(text: str, at: int, end: int, out: list[tuple[int, int]]) -> None:
+    """A sentence, or the pieces of a long one."""
+    if end - at <= 2 * LONG or len(text[at:end].split()) <= LONG:
+        out.append((at, end))
+        return
+    digest = xxhash.xxh32_intdigest
+    for m in WORD.finditer(text, at, end):
+        if digest(m[0]) % EACH == 0:
+            out.append((at, m.end()))
+            at = m.end()
+            while at < end and text[at].isspace():
+                at += 1
+    if at < end:
+        out.append((at, end))
 
 
 def rows_of(df: DataFrame) -> DataFrame:
-    """doc_id, text and the row's own key, alike for repeated rows."""
-    return df.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
+    """doc_id, text and a mark of the text: together the document's key, alike for repeated rows."""
+    return df.select("doc_id", "text", F.xxhash64("text", "doc_id").alias("row"))
 
 
-def spans(df: DataFrame, several: int = 2, words: int = 30) -> DataFrame:
-    """hash, row, doc_id, first and last sentence of every run of df (doc_id, text)."""
+def spans(df: DataFrame, several: int = 3) -> DataFrame:
+    """hash, check (32 more bits), row, doc_id and first sentence of every run of df (doc_id, text)."""
+    digest = xxhash.xxh3_128_intdigest
 
     def each(part: dict) -> dict:
-        out = {k: [] for k in ("hash", "row", "doc_id", "first", "last")}
-        for doc_id, row, text in zip(part["doc_id"].to_pylist(), part["row"].to_pylist(), texts(part["text"]), strict=True):
-            _, hashes, first, last = runs(text, several, words)
-            out["hash"].append(np.array(hashes, np.uint64).view(np.int64))
-            out["first"].append(first)
-            out["last"].append(last)
-            out["row"] += [row] * len(hashes)
-            out["doc_id"] += [doc_id] * len(hashes)
-        for k in ("hash", "first", "last"):
-            out[k] = np.concatenate(out[k]).astype(np.int64 if k == "hash" else np.int32)
-        return out
-
-    return arrow_map(rows_of(df), each, "hash long,row long,doc_id long,first int,last int")
-
-
-def repeated(df: DataFrame, spark: SparkSession, several: int = 2, words: int = 30) -> DataFrame:
-    """row, first and last sentence of every run that is not the first of its hash."""
-    found = saved(spans(df, several, words), spark, "sentence-spans")
+        hashes, first, n = [], [], []
+        for text in texts(part["text"]):
+            joined = [" ".join(text[a:b].split()) for a, b in sentences(text)]
+            some = [digest(" ".join(joined[k : k + several])) for k in range(len(joined) - several + 1)]
+            hashes += some
+            first.append(np.arange(len(some), dtype=np.int32))
+            n.append(len(some))
+        low = np.array([h & 0xFFFFFFFFFFFFFFFF for h in hashes], np.uint64).view(np.int64)
+        check = np.array([h >> 64 & 0xFFFFFFFF for h in hashes], np.uint32).view(np.int32)
+        of = np.repeat(np.arange(len(n)), n)
+        return {"hash": low, "check": check, "row": part["row"].take(of), "doc_id": part["doc_id"].take(of), "first": np.concatenate(first) if first else []}
+
+    return arrow_map(rows_of(df), each, "hash long,check int,row long,doc_id long,first int")
+
+
+def repeated(df: DataFrame, spark: SparkSession, several: int = 3) -> DataFrame:
+    """doc_id, row and first sentence of every run that is not the first of its hash."""
+    found = saved(spans(df, several), spark, "sentence-spans")
+    limit = max(1000, found.count() // HEAVY)
     place = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "row", "first")
-    kept = found.groupBy("hash").agg(F.min(place).alias("kept"), F.max(place).alias("other")).filter("kept != other").select("hash", "kept")
-    return found.join(kept, "hash").filter(place != F.col("kept")).select("row", "first", "last")
+    kept = found.groupBy("hash", "check").agg(F.min(place).alias("kept"), F.max(place).alias("other"), F.count("*").alias("n"))
+    kept = saved(kept.filter("kept != other").select("hash", "check", "kept", "n"), spark, "sentence-kept")
+    heavy = F.broadcast(kept.filter(F.col("n") > limit).drop("n"))
+    light = kept.filter(F.col("n") <= limit).drop("n")
+    rest = found.join(heavy.select("hash", "check"), ["hash", "check"], "left_anti").join(light.hint("merge"), ["hash", "check"])
+    return found.join(heavy, ["hash", "check"]).unionByName(rest).filter(place != F.col("kept")).select("doc_id", "row", "first")
 
 
-def without_repeats(text: str, covers: list[tuple[int, int]], cut: list[tuple[int, int]]) -> tuple[str, int, int]:
-    """The text without covered sentences, how many there were, and their words."""
+def without_repeats(text: str, covers: list[int], several: int, words: int) -> tuple[str, int, int, int]:
+    """The text without covered sentences, how many sentences it had and how many went, and their words."""
+    cut = sentences(text)
     gone = np.zeros(len(cut) + 1, np.int64)
-    for a, b in covers:
+    for a in covers:
         gone[a] += 1
-        gone[b + 1] -= 1
+        gone[a + several] -= 1
     gone = np.cumsum(gone)[:-1] > 0
-    out, at, words = [], 0, 0
+    size = np.array([len(text[a:b].split()) for a, b in cut], np.int64)
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], gone, [0])))).reshape(-1, 2)
+    for a, b in edges.tolist():
+        if size[a:b].sum() < words:
+            gone[a:b] = False
+    out, at = [], 0
     for (a, b), away in zip(cut, gone.tolist(), strict=True):
-        if away:  # a removed sentence takes the white space before it along
-            words += len(text[a:b].split())
-        else:
+        if not away:  # a removed sentence takes the white space before it along
             out.append(text[at:b] if out or at == 0 else text[a:b])
         at = b
-    return "".join(out), int(gone.sum()), words
+    left = "".join(out) + text[at:] if not gone.any() else "".join(out)
+    return left, len(cut), int(gone.sum()), int(size[gone].sum())
 
 
-def dedup(df: DataFrame, spark: SparkSession, several: int = 2, words: int = 30) -> DataFrame:
+def dedup(df: DataFrame, spark: SparkSession, several: int = 3, words: int = 30) -> DataFrame:
     """doc_id, n_sentences, n_removed, words_removed and the text left, for every row of df (doc_id, text)."""
-    again = repeated(df, spark, several, words).groupBy("row").agg(F.collect_set(F.struct("first", "last")).alias("covers"))
-    whole = rows_of(df).join(again, "row", "left")
+    again = repeated(df, spark, several).groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_set("first").alias("covers"))
+    whole = rows_of(df).join(again, (F.col("row") == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
 
     def each(part: dict) -> dict:
-        out = {k: [] for k in ("n_sentences", "n_removed", "words_removed", "text")}
+        out = {k: [] for k in ("text", "n_sentences", "n_removed", "words_removed")}
         for text, covers in zip(texts(part["text"]), part["covers"].to_pylist(), strict=True):
-            cut = sentences(text)
-            left, n, gone = without_repeats(text, [(c["first"], c["last"]) for c in covers], cut) if covers else (text, 0, 0)
-            for k, v in zip(out, (len(cut), n, gone, left), strict=True):
+            found = without_repeats(text, covers, several, words) if covers else (text, len(sentences(text)), 0, 0)
+            for k, v in zip(out, found, strict=True):
                 out[k].append(v)
         return {"doc_id": part["doc_id"]} | out
 
@@ -126,5 +138,5 @@ def dedup(df: DataFrame, spark: SparkSession, several: int = 2, words: int = 30)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the passages of 30 or more words that an earlier document or place has."""
+    """Every document without the passages of 30 words or more that an earlier document or place has."""
     return dedup(table(spark, sf_dir, "documents"), spark)

@@ -526,6 +526,59 @@ def test_repeated_passages_go_and_others_stay(spark):
     assert by[4].text == by[5].text == "" and by[9].text == data[-1][1]
 
 
+def test_removed_sentences_equal_a_slow_walk(spark):
+    r = random.Random(12)
+    parts = [prose(r.randrange(8, 70), 900 + i) for i in range(25)]
+    parts[3], parts[4] = parts[3].lower().replace(".", ""), "。".join("字句" * r.randrange(2, 9) for _ in range(40)) + "。"
+    data = [(i if i % 7 else None, " ".join(r.choice(parts) if r.random() < 0.5 else prose(r.randrange(5, 60), 5000 + 50 * i + k) for k in range(r.randrange(0, 6)))) for i in range(60)] + [(5, "One line.\n" * 40), (70, None)]
+    order = sorted({(-(1 << 63) if i is None else i, t or "") for i, t in data}, key=lambda x: x[0])
+    key = {(r.doc_id, r.text): r.row for r in rows(sentence_spans.rows_of(documents(spark, [(i, t, "a") for i, t in data])))}
+    order.sort(key=lambda x: (x[0], key[(None if x[0] == -(1 << 63) else x[0], x[1] if x[1] or x[0] != 70 else None)]))
+    seen, want = {}, {}
+    for i, text in order:
+        cut = [" ".join(text[a:b].split()) for a, b in sentence_spans.sentences(text)]
+        assert " ".join(cut).split() == text.split() or "。" in text
+        gone = set()
+        for k in range(len(cut) - 2):
+            run = " ".join(cut[k : k + 3])
+            if seen.setdefault(run, (i, text, k)) != (i, text, k):
+                gone |= {k, k + 1, k + 2}
+        for k in sorted(gone):  # regions too short stay
+            if k - 1 not in gone:
+                end = k
+                while end in gone:
+                    end += 1
+                if sum(len(x.split()) for x in cut[k:end]) < 30:
+                    gone -= set(range(k, end))
+        want[i, text] = len(gone), " ".join(x for k, x in enumerate(cut) if k not in gone).split()
+    assert sum(n for n, _ in want.values()) > 100
+    for heavy in (2000, 10**9):
+        found = rows(sentence_spans.dedup(documents(spark, [(i, t, "a") for i, t in data]), spark))
+        texts = {(-(1 << 63) if i is None else i): set() for i, _ in data}
+        assert len(found) == len(data)
+        for r in found:
+            texts[-(1 << 63) if r.doc_id is None else r.doc_id].add((r.n_removed, "".join(r.text.split())))
+        for (i, _), (n, left) in want.items():
+            assert (n, "".join(left)) in texts[i]
+
+
+def test_frequent_runs_are_joined_apart(spark, monkeypatch):
+    df = documents(spark, [(i, "Alpha beta. Gamma delta. Epsilon zeta. Eta theta. " * 30, "a") for i in range(40)])
+    want = sorted((r.doc_id, r.n_removed) for r in rows(sentence_spans.dedup(df, spark)))
+    monkeypatch.setattr(sentence_spans, "HEAVY", 10**9)
+    assert sorted((r.doc_id, r.n_removed) for r in rows(sentence_spans.dedup(df, spark))) == want
+    assert [n for _, n in want[1:]] == [120] * 39
+    assert rows(sentence_spans.dedup(documents(spark, []), spark)) == []
+
+
+def test_passages_go_wherever_they_are_cut(spark):
+    # A passage set into other sentences, without capitals or closing marks, loses no more than its first and last pieces.
+    words = [w.lower().replace(".", "") for w in prose(70, 31).split()]
+    data = [(1, " ".join(["ab"] * 7 + words + ["cd"] * 9)), (2, " ".join(prose(9, 32).lower().split() + words + prose(9, 33).lower().split()))]
+    found = {r.doc_id: r for r in rows(sentence_spans.dedup(documents(spark, [(i, t, "a") for i, t in data]), spark))}
+    assert found[1].n_removed == 0 and found[2].words_removed >= 30
+
+
 # ---- 9: secrets
 
 
