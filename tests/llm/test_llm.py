@@ -534,6 +534,7 @@ def test_removed_sentences_equal_a_slow_walk(spark):
     order = sorted({(-(1 << 63) if i is None else i, t or "") for i, t in data}, key=lambda x: x[0])
     key = {(r.doc_id, r.text): r.row for r in rows(sentence_spans.rows_of(documents(spark, [(i, t, "a") for i, t in data])))}
     order.sort(key=lambda x: (x[0], key[(None if x[0] == -(1 << 63) else x[0], x[1] if x[1] or x[0] != 70 else None)]))
+    assert len({(k[0], r) for k, r in key.items()}) == len(key)
     seen, want = {}, {}
     for i, text in order:
         cut = [" ".join(text[a:b].split()) for a, b in sentence_spans.sentences(text)]
