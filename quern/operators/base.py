@@ -116,6 +116,22 @@ class Clusterer:
         return purity(self.fit_predict(df), "label", "prediction").first()[0]
 
 
+class Evaluator:
+    """A measure of rows with true and predicted columns; `needs` names the method that predicts what it looks at.
+
+    As an evaluator of CrossValidation or GridSearchCV it takes the rows alone and gives their measure.
+    """
+
+    def __init__(self, measure, needs: str = "predict", **columns: str):
+        self.measure, self.needs, self.columns = measure, needs, columns
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        return self.measure(df, **self.columns)
+
+    def score(self, df: DataFrame) -> float:
+        return self(df).first()[0]
+
+
 class Transformer:
     """Mixin: fit then transform."""
 

@@ -100,7 +100,7 @@ class MiniBatchKMeans(_Centres):
     def fit(self, df: DataFrame) -> MiniBatchKMeans:
         rows = samples(df).select("id", "features").persist()
         n = rows.count()
-        batches = max(1, min(64, n // self.batch_size))
+        batches = max(1, n // self.batch_size)
         rows = rows.withColumn("_class", F.pmod(F.xxhash64("id", F.lit(self.random_seed)), F.lit(batches)))
         self.cluster_centers = first_centres(rows, self.n_clusters, self.init, self.random_seed)
         self.counters = np.zeros(len(self.cluster_centers))

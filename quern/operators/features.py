@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.arrays import literal, norm, or_one
+from quern.functions.storage import kept
 from quern.operators.base import Estimator, Transformer, samples
 
 
@@ -119,6 +120,10 @@ class TfidfTransformer(Estimator, Transformer):
         return out.withColumn("features", F.transform("features", lambda v: v / size))
 
 
+#: Terms of more than this part of all rows are joined apart.
+HOT = 2000
+
+
 def term_counts(df: DataFrame, column: str = "text", pattern: str = r"[^\x20\x09-\x0D]+") -> DataFrame:
     """id, term and tf: occurrences of each lower-cased word in each text."""
     words = F.explode(F.regexp_extract_all(F.lower(column), F.lit(f"({pattern})"), F.lit(1))).alias("term")
@@ -126,11 +131,19 @@ def term_counts(df: DataFrame, column: str = "text", pattern: str = r"[^\x20\x09
 
 
 def tfidf_long(counts: DataFrame, n: int, smooth: bool = False, sublinear: bool = False, norm: str = "l2") -> DataFrame:
-    """id, term and weight from long counts: TF-IDF without a dense vocabulary; joins and sums by term and by id."""
-    more = int(smooth)
+    """id, term and weight from long counts: TF-IDF without a dense vocabulary; joins and sums by term and by id.
+
+    Counts are saved, so that texts are read once. Terms in more than one row in HOT are HOT times the mean row's number of
+    terms at most, and broadcast; other terms are joined, and none of those is hot.
+    """
+    more, counts = int(smooth), kept(counts, "counts")
     idf = counts.groupBy("term").agg(F.count("*").alias("df")).select("term", (F.ln((F.lit(float(n)) + more) / (F.col("df") + more)) + 1).alias("idf"))
     tf = (F.ln("tf") + 1) if sublinear else F.col("tf").cast("double")
-    out = counts.join(idf, "term").select("id", "term", (tf * F.col("idf")).alias("weight"))
+    frequent = counts.groupBy("term").agg(F.count("*").alias("_df")).filter(F.col("_df") > max(1000, n // HOT)).select("term")
+    idf = kept(idf.join(frequent.withColumn("hot", F.lit(True)), "term", "left"), "idf")
+    hot = F.broadcast(idf.filter("hot").drop("hot"))
+    rest = counts.join(hot.select("term"), "term", "left_anti").join(idf.filter("hot IS NULL").drop("hot").hint("merge"), "term")
+    out = counts.join(hot, "term").unionByName(rest).select("id", "term", (tf * F.col("idf")).alias("weight"))
     if norm == "none":
         return out
     size = F.sqrt(F.sum(F.col("weight") * F.col("weight"))) if norm == "l2" else F.sum(F.abs("weight"))

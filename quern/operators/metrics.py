@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.functions.arrays import sqdist
+from quern.functions.storage import kept
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -151,17 +152,26 @@ def log_loss(df: DataFrame, true: str = "label", prob: str = "probability") -> D
     return _score(df, F.avg(-F.when(positive, F.ln(clip(F.col(prob)))).otherwise(F.ln(1 - clip(F.col(prob))))))
 
 
-def roc_curve(df: DataFrame, true: str = "label", score: str = "score", pos_label: int | None = None) -> DataFrame:
-    """fpr, tpr and threshold by falling threshold, from (0, 0) at one above the largest.
+def _roc_cells(df: DataFrame, true: str, score: str, pos_label: int | None) -> DataFrame:
+    """threshold, p, n, and tp and all: the sums of p and n over it and all higher ones.
 
-    Scores are counted first; the running sums go over distinct scores.
+    Scores are counted and dealt by ranges, saved; each range sums up its own, after the sums of the ranges above it.
     """
     positive = F.col(true) == (F.lit(pos_label) if pos_label is not None else F.lit(df.agg(F.max(true)).first()[0]))
     cells = df.groupBy(F.col(score).alias("threshold")).agg(F.sum(positive.cast("long")).alias("p"), F.count("*").alias("n"))
-    down = W.orderBy(F.desc("threshold")).rowsBetween(W.unboundedPreceding, 0)
-    whole = W.partitionBy()
-    tp, all_ = F.sum("p").over(down), F.sum("n").over(down)
-    curve = cells.select("threshold", _ratio(all_ - tp, F.sum(F.col("n") - F.col("p")).over(whole)).alias("fpr"), _ratio(tp, F.sum("p").over(whole)).alias("tpr"))
+    dealt = kept(cells.repartitionByRange(F.desc("threshold")).withColumn("_part", F.spark_partition_id()), "roc")
+    parts = dealt.groupBy("_part").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))  # a row a range
+    above = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.select("_part", F.coalesce(F.sum("_p").over(above), F.lit(0)).alias("_tp"), F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_all"), F.sum("_p").over(W.partitionBy()).alias("positives"), F.sum("_n").over(W.partitionBy()).alias("total"))
+    down = W.partitionBy("_part").orderBy(F.desc("threshold")).rowsBetween(W.unboundedPreceding, 0)
+    dealt = dealt.withColumn("tp", F.sum("p").over(down)).withColumn("all", F.sum("n").over(down)).join(F.broadcast(parts), "_part")
+    return dealt.select("threshold", "p", "n", (F.col("tp") + F.col("_tp")).alias("tp"), (F.col("all") + F.col("_all")).alias("all"), "positives", "total")
+
+
+def roc_curve(df: DataFrame, true: str = "label", score: str = "score", pos_label: int | None = None) -> DataFrame:
+    """fpr, tpr and threshold by falling threshold, from (0, 0) at one above the largest."""
+    cells = _roc_cells(df, true, score, pos_label)
+    curve = cells.select("threshold", _ratio(F.col("all") - F.col("tp"), F.col("total") - F.col("positives")).alias("fpr"), _ratio(F.col("tp"), F.col("positives")).alias("tpr"))
     start = cells.agg((F.max("threshold") + 1).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return start.unionByName(curve)
 
@@ -174,7 +184,11 @@ def auc(curve: DataFrame) -> DataFrame:
 
 
 def roc_auc(df: DataFrame, true: str = "label", score: str = "score", pos_label: int | None = None) -> DataFrame:
-    return auc(roc_curve(df, true, score, pos_label))
+    """The area by trapezoids, which each threshold's own counts and sums give."""
+    cells = _roc_cells(df, true, score, pos_label)
+    area = (F.col("n") - F.col("p")) * (2 * F.col("tp") - F.col("p"))
+    sums = cells.agg(F.sum(area.cast("double")).alias("area"), F.max("positives").alias("positives"), F.max("total").alias("total"))
+    return sums.select(F.coalesce(_ratio(F.col("area") / 2, F.col("positives").cast("double") * (F.col("total") - F.col("positives"))), F.lit(0.0)).alias("score"))
 
 
 def mean_absolute_error(df: DataFrame, true: str = "target", pred: str = "prediction") -> DataFrame:
@@ -201,8 +215,12 @@ def _errors(df: DataFrame, true: str, pred: str, of) -> DataFrame:
 
 
 def median_absolute_error(df: DataFrame, true: str = "target", pred: str = "prediction") -> DataFrame:
-    """The exact median."""
-    return _score(_long(df, true, pred), F.median(F.abs(F.col("t") - F.col("p"))))
+    """The exact median over all outputs, by the rows' places in a distributed sort."""
+    from quern.operators.selection import positions
+
+    gaps = positions(_long(df, true, pred).select(F.abs(F.col("t") - F.col("p")).alias("gap")).filter("gap IS NOT NULL"), [], [F.col("gap")])
+    middle = gaps.filter((F.col("position") >= F.floor((F.col("position_of") - 1) / 2)) & (F.col("position") <= F.floor(F.col("position_of") / 2)))
+    return _score(middle, F.avg("gap"))
 
 
 def r2_score(df: DataFrame, true: str = "target", pred: str = "prediction") -> DataFrame:

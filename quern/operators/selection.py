@@ -16,17 +16,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quern.functions.storage import kept
 from quern.operators.base import Estimator
 
+#: The most groups that GroupKFold deals on the driver, one after another.
+GROUPS = 1_000_000
+
 
 def positions(df: DataFrame, by: list[str], order: list[Column], name: str = "position") -> DataFrame:
     """df with each row's 0-based position within `by` in `order`, by a two-level prefix sum.
 
     A range partition numbers its own rows; sizes of the ranges, one row each, give offsets. No group has to fit a task.
+    Rows are dealt once and saved, as a second deal would sample other bounds. Nulls in `by` are a group.
     """
     keys = [*by, *[f"_o{k}" for k in range(len(order))]]
     df = df.withColumns({f"_o{k}": c for k, c in enumerate(order)})
-    dealt = df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id())
+    dealt = kept(df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()), "positions") if keys else df.withColumn("_part", F.lit(0))
     sizes = dealt.groupBy(*by, "_part").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(W.partitionBy(*by).orderBy("_part")) - F.col("_n")
     offsets = sizes.select(*[F.col(b).alias(f"_by{k}") for k, b in enumerate(by)], F.col("_part").alias("_in"), before.alias("_before"), F.sum("_n").over(W.partitionBy(*by)).alias("_size"))
@@ -69,22 +74,25 @@ class StratifiedKFold(KFold):
 
 
 class GroupKFold(KFold):
-    """Whole groups, the largest first, each to the fold with the fewest rows."""
+    """Whole groups, the largest first, each to the fold with the fewest rows. Rows without a group are a group."""
 
     def __init__(self, n_splits: int = 5, group: str = "group_id"):
         self.n_splits, self.group = n_splits, group
 
     def folds(self, df: DataFrame, by: list[str] | None = None) -> DataFrame:
-        sizes = df.groupBy(self.group).count().orderBy(F.desc("count"), self.group).collect()
+        sizes = df.groupBy(self.group).count().orderBy(F.desc("count"), self.group).limit(GROUPS + 1).collect()
         if len(sizes) < self.n_splits:
             raise ValueError("fewer groups than folds")
+        if len(sizes) > GROUPS:
+            raise ValueError(f"more than {GROUPS} groups; hash them into fewer first")
         filled, rows = [0] * self.n_splits, []
         for r in sizes:
             k = filled.index(min(filled))
             filled[k] += r["count"]
             rows.append((r[0], k))
         kind = dict(df.dtypes)[self.group]
-        return df.join(df.sparkSession.createDataFrame(rows, f"{self.group} {kind}, fold int"), self.group)
+        dealt = df.sparkSession.createDataFrame(rows, f"_group {kind}, fold int")
+        return df.join(dealt, F.col(self.group).eqNullSafe(F.col("_group"))).drop("_group")
 
 
 class ShuffleSplit:
@@ -117,14 +125,14 @@ class StratifiedShuffleSplit(ShuffleSplit):
 
 
 class GroupShuffleSplit:
-    """ShuffleSplit of groups."""
+    """ShuffleSplit of groups. Rows without a group are a group."""
 
     def __init__(self, n_splits: int = 5, test_size: float = 0.2, train_size: float | None = None, random_seed: int = 0, group: str = "group_id"):
         self.inner, self.group, self.n_splits = ShuffleSplit(n_splits, test_size, train_size, random_seed), group, n_splits
 
     def roles(self, df: DataFrame) -> DataFrame:
-        groups = self.inner.roles(df.select(F.col(self.group).alias("id")).distinct()).withColumnRenamed("id", self.group)
-        return df.select("id", self.group).join(groups, self.group).select("split", "id", "role")
+        groups = self.inner.roles(df.select(F.col(self.group).alias("id")).distinct()).withColumnRenamed("id", "_group")
+        return df.select("id", self.group).join(groups, F.col(self.group).eqNullSafe(F.col("_group"))).select("split", "id", "role")
 
     def split(self, df: DataFrame) -> Iterator[tuple[DataFrame, DataFrame]]:
         roles = self.roles(df).persist()

@@ -1,15 +1,21 @@
 """Decision trees, grown level by level over the distributed rows.
 
 Split candidates are midpoints of a feature's distinct values, or of `max_bins` of its quantiles where it has more. Rows
-hold the numbers of their bins. At each level one job routes every row through all trees grown so far and adds up, for
-each tree, open node, feature and bin, the statistics of the target; the driver picks splits from these sums. So no task
-holds a node's rows, however many there are, and a forest grows all of its trees in the same jobs.
+hold the numbers of their bins. Large nodes are split level by level: a job routes every row through all trees grown so far
+and adds up, for each tree, open node, feature and bin, the statistics of the target, and the driver picks splits from these
+sums; a job takes as many nodes as have `CELLS` sums, so that neither a task nor the driver holds more. Nodes of
+`CELLS / features` rows or fewer wait until no larger one is open; then their rows are dealt out by tree and node, and
+each is grown to its leaves in a task of its own. So no task holds more than that, however many rows a node has and however
+deep trees grow, and a forest grows all of its trees in the same jobs. With max_leaf_nodes, which counts
+over the whole tree, all nodes go level by level.
 
 A node of min_samples_leaf rows or fewer is a leaf; a split goes left if x <= threshold. "entropy" is -sum p ln(p + 1).
 """
 
 from __future__ import annotations
 
+import pickle
+from collections import deque
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,6 +27,12 @@ from quern.functions.numeric import matrix, width, with_numpy
 from quern.operators.base import Classifier, Estimator, Regressor, classes_of, labels, samples, targets
 
 
+#: Most sums that a job adds up, and most bins that a task holds to grow a node on its own (64 MB each).
+CELLS = 1 << 23
+#: Nodes of up to so many rows are split by sorting their rows instead of by sums over bins.
+FEW = 2048
+
+
 @dataclass
 class Node:
     """A node: leaves have value and leaf_id, others feature, threshold and children's numbers."""
@@ -113,18 +125,25 @@ class Grower:
         most = max(len(e) for e in edges) + 1
         rows = with_numpy(df.select("id", "features", *columns), "features", "array<int>", ["features"], lambda x: np.stack([np.searchsorted(edges[j], x[:, j], side="left") for j in range(d)], axis=1).astype(np.int32)).persist()
         rng = np.random.default_rng(self.random_seed)
-        trees: list[list[Node]] = [[Node()] for _ in range(n_trees)]
-        open_: list[list[int]] = [[0] for _ in range(n_trees)]
+        trees: list[list[Node]] = [[Node(n_samples=float(rows.count()))] for _ in range(n_trees)]
         seeds = rng.integers(0, 1 << 62, n_trees)
-        take = d if self.max_features is None else max(1, min(d, int(self.max_features)))
-        while any(open_):
-            tables, now = Tables(trees), [list(o) for o in open_]
-            chosen = [[np.sort(rng.permutation(d)[:take]) for _ in o] for o in now]
-            sums = self._sums(rows, columns, stats, k, tables, now, seeds if bootstrap else None, d, most)
-            open_ = [[] for _ in range(n_trees)]
-            for t, nodes in enumerate(now):
-                for slot, at in enumerate(nodes):
-                    self._split(trees[t], at, sums[t][slot], chosen[t][slot], edges, rng, open_[t], self.alphas[t] if self.alphas else None)
+        small = max(FEW, CELLS // d) if self.max_leaf_nodes is None else 0
+        waiting: list[tuple[int, int]] = []
+        open_ = [(t, 0) for t in range(n_trees)]
+        while open_:
+            waiting += [(t, at) for t, at in open_ if trees[t][at].n_samples <= small]
+            large, open_ = [(t, at) for t, at in open_ if trees[t][at].n_samples > small], []
+            for low in range(0, len(large), max(1, CELLS // (d * most * k))):
+                few = large[low : low + max(1, CELLS // (d * most * k))]
+                now = [[at for tree, at in few if tree == t] for t in range(n_trees)]
+                sums = self._sums(rows, columns, stats, k, Tables(trees), now, seeds if bootstrap else None, d, most)
+                for t, nodes in enumerate(now):
+                    for slot, at in enumerate(nodes):
+                        todo: list[int] = []
+                        self._split(trees[t], at, sums[t][slot], self._chosen(rng, d), edges, rng, todo, self.alphas[t] if self.alphas else None)
+                        open_ += [(t, c) for c in todo]
+        if waiting:
+            self._finish(rows, columns, stats, trees, waiting, seeds if bootstrap else None, edges, seeds)
         rows.unpersist()
         for nodes in trees:
             for n, node in enumerate(x for x in nodes if x.leaf):
@@ -133,6 +152,95 @@ class Grower:
                 node.stats = None
         return trees
 
+    def _chosen(self, rng, d: int) -> np.ndarray:
+        """The features that a node looks at."""
+        take = d if self.max_features is None else max(1, min(d, int(self.max_features)))
+        return np.sort(rng.permutation(d)[:take])
+
+    def _finish(self, rows, columns, stats, trees, waiting, seeds, edges, own_seeds) -> None:
+        """Grows the waiting nodes, each from its own rows in one task, into the trees."""
+        tables = Tables(trees)
+        own = [np.array(sorted(at for tree, at in waiting if tree == t), int) for t in range(len(trees))]
+        depths = {(t, at): trees[t][at].depth for t, at in waiting}
+        names = ["features", *columns]
+        fields = [rows.schema[c].simpleString().split(":", 1) for c in names]
+
+        def deal(batches):
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                ids, x = batch.column(0).to_numpy(), matrix(batch.column(1)).astype(int)
+                for t, nodes in enumerate(own):
+                    if not len(nodes):
+                        continue
+                    at = tables.route(x, t, True)
+                    weight = np.ones(len(x)) if seeds is None else _poisson(ids, seeds[t])
+                    pick = np.flatnonzero(np.isin(at, nodes) & (weight > 0))
+                    if len(pick):
+                        part = batch.take(pa.array(pick))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pick), t, np.int32)), pa.array(at[pick].astype(np.int32)), pa.array(weight[pick]), *part.columns[1:]], names=["_at_tree", "_at_node", "_at_weight", *names])
+
+        def finish(of: pa.Table) -> pa.Table:
+            t, at = of["_at_tree"][0].as_py(), of["_at_node"][0].as_py()
+            of = of.combine_chunks()
+            x = matrix(of["features"].chunk(0)).astype(np.int32)
+            s = stats(*(matrix(of[c].chunk(0)) for c in columns)).astype(float) * of["_at_weight"].to_numpy()[:, None]
+            rng = np.random.default_rng([int(own_seeds[t]), at])
+            nodes = self._alone(x, s, depths[t, at], edges, rng, self.alphas[t] if self.alphas else None)
+            return pa.table({"t": pa.array([t], pa.int32()), "node": pa.array([at], pa.int32()), "nodes": pa.array([pickle.dumps(nodes)], pa.binary())})
+
+        dealt = rows.select("id", *names).mapInArrow(deal, ", ".join(["_at_tree int", "_at_node int", "_at_weight double", *[f"{n} {kind}" for n, kind in fields]]))
+        for r in dealt.groupBy("_at_tree", "_at_node").applyInArrow(finish, "t int, node int, nodes binary").toLocalIterator():
+            tree, grown = trees[r["t"]], pickle.loads(r["nodes"])
+            shift = len(tree) - 1  # the first takes the waiting node's place
+            for node in grown:
+                if node.left >= 0:
+                    node.left, node.right = node.left + shift, node.right + shift
+            tree[r["node"]] = grown[0]
+            tree += grown[1:]
+
+    def _alone(self, x: np.ndarray, s: np.ndarray, depth: int, edges, rng, alpha) -> list[Node]:
+        """The whole subtree over these rows of bins and statistics."""
+        nodes, d = [Node(depth=depth)], x.shape[1]
+        todo = deque([(0, np.arange(len(x)))])
+        while todo:
+            at, own = todo.popleft()
+            children: list[int] = []
+            if len(own) > FEW or self.kind != "best":
+                most = max(len(e) for e in edges) + 1
+                part, sums = s[own], np.zeros((d, most, s.shape[1]))
+                for j in range(d):
+                    for c in range(s.shape[1]):
+                        sums[j, :, c] = np.bincount(x[own, j], weights=part[:, c], minlength=most)
+                self._split(nodes, at, sums, self._chosen(rng, d), edges, rng, children, alpha)
+            else:
+                self._sorted_split(nodes, at, x[own], s[own], self._chosen(rng, d), edges, children)
+            if children:
+                goes = x[own, nodes[at].feature_id] <= nodes[at].bin
+                todo += [(children[0], own[goes]), (children[1], own[~goes])]
+        for node in nodes:
+            node.stats = None
+        return nodes
+
+    def _sorted_split(self, nodes: list[Node], at: int, x: np.ndarray, s: np.ndarray, chosen, edges, todo: list[int]) -> None:
+        """`_split` from few rows: running sums over each feature's order; splits stand where its bin changes."""
+        node, total = nodes[at], s.sum(0)
+        if self._ends(nodes, node, total) or len(x) < 2:
+            node.leaf = True
+            return
+        order = np.argsort(x[:, chosen], axis=0, kind="stable")
+        bins = np.take_along_axis(x[:, chosen], order, 0)
+        left = s[order].cumsum(0)[:-1]
+        right = total - left
+        nl, nr = self.size(left), self.size(right)
+        changes = (bins[1:] != bins[:-1]) & (nl > 0) & (nr > 0)
+        gain = np.where(changes, self._gain(node, total, left, right, nl, nr), -np.inf)
+        row = gain.argmax(0)
+        best = gain[row, np.arange(len(chosen))]
+        c = int(best.argmax())
+        found = (float(best[c]), int(chosen[c]), int(bins[row[c], c]), float(nl[row[c], c]), float(nr[row[c], c])) if np.isfinite(best[c]) else None
+        self._take(nodes, node, found, edges, todo)
+
     def _sums(self, rows, columns, stats, k, tables, now, seeds, d, most):
         """[tree][open node] -> [features, bins, k]; one job."""
         schema = pa.schema([("key", pa.int64()), ("s", pa.list_(pa.float64()))])
@@ -180,14 +288,34 @@ class Grower:
             out[key >> 40][key >> 16 & 0xFFFFFF][key & 0xFFFF] = v.reshape(most, k)
         return out
 
-    def _split(self, nodes: list[Node], at: int, sums: np.ndarray, chosen, edges, rng, todo: list[int], alpha) -> None:
-        node, total = nodes[at], sums[0].sum(0)
+    def _ends(self, nodes: list[Node], node: Node, total: np.ndarray) -> bool:
+        """Takes a node's statistics, and tells whether it's a leaf."""
         node.stats, node.n_samples, node.impurity, node.value = total, float(self.size(total)), float(self.impurity(total)), self.value(total)
         full = self.max_depth is not None and node.depth >= self.max_depth
-        leaves = sum(1 for n in nodes if n.left < 0)
-        full |= self.max_leaf_nodes is not None and leaves >= self.max_leaf_nodes
+        full |= self.max_leaf_nodes is not None and sum(1 for n in nodes if n.left < 0) >= self.max_leaf_nodes
         pure = (total > 1e-12).sum() <= 1 if self.criterion in ("gini", "entropy") else self.criterion != "gradient" and node.impurity <= 1e-12
-        if full or pure or node.n_samples <= self.min_samples_leaf:
+        return bool(full or pure or node.n_samples <= self.min_samples_leaf)
+
+    def _gain(self, node: Node, total, left, right, nl, nr) -> np.ndarray:
+        if self.criterion == "gradient":
+            return self.impurity(total) - self.impurity(left) - self.impurity(right)
+        return node.impurity - (nl * self.impurity(left) + nr * self.impurity(right)) / node.n_samples
+
+    def _take(self, nodes: list[Node], node: Node, best: tuple | None, edges, todo: list[int]) -> None:
+        """Makes the best split (gain, feature, bin, sizes), if there is one."""
+        # An even split of XOR-like data gains nothing at first; only gradient trees ask for a gain.
+        if best is None or (self.criterion == "gradient" and best[0] <= 1e-12):
+            node.leaf = True
+            return
+        _, node.feature_id, node.bin, nl, nr = best
+        node.threshold = float(edges[node.feature_id][node.bin])
+        node.left, node.right = len(nodes), len(nodes) + 1
+        nodes += [Node(depth=node.depth + 1, n_samples=nl), Node(depth=node.depth + 1, n_samples=nr)]
+        todo += [node.left, node.right]
+
+    def _split(self, nodes: list[Node], at: int, sums: np.ndarray, chosen, edges, rng, todo: list[int], alpha) -> None:
+        node, total = nodes[at], sums[0].sum(0)
+        if self._ends(nodes, node, total):
             node.leaf = True
             return
         best = None
@@ -201,22 +329,11 @@ class Grower:
             if self.kind == "random" or (self.kind == "variable" and rng.random() >= (alpha if alpha is not None else 0.5)):
                 low, high = edges[j][ok[0]], edges[j][ok[-1]]
                 ok = ok[[np.searchsorted(edges[j][ok], rng.uniform(low, high), side="left").clip(0, len(ok) - 1)]]
-            if self.criterion == "gradient":
-                gain = self.impurity(total) - self.impurity(left[ok]) - self.impurity(right[ok])
-            else:
-                gain = node.impurity - (nl[ok] * self.impurity(left[ok]) + nr[ok] * self.impurity(right[ok])) / node.n_samples
+            gain = self._gain(node, total, left[ok], right[ok], nl[ok], nr[ok])
             i = int(gain.argmax())
             if best is None or gain[i] > best[0]:
-                best = float(gain[i]), int(j), int(ok[i])
-        # An even split of XOR-like data gains nothing at first; only gradient trees ask for a gain.
-        if best is None or (self.criterion == "gradient" and best[0] <= 1e-12):
-            node.leaf = True
-            return
-        _, node.feature_id, node.bin = best
-        node.threshold = float(edges[node.feature_id][node.bin])
-        node.left, node.right = len(nodes), len(nodes) + 1
-        nodes += [Node(depth=node.depth + 1), Node(depth=node.depth + 1)]
-        todo += [node.left, node.right]
+                best = float(gain[i]), int(j), int(ok[i]), float(nl[ok[i]]), float(nr[ok[i]])
+        self._take(nodes, node, best, edges, todo)
 
 
 def _poisson(ids: np.ndarray, seed: int) -> np.ndarray:

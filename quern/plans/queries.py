@@ -5,10 +5,11 @@ Doubles are rounded to six digits on both sides, as sums run in different orders
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.arrays import doubles
+from quern.functions.storage import shared_dir
 from quern.operators import bayes, clustering, decomposition, ensemble, features, kernel, linear, manifold, metric_learning, metrics, neighbors, neural, pairwise, preprocessing, selection, tree
 from quern.plans.registry import register
 from quern.sources import generators, libsvm
@@ -100,7 +101,6 @@ def _props(spark: SparkSession, d: str) -> DataFrame:
 
 register("hash_vectorizer", "SELECT event_id AS id, coalesce(round((props::JSON->>'k')::DOUBLE, 6), 0) AS k FROM events")(lambda spark, d: features.HashVectorizer().fit_transform(_props(spark, d)).select("id", F.round(F.col("features")[0], 6).alias("k")))
 register("feature_hasher")(lambda spark, d: features.FeatureHasher(16).fit_transform(_props(spark, d)).select("id", F.array_join("features", ",").alias("features")))
-register("kernel_calculator")(lambda spark, d: preprocessing.KernelCalculator(gamma=0.01).fit_transform(vectors(spark, d)).select("id", F.round(F.aggregate("features", F.lit(0.0), lambda a, v: a + v), 4).alias("total")))
 
 # ---- text
 
@@ -155,7 +155,6 @@ for _name, _of, _col in (("precision", metrics.precision, "pre"), ("recall", met
     register(f"macro_average_{_name}", f"{CELLS} SELECT round(avg({_col}), 6) AS score FROM f")(lambda spark, d, of=getattr(metrics, f"macro_average_{_name}"): one(of(lines(spark, d))))
     register(f"micro_average_{_name}", f"{MICRO} SELECT round({'2 * pre * rec / (pre + rec)' if _col == 'fs' else _col}, 6) AS score FROM m")(lambda spark, d, of=getattr(metrics, f"micro_average_{_name}"): one(of(lines(spark, d))))
 register("confusion_matrix", f'WITH {L_SQL}, k AS (SELECT DISTINCT y FROM li) SELECT a.y AS "true", b.y AS predicted, (SELECT count(*) FROM li WHERE li.y = a.y AND li.p = b.y) AS n FROM k a, k b')(lambda spark, d: metrics.confusion_matrix(lines(spark, d)))
-register("classification_report")(lambda spark, d: spark.createDataFrame([(k, row) for k, row in enumerate(metrics.classification_report(lines(spark, d)).splitlines())], "line int, report string"))
 register("log_loss", f"WITH {L_SQL} SELECT round(avg(-ln(CASE WHEN y = 2 THEN x2 * 8 + 0.1::DOUBLE ELSE 1 - (x2 * 8 + 0.1::DOUBLE) END)), 6) AS score FROM li")(lambda spark, d: one(metrics.log_loss(lines(spark, d).withColumn("probability", F.col("discount") * 8 + F.lit(0.1)))))
 ROC = f"WITH {L_SQL}, g AS (SELECT x2 AS t, sum((y = 2)::INTEGER)::DOUBLE AS p, count(*)::DOUBLE AS n FROM li GROUP BY x2), c AS (SELECT t, sum(n - p) OVER (ORDER BY t DESC) / sum(n - p) OVER () AS fpr, sum(p) OVER (ORDER BY t DESC) / sum(p) OVER () AS tpr FROM g UNION ALL SELECT max(t) + 1, 0, 0 FROM g)"
 register("roc_curve", f"{ROC} SELECT round(t, 6) AS threshold, round(fpr, 6) AS fpr, round(tpr, 6) AS tpr FROM c")(lambda spark, d: metrics.roc_curve(lines(spark, d), score="discount").select(*[F.round(c, 6).alias(c) for c in ("threshold", "fpr", "tpr")]))
@@ -199,7 +198,6 @@ def _orders(spark: SparkSession, d: str) -> DataFrame:
 register("k_fold", "SELECT o_orderkey AS id, (ntile(3) OVER (ORDER BY o_orderkey) - 1)::INTEGER AS fold FROM orders")(lambda spark, d: selection.KFold(3).folds(_orders(spark, d)).select("id", "fold"))
 register("stratified_k_fold", "SELECT o_orderkey AS id, (ntile(3) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1)::INTEGER AS fold FROM orders")(lambda spark, d: selection.StratifiedKFold(3).folds(_orders(spark, d)).select("id", "fold"))
 register("time_series_split", "WITH n AS (SELECT event_id AS id, row_number() OVER (ORDER BY ts, event_id) - 1 AS pos, count(*) OVER () AS n FROM events), k AS (SELECT id, pos, k, n // 6 AS size, n // 6 + n % 6 + (n // 6) * k AS start FROM n, range(5) r(k)) SELECT k::INTEGER AS split, id, CASE WHEN pos < start THEN 'train' ELSE 'test' END AS role FROM k WHERE pos < start + size")(lambda spark, d: selection.TimeSeriesSplit(5, order="ts").roles(table(spark, d, "events").withColumnRenamed("event_id", "id")))
-register("group_k_fold")(lambda spark, d: selection.GroupKFold(5, "c_nationkey").folds(table(spark, d, "customer").withColumnRenamed("c_custkey", "id")).select("id", "fold"))
 register("shuffle_split")(lambda spark, d: selection.ShuffleSplit(3, 0.1, random_seed=1).roles(_orders(spark, d)))
 register("stratified_shuffle_split")(lambda spark, d: selection.StratifiedShuffleSplit(3, 0.1, random_seed=1).roles(_orders(spark, d)))
 register("group_shuffle_split")(lambda spark, d: selection.GroupShuffleSplit(2, 0.2, random_seed=1, group="c_nationkey").roles(table(spark, d, "customer").withColumnRenamed("c_custkey", "id")))
@@ -242,36 +240,6 @@ register("linear_regression", f"WITH {L_SQL} SELECT round(regr_slope(x1, x0), 3)
 register("ridge", f"{SXY} SELECT round(((n + 10) * p - b * q) / ((a + 10) * (n + 10) - b * b), 3) AS slope, round(((a + 10) * q - b * p) / ((a + 10) * (n + 10) - b * b), 3) AS intercept FROM z")(lambda spark, d: spark.createDataFrame(_coefficients(linear.Ridge(10.0).fit(_line(spark, d))), "slope double, intercept double").select(F.round("slope", 3).alias("slope"), F.round("intercept", 3).alias("intercept")))
 register("dbscan_core", f"WITH {E_SQL}, n AS (SELECT a.id, count(*) AS n FROM e a, e b WHERE sqrt({SQ}) < 9 GROUP BY a.id) SELECT id FROM n WHERE n >= 5")(lambda spark, d: spark.createDataFrame([(int(i),) for i in clustering.DBSCAN(9.0, 5).fit(vectors(spark, d)).core_sample_ids], "id long"))
 
-# ---- best splits of one feature by window sums over its distinct values
-
-
-def best_split(df: DataFrame, value: Column, stats: list[Column], impurity) -> DataFrame:
-    """threshold and gain of the best split by value <= threshold; impurity takes the sums [n, ...] and gives n * impurity."""
-    from pyspark.sql import Window as W
-
-    names = [f"s{k}" for k in range(len(stats))]
-    cells = df.groupBy(value.alias("v")).agg(*[F.sum(s).alias(n) for s, n in zip(stats, names, strict=True)])
-    up, whole = W.orderBy("v").rowsBetween(W.unboundedPreceding, 0), W.partitionBy()
-    rows = cells.select("v", F.lead("v").over(W.orderBy("v")).alias("next"), *[F.sum(n).over(up).alias(f"l_{n}") for n in names], *[F.sum(n).over(whole).alias(f"t_{n}") for n in names]).filter("next IS NOT NULL")
-    left, total = [F.col(f"l_{n}") for n in names], [F.col(f"t_{n}") for n in names]
-    gain = (impurity(total) - impurity(left) - impurity([t - l for t, l in zip(total, left, strict=True)])) / total[0]
-    return rows.select(((F.col("v") + F.col("next")) / 2).alias("threshold"), gain.alias("gain")).orderBy(F.desc("gain"), "threshold").limit(1).select(F.round("threshold", 6).alias("threshold"), F.round("gain", 6).alias("gain"))
-
-
-def _split_sql(stats: list[str], imp) -> str:
-    k = range(len(stats))
-    cum = ", ".join(f"sum(s{i}) OVER (ORDER BY v) AS l{i}, sum(s{i}) OVER () AS t{i}" for i in k)
-    gain = f"({imp([f't{i}' for i in k])} - ({imp([f'l{i}' for i in k])}) - ({imp([f'(t{i} - l{i})' for i in k])})) / t0"
-    return f"WITH {L_SQL}, g AS (SELECT x0 AS v, " + ", ".join(f"sum({s})::DOUBLE AS s{i}" for i, s in enumerate(stats)) + f" FROM li GROUP BY x0), c AS (SELECT v, lead(v) OVER (ORDER BY v) AS nv, {cum} FROM g) SELECT round((v + nv) / 2, 6) AS threshold, round({gain}, 6) AS gain FROM c WHERE nv IS NOT NULL ORDER BY {gain} DESC, v LIMIT 1"
-
-
-_gini = lambda s: s[0] - (s[1] * s[1] + s[2] * s[2] + s[3] * s[3]) / s[0]
-_mse = lambda s: s[2] - s[1] * s[1] / s[0]
-_grad = lambda s: -(s[1] * s[1]) / (s[2] + 1)
-register("tree_split_gini", _split_sql(["1", "(y = 0)::INTEGER", "(y = 1)::INTEGER", "(y = 2)::INTEGER"], lambda s: f"{s[0]} - ({s[1]} * {s[1]} + {s[2]} * {s[2]} + {s[3]} * {s[3]}) / {s[0]}"))(lambda spark, d: best_split(lines(spark, d), F.col("features")[0], [F.lit(1.0)] + [(F.col("label") == c).cast("double") for c in range(3)], _gini))
-register("tree_split_mse", _split_sql(["1", "x2", "x2 * x2"], lambda s: f"{s[2]} - {s[1]} * {s[1]} / {s[0]}"))(lambda spark, d: best_split(lines(spark, d), F.col("features")[0], [F.lit(1.0), F.col("discount"), F.col("discount") * F.col("discount")], _mse))
-register("tree_split_gradient", _split_sql(["1", "x2 - 0.05::DOUBLE", "1"], lambda s: f"(-({s[1]} * {s[1]}) / ({s[2]} + 1))"))(lambda spark, d: best_split(lines(spark, d), F.col("features")[0], [F.lit(1.0), F.col("discount") - F.lit(0.05), F.lit(1.0)], _grad))
-
 # ---- learners whose results SQL cannot express: rows only
 
 
@@ -300,14 +268,14 @@ def _positive(spark: SparkSession, d: str) -> DataFrame:
 
 
 for _name, _make in {
-    "lasso": lambda: linear.Lasso(1.0), "elastic_net": lambda: linear.ElasticNet(1.0), "nnls": lambda: linear.NNLS(0.1), "svr": lambda: linear.SVR(0.01, max_iter=20), "sgd_regressor": lambda: linear.SGDRegressor(max_iter=20, learning_rate=0.001),
+    "svr": lambda: linear.SVR(0.01, max_iter=20), "sgd_regressor": lambda: linear.SGDRegressor(max_iter=20, learning_rate=0.001),
     "logistic_regression": lambda: linear.LogisticRegression(max_iter=20), "svc": lambda: linear.SVC(0.01, max_iter=20), "sgd_classifier": lambda: linear.SGDClassifier(max_iter=10, reg_param=0.001),
-    "k_means": lambda: clustering.KMeans(8, max_iter=10, random_seed=1), "mini_batch_k_means": lambda: clustering.MiniBatchKMeans(8, max_iter=10, random_seed=1), "k_medoids": lambda: clustering.KMedoids(8, random_seed=1), "gaussian_mixture": lambda: clustering.GaussianMixture(4, max_iter=8, random_seed=1),
-    "dbscan": lambda: clustering.DBSCAN(9.0, 5), "snn": lambda: clustering.SNN(10, 5, 5), "hdbscan": lambda: clustering.HDBSCAN(5), "single_linkage": lambda: clustering.SingleLinkage(8), "mean_shift": lambda: clustering.MeanShift(9.0, max_iter=50), "power_iteration": lambda: clustering.PowerIteration(8, max_iter=200), "spectral_clustering": lambda: clustering.SpectralClustering(8),
+    "mini_batch_k_means": lambda: clustering.MiniBatchKMeans(8, max_iter=10, random_seed=1), "k_medoids": lambda: clustering.KMedoids(8, random_seed=1), "gaussian_mixture": lambda: clustering.GaussianMixture(4, max_iter=8, random_seed=1),
+    "snn": lambda: clustering.SNN(10, 5, 5), "hdbscan": lambda: clustering.HDBSCAN(5), "single_linkage": lambda: clustering.SingleLinkage(8), "mean_shift": lambda: clustering.MeanShift(9.0, max_iter=50), "power_iteration": lambda: clustering.PowerIteration(8, max_iter=200), "spectral_clustering": lambda: clustering.SpectralClustering(8),
     "decision_tree_classifier": lambda: tree.DecisionTreeClassifier(max_depth=3, max_bins=32), "decision_tree_regressor": lambda: tree.DecisionTreeRegressor(max_depth=3, max_bins=32), "extra_tree_classifier": lambda: tree.ExtraTreeClassifier(max_depth=3, max_bins=32), "extra_tree_regressor": lambda: tree.ExtraTreeRegressor(max_depth=3, max_bins=32), "vr_tree_classifier": lambda: tree.VRTreeClassifier(max_depth=3, max_bins=32), "vr_tree_regressor": lambda: tree.VRTreeRegressor(max_depth=3, max_bins=32),
     "random_forest_classifier": lambda: ensemble.RandomForestClassifier(5, max_depth=3, max_bins=32), "random_forest_regressor": lambda: ensemble.RandomForestRegressor(5, max_depth=3, max_bins=32), "extra_trees_classifier": lambda: ensemble.ExtraTreesClassifier(5, max_depth=3, max_bins=32), "extra_trees_regressor": lambda: ensemble.ExtraTreesRegressor(5, max_depth=3, max_bins=32), "vr_trees_classifier": lambda: ensemble.VRTreesClassifier(5, max_depth=3, max_bins=32), "vr_trees_regressor": lambda: ensemble.VRTreesRegressor(5, max_depth=3, max_bins=32),
     "ada_boost_classifier": lambda: ensemble.AdaBoostClassifier(3, max_depth=2, max_bins=16), "ada_boost_regressor": lambda: ensemble.AdaBoostRegressor(3, max_depth=2, max_bins=16), "gradient_boosting_regressor": lambda: ensemble.GradientBoostingRegressor(3, max_depth=2, max_bins=16),
-    "voting_classifier": lambda: ensemble.VotingClassifier({"nb": bayes.GaussianNB(), "rvfl": neural.RVFLClassifier(16)}), "voting_regressor": lambda: ensemble.VotingRegressor({"ridge": linear.Ridge(), "rvfl": neural.RVFLRegressor(16)}),
+    "voting_classifier": lambda: ensemble.VotingClassifier({"nb": bayes.GaussianNB(), "rvfl": neural.RVFLClassifier(16)}),
     "stacking_classifier": lambda: ensemble.StackingClassifier({"nb": bayes.GaussianNB(), "rvfl": neural.RVFLClassifier(16)}, neural.RVFLClassifier(8), n_splits=2), "stacking_regressor": lambda: ensemble.StackingRegressor({"ridge": linear.Ridge(), "rvfl": neural.RVFLRegressor(16)}, n_splits=2),
     "mlp_classifier": lambda: neural.MLPClassifier((32,), max_iter=10), "mlp_regressor": lambda: neural.MLPRegressor((32,), max_iter=10), "rbf_classifier": lambda: neural.RBFClassifier(16, max_iter=5), "rbf_regressor": lambda: neural.RBFRegressor(16, max_iter=5), "rvfl_classifier": lambda: neural.RVFLClassifier(32), "rvfl_regressor": lambda: neural.RVFLRegressor(32),
 }.items():
@@ -317,7 +285,7 @@ for _name, _make in {"kernel_ridge": lambda: kernel.KernelRidge(1.0), "kernel_ri
     _predicts(_name, _make, _kernels)
 
 for _name, _make, _source in (
-    ("pca", lambda: decomposition.PCA(4), vectors), ("sparse_pca", lambda: decomposition.SparsePCA(2), vectors), ("factor_analysis", lambda: decomposition.FactorAnalysis(2, 30), vectors), ("fast_ica", lambda: decomposition.FastICA(2, max_iter=10), vectors), ("nmf", lambda: decomposition.NMF(3, max_iter=10), _positive),
+    ("sparse_pca", lambda: decomposition.SparsePCA(2), vectors), ("factor_analysis", lambda: decomposition.FactorAnalysis(2, 30), vectors), ("fast_ica", lambda: decomposition.FastICA(2, max_iter=10), vectors), ("nmf", lambda: decomposition.NMF(3, max_iter=10), _positive),
     ("fisher_discriminant_analysis", lambda: metric_learning.FisherDiscriminantAnalysis(), vectors), ("local_fisher_discriminant_analysis", lambda: metric_learning.LocalFisherDiscriminantAnalysis(2), vectors), ("neighbourhood_component_analysis", lambda: metric_learning.NeighbourhoodComponentAnalysis(2, max_iter=5), vectors), ("mlkr", lambda: metric_learning.MLKR(2, max_iter=5), vectors),
     ("rbf_features", lambda: kernel.RBF(0.01, 32), vectors), ("nystroem", lambda: kernel.Nystroem(gamma=0.01, n_components=16), vectors), ("kernel_pca", lambda: kernel.KernelPCA(2), _kernels), ("kernel_fda", lambda: kernel.KernelFDA(2), _kernels),
     ("classical_mds", lambda: manifold.ClassicalMDS(2), vectors), ("mds", lambda: manifold.MDS(2, max_iter=20), vectors), ("tsne", lambda: manifold.TSNE(2, max_iter=30), vectors), ("laplacian_eigenmaps", lambda: manifold.LaplacianEigenmaps(2), vectors), ("locally_linear_embedding", lambda: manifold.LocallyLinearEmbedding(2), vectors), ("local_tangent_space_alignment", lambda: manifold.LocalTangentSpaceAlignment(2), vectors), ("hessian_eigenmaps", lambda: manifold.HessianEigenmaps(8, 2), vectors),
@@ -328,12 +296,6 @@ for _name, _make, _source in (
 
 register("gradient_boosting_classifier")(lambda spark, d: ensemble.GradientBoostingClassifier(3, max_depth=2, max_bins=16).fit(df := vectors(spark, d).withColumn("label", (F.col("label") >= 5).cast("int"))).predict(df).select("id", "prediction"))
 register("gradient_tree_regressor")(lambda spark, d: tree.GradientTreeRegressor(1.0, 1.0, max_depth=3, max_bins=32).fit(df := vectors(spark, d).withColumn("g", -F.col("target")).withColumn("h", F.lit(1.0))).predict(df).select("id", F.round("prediction", 4).alias("prediction")))
-register("pipeline_scaler_nb")(lambda spark, d: selection.Pipeline({"scale": preprocessing.StandardScaler(), "nb": bayes.GaussianNB()}).fit(df := lines(spark, d).drop("prediction")).predict(df).select("id", "prediction"))
-register("feature_union")(lambda spark, d: selection.FeatureUnion({"raw": preprocessing.L2Normalizer(), "scaled": preprocessing.MinMaxScaler()}).fit_transform(lines(spark, d)).select("id", F.size("features").alias("width")))
-register("cross_validation")(lambda spark, d: spark.createDataFrame([(k, float(s)) for k, s in enumerate(selection.CrossValidation(bayes.GaussianNB(), selection.StratifiedKFold(3)).perform(lines(spark, d).drop("prediction"))["test_score"])], "fold int, score double"))
-register("grid_search_cv")(lambda spark, d: spark.createDataFrame([(str(r["params"]), float(r["mean_test_score"])) for r in selection.GridSearchCV(bayes.BernoulliNB(), {"bin_threshold": [0.02, 0.05]}, selection.KFold(2)).fit(lines(spark, d).drop("prediction")).cv_results], "params string, score double"))
-register("make_circles")(lambda spark, d: generators.make_circles(spark, 1000, noise=0.05, random_seed=1))
-register("make_moons")(lambda spark, d: generators.make_moons(spark, 1000, noise=0.05, random_seed=1))
 register("make_blobs")(lambda spark, d: generators.make_blobs(spark, 1000, 3, 4, random_seed=1))
 register("choice_ids")(lambda spark, d: generators.choice_ids(table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("weight")), 1000, seed=1))
 
@@ -341,11 +303,9 @@ register("choice_ids")(lambda spark, d: generators.choice_ids(table(spark, d, "p
 @register("libsvm_round_trip", f"WITH {L_SQL} SELECT y AS label, count(*) AS n, round(sum(x0), 2) AS total FROM li GROUP BY y")
 def libsvm_round_trip(spark, d):
     """lineitem written as LIBSVM text and read again; the folder is the shared one where the cluster names it."""
-    import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quern-")
-    path = f"{base}/libsvm-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/libsvm-{uuid.uuid4().hex}"
     libsvm.dump_libsvm_file(lines(spark, d), path)
     return libsvm.load_libsvm_file(spark, path, integers=True).groupBy("label").agg(F.count("*").alias("n"), F.round(F.sum(F.col("features")[0]), 2).alias("total"))
 
@@ -364,7 +324,6 @@ def fit_sigmoid(spark, d):
 
 register("rand_uniform")(lambda spark, d: generators.rand_uniform(table(spark, d, "part").select(F.col("p_partkey").alias("id")), "u", 3))
 register("rand_normal")(lambda spark, d: generators.rand_normal(table(spark, d, "part").select(F.col("p_partkey").alias("id")), "z", 3))
-register("silhouette_samples")(lambda spark, d: metrics.silhouette_samples(vectors(spark, d)).select("id", F.round("silhouette", 5).alias("silhouette")))
 register("estimator_accuracy", CL + "q AS (SELECT y AS c, count(*)::DOUBLE AS k, " + ", ".join(f"avg({x}) AS m{j}, var_samp({x}) AS v{j}" for j, x in enumerate(X)) + " FROM li GROUP BY y), s AS (SELECT rid, y, c, ln(k / n) - 0.5 * (" + " + ".join(f"ln(2 * pi() * v{j}) + pow({x} - m{j}, 2) / v{j}" for j, x in enumerate(X)) + ") AS s FROM li, q, t), b AS (SELECT y, c, row_number() OVER (PARTITION BY rid ORDER BY s DESC, c) AS r FROM s) SELECT round(avg((y = c)::INTEGER), 6) AS score FROM b WHERE r = 1")(
     lambda spark, d: one(metrics.accuracy(bayes.GaussianNB().fit(df := lines(spark, d).drop("prediction")).predict(df)))
 )
@@ -373,7 +332,6 @@ register("estimator_accuracy", CL + "q AS (SELECT y AS c, count(*)::DOUBLE AS k,
 @register("stream_mini_batch_k_means")
 def stream_mini_batch_k_means(spark, d):
     """Centres learnt from the embeddings table read as a stream, one partial_fit a micro-batch."""
-    import tempfile
     import uuid
 
     from quern.streaming.partial import learn
@@ -382,6 +340,5 @@ def stream_mini_batch_k_means(spark, d):
     schema = table(spark, d, "embeddings").schema
     stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "embeddings*.parquet").parquet(d)
     rows = stream.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("features"))
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quern-")
-    learn(rows, model, f"{base}/stream-{uuid.uuid4().hex}").trigger(availableNow=True).start().awaitTermination()
+    learn(rows, model, f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}").trigger(availableNow=True).start().awaitTermination()
     return spark.createDataFrame([(k, [float(v) for v in c]) for k, c in enumerate(model.cluster_centers)], "cluster int, centre array<double>")

@@ -171,3 +171,55 @@ def test_native_bayes_variants(spark):
     df = frame(spark, x, label=np.array([1, 1, 1, -1, -1, -1]))
     for make in (bayes.MultinomialNB, lambda: bayes.BernoulliNB(1.0, 1.0), lambda: bayes.BernoulliNB(1.0, 1.0, compat=True), bayes.ComplementNB, bayes.NegationNB):
         assert make().fit(df).score(df) >= 5 / 6
+
+
+# ---- trees: nodes grown alone, by levels and by sorting agree
+
+
+def _shape(nodes, at=0):
+    n = nodes[at]
+    return (round(n.n_samples, 6), tuple(np.round(n.value, 9))) if n.left < 0 else (n.feature_id, round(n.threshold, 9), _shape(nodes, n.left), _shape(nodes, n.right))
+
+
+@pytest.mark.parametrize("make", [lambda: tree.DecisionTreeClassifier(), lambda: tree.DecisionTreeRegressor(min_samples_leaf=3), lambda: tree.DecisionTreeClassifier("entropy", max_depth=4)])
+def test_trees_do_not_hang_on_where_nodes_are_grown(spark, monkeypatch, make):
+    r = np.random.default_rng(5)
+    x = np.round(r.normal(0, 1, (400, 3)), 1)
+    data = [(i, x[i].tolist(), int(x[i, 0] * x[i, 1] > 0) + int(x[i, 2] > 1), float(x[i, 0] + np.round(r.normal(), 1))) for i in range(400)]
+    df = spark.createDataFrame(data, "id long, features array<double>, label int, target double")
+    want = _shape(make().fit(df).trees[0])
+    for cells, few in ((60, 20), (2000, 1), (600, 100)):  # most levels by jobs in chunks of nodes; by bins; by both
+        monkeypatch.setattr(tree, "CELLS", cells)
+        monkeypatch.setattr(tree, "FEW", few)
+        assert _shape(make().fit(df).trees[0]) == want
+
+
+def test_forest_over_waiting_nodes_predicts(spark):
+    r = np.random.default_rng(6)
+    x = r.normal(0, 1, (500, 4))
+    df = spark.createDataFrame([(i, x[i].tolist(), int(x[i, 0] > 0) + int(x[i, 1] > 0)) for i in range(500)], "id long, features array<double>, label int")
+    for model in (ensemble.RandomForestClassifier(8), ensemble.ExtraTreesClassifier(8), ensemble.VRTreesClassifier(8)):
+        assert model.fit(df).score(df) > 0.9
+
+
+# ---- groups without a name, and places that later steps agree on
+
+
+def test_rows_without_a_group_are_a_group(spark):
+    from quern.operators import selection
+
+    df = spark.createDataFrame([(i, [None, "a", "b", "c"][i % 4]) for i in range(40)], "id long, group_id string")
+    found = selection.GroupKFold(3).folds(df).collect()
+    assert len(found) == 40 and len({r.fold for r in found if r.group_id is None}) == 1
+    roles = selection.GroupShuffleSplit(2, 0.25).roles(df).collect()
+    assert len(roles) == 80 and len({(r.split, r.role) for r in roles if r.id % 4 == 0}) == 2
+
+
+def test_positions_lose_no_row(spark):
+    from pyspark.sql import functions as F
+
+    from quern.operators import selection
+
+    df = spark.range(20_000).withColumn("g", F.when(F.col("id") % 3 > 0, F.col("id") % 3)).repartition(7)
+    found = selection.positions(df, ["g"], [F.col("id")]).groupBy("g").agg(F.count("*").alias("n"), F.countDistinct("position").alias("d"), F.max("position").alias("m"), F.max("position_of").alias("of")).collect()
+    assert all(r.n == r.d == r.m + 1 == r["of"] for r in found) and sum(r.n for r in found) == 20_000
