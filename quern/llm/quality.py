@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import arrow_map, raw_texts, table
+from quern.llm.common import arrow_map, raw_texts, saved, table
 
 THRESHOLD = 0.3
 
@@ -57,15 +57,21 @@ class Judge:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, self.slope * self.difference(text) + self.offset))))
 
 
-def _slices(sample: list[bytes], size: int, part: int = 700) -> bytes:
+def slices(text: bytes, seed: int, part: int = 700, most: int = 16) -> list[bytes]:
+    """Slices of a text, from places that its document's id picks."""
+    rng = random.Random(seed)
+    places = [rng.randrange(max(1, len(text) - part + 1)) for _ in range(most)]
+    return [text[at : at + part] for at in places]
+
+
+def _dictionary(sample: list[list[bytes]], size: int) -> bytes:
     """A dictionary of `size` bytes at most: one slice of each text in turn, from all over the texts."""
-    rng, out, left = random.Random(0), [], size
-    for _ in range(16):
-        for text in sample:
+    out, left = [], size
+    for turn in range(max(map(len, sample), default=0)):
+        for own in sample:
             if left <= 0:
                 return b"".join(out)[-size:]
-            at = rng.randrange(max(1, len(text) - part + 1))
-            out.append(text[at : at + part])
+            out.append(own[turn])
             left -= len(out[-1])
     return b"".join(out)[-size:]
 
@@ -101,21 +107,31 @@ def fit(df: DataFrame, labels: DataFrame, mod: int = 5, sample: int = 6000, size
     chosen = each.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     picked = spark.createDataFrame([tuple(r) for r in chosen.collect()], "doc_id long, q double")
     texts = df.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("q").alias("q"))
-    learn: dict[tuple[int, int], list[bytes]] = {(p, q): [] for p in (0, 1) for q in (0, 1)}
-    for r in texts.orderBy(F.xxhash64("doc_id"), "doc_id").toLocalIterator():
-        if r.text:
-            part = int(mixed(r.doc_id) % 3 != 0)
-            learn[part, int(r.q >= 0.5)].append(r.text.encode())
+    texts = saved(texts.filter(F.length("text") > 0).select("doc_id", "text", (F.col("q") >= 0.5).cast("int").alias("q")), spark, "quality-texts")
+
+    # Of each text the driver gets a few slices, or one difference, however long it is.
+    def cut(part: dict) -> dict:
+        ids = part["doc_id"].to_pylist()
+        return {"doc_id": ids, "q": part["q"], "part": [int(mixed(i) % 3 != 0) for i in ids], "slices": [slices(t, i) for t, i in zip(raw_texts(part["text"]), ids, strict=True)]}
+
+    found = arrow_map(texts, cut, "doc_id long,q int,part int,slices array<binary>").orderBy(F.xxhash64("doc_id"), "doc_id").toLocalIterator()
+    learn: dict[tuple[int, int], list[list[bytes]]] = {(p, q): [] for p in (0, 1) for q in (0, 1)}
+    for r in found:
+        learn[r["part"], r["q"]].append(r["slices"])
     good, bad = (sum(len(learn[p, q]) for p in (0, 1)) for q in (1, 0))
     if not good or not bad:
         return good / (good + bad) if good + bad else 0.5
-    for q in (0, 1):  # few labels: the same texts serve both ends
-        for p in (0, 1):
-            learn[p, q] = learn[p, q] or learn[1 - p, q]
-    judge = Judge(_slices(learn[0, 1], size), _slices(learn[0, 0], size), level, piece)
-    x = [judge.difference(t) for q in (0, 1) for t in learn[1, q]]
-    y = [q for q in (0, 1) for _ in learn[1, q]]
-    judge.slope, judge.offset = logistic(x, y)
+    # Few labels: the same texts serve both ends.
+    both = {q for q in (0, 1) if not learn[0, q] or not learn[1, q]}
+    judge = Judge(*(_dictionary(learn[0, q] or learn[1, q], size) for q in (1, 0)), level, piece)
+    shipped = spark.sparkContext.broadcast(judge)
+
+    def differ(part: dict) -> dict:
+        own = shipped.value
+        return {"doc_id": part["doc_id"], "q": part["q"], "x": [own.difference(t) for t in raw_texts(part["text"])], "part": [int(mixed(i) % 3 != 0) for i in part["doc_id"].to_pylist()]}
+
+    rows = arrow_map(texts, differ, "doc_id long,q int,x double,part int").filter((F.col("part") == 1) | F.col("q").isin(list(both))).orderBy("q", F.xxhash64("doc_id"), "doc_id").collect()
+    judge.slope, judge.offset = logistic([r["x"] for r in rows], [r["q"] for r in rows])
     return judge
 
 
