@@ -6,6 +6,8 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pytest
+
 ROOT = Path(__file__).resolve().parent.parent
 
 
@@ -16,11 +18,13 @@ def test_every_query_has_a_name_and_sql_belongs_to_queries():
     assert len(queries) > 150 and set(entry.oracle_sql()) <= set(queries)
 
 
-def test_entry_works_without_the_subpackage(tmp_path):
-    for name in ("quern", "__spark_entry__.py"):
+@pytest.mark.parametrize("pipeline", [False, True])
+def test_entry_works_without_the_subpackage(tmp_path, pipeline):
+    """Whether the pipeline's file has gone with the subpackage or not."""
+    for name in ("quern", "__spark_entry__.py", *["corpus_pipeline.py"] * (pipeline and (ROOT / "corpus_pipeline.py").exists())):
         (shutil.copytree if (ROOT / name).is_dir() else shutil.copy)(ROOT / name, tmp_path / name)
     shutil.rmtree(tmp_path / "quern" / "llm", ignore_errors=True)
-    code = "import __spark_entry__ as e; q = e.queries(); assert 'standard_scaler' in q and not any(k.startswith('op') for k in q); print(len(q))"
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'standard_scaler' in q and 'pipeline' not in q and not any(k.startswith('op') for k in q); print(len(q))"
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=False)
     assert done.returncode == 0, done.stderr
 
