@@ -7,8 +7,8 @@ sentences is hashed, and hashes are joined globally; the first run in (doc_id, p
 other run are removed, where sentences so covered stand together with at least `words` words: shorter repeats are phrases.
 
 Every word has a hash, and a run's hash is a polynomial of its words' hashes, of 96 bits; a document is known by its id and 36
-bits of a hash of its text. Rows are dealt by hash once and ranked; hashes of many runs (told from one row in `SHARE`) are
-broadcast and joined apart, as no more than `HEAVY` of them can be that frequent. Words are compared as they stand; white
+bits of a hash of its text. Rows are dealt by hash once and ranked; hashes of many runs (told from one row in `SHARE`; about `HEAVY` at most can be
+that frequent) have their first places broadcast, and their rows are dealt anywhere. Words are compared as they stand; white
 space between them is not. Null and empty texts have no sentences; very long texts are cut whole. Repeated rows (one doc_id, one
 text) are one document: none is a copy of the other. A null doc_id comes before all others. An empty table gives no rows.
 Columns but doc_id and text, whatever their names, are left out.
@@ -157,15 +157,16 @@ def repeated(df: DataFrame, spark: SparkSession, several: int = 3) -> DataFrame:
     # Which hashes go apart changes no result, so a sample may tell; a frequent one is bound to be seen.
     limit = max(1000, found.count() // HEAVY) / SHARE
     sample = found.filter(F.pmod(F.xxhash64("doc_id", "spot"), F.lit(SHARE)) == 0)
-    heavy = saved(sample.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > limit).select(key), spark, "sentence-heavy")
-    apart = found.join(F.broadcast(heavy), key)
-    kept = apart.groupBy(key).agg(F.min(F.struct("doc_id", "spot")).alias("kept"))
-    late = apart.join(F.broadcast(kept), key).filter(~(F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("spot") == F.col("kept.spot"))))
-    place = F.rank().over(W.partitionBy(key).orderBy(F.col("doc_id").asc_nulls_first(), "spot"))
-    rest = found.join(F.broadcast(heavy), key, "left_anti").withColumn("place", place).filter("place > 1")
-    both = late.select("doc_id", "spot").unionByName(rest.select("doc_id", "spot"))
-    first = F.col("spot").bitwiseAND((1 << FIRST) - 1)
-    return both.select("doc_id", (F.col("spot") - first).alias("row"), first.cast("int").alias("first"))
+    heavy = [r["hash"] for r in sample.groupBy("hash").agg(F.count("*").alias("n")).filter(F.col("n") > limit).collect()]
+    kept = found.filter(F.col("hash").isin(heavy)).groupBy(key).agg(F.min(F.struct("doc_id", "spot")).alias("kept"))
+    # Every row goes on: those of a frequent hash know its first place and are dealt anywhere, others are ranked within their hash.
+    known = found.join(F.broadcast(kept), key, "left")
+    apart = F.when(F.col("kept").isNull(), 0).otherwise(F.xxhash64("doc_id", "spot"))
+    place = F.rank().over(W.partitionBy(*key, "apart").orderBy(F.col("doc_id").asc_nulls_first(), "spot"))
+    first = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("spot") == F.col("kept.spot"))
+    late = known.withColumn("apart", apart).withColumn("place", place).filter(F.when(F.col("kept").isNull(), F.col("place") > 1).otherwise(~first))
+    sentence = F.col("spot").bitwiseAND((1 << FIRST) - 1)
+    return late.select("doc_id", (F.col("spot") - sentence).alias("row"), sentence.cast("int").alias("first"))
 
 
 def without_repeats(text: str, covers: list[int], several: int, words: int) -> tuple[str, int, int]:
