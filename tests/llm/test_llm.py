@@ -63,7 +63,7 @@ def test_probabilities_sum_to_one():
     first = [np.array([s], np.int32) for s in range(3, 4 + len(model.of) - 4)]
     # All ways to go on after the begin: an end, or one symbol (whose own end is not part of the sum).
     h = model._hidden(np.array([[0] * 16, [1] + [0] * 15], np.int32))[0, 0]
-    logs = model._picked(np.repeat(h[None], len(first) + 1, 0), np.array([2, *[f[0] for f in first]]))
+    logs = model._picked(np.repeat(np.append(h, np.float32(1))[None], len(first) + 1, 0), np.array([2, *[f[0] for f in first]]))
     assert abs(np.exp(logs).sum() - 1) < 1e-4
     assert abs(np.exp(model.rare[model.symbol == 3]).sum() - 1) < 1e-9
 
