@@ -33,6 +33,18 @@ def test_snn_by_links_is_the_scan(rows):
         assert model.labels == dict(zip(ids.tolist(), want.tolist(), strict=True))
 
 
+TRANSFORMERS = {
+    "classical_mds": lambda n: manifold.ClassicalMDS(2, limit=n),
+}
+
+
+@pytest.mark.parametrize("name", TRANSFORMERS)
+def test_transformers_beyond_limit(rows, name):
+    make = TRANSFORMERS[name]
+    want, found = (values(make(n).fit_transform(rows)) for n in (1000, 50))
+    assert np.abs(want - found).max() <= 1e-5 * max(1.0, np.abs(want).max())
+
+
 def test_products_are_enough():
     rng = np.random.default_rng(0)
     a = rng.normal(size=(200, 200))
