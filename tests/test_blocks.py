@@ -45,6 +45,25 @@ def test_transformers_beyond_limit(rows, name):
     assert np.abs(want - found).max() <= 1e-5 * max(1.0, np.abs(want).max())
 
 
+PAIRS = {
+    "cosine_similarity": (pairwise.cosine_similarity, lambda a, b: (a * b + 1.0) / (np.sqrt(a * a + 1.0) * np.sqrt(b * b + 1.0))),
+}
+
+
+@pytest.mark.parametrize("name", PAIRS)
+def test_pairs_are_made_in_blocks(spark, name):
+    of, want = PAIRS[name]
+    x = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(300)] + [(300, None), (301, [None, 1.0]), (302, [3.0])], "id int, features array<double>")
+    assert "MapInArrow" in of(x)._jdf.queryExecution().executedPlan().toString()  # no row of two arrays for every pair
+    out = of(x).collect()
+    assert len(out) == 303 * 303 and {(r.i, r.j) for r in out} == {(i, j) for i in range(303) for j in range(303)}
+    for r in out:
+        if max(r.i, r.j) < 300:
+            assert r[2] == want(r.i, r.j)
+        elif r.i != r.j:
+            assert r[2] is None
+
+
 def test_products_are_enough():
     rng = np.random.default_rng(0)
     a = rng.normal(size=(200, 200))
