@@ -22,6 +22,17 @@ def values(df, column="features"):
     return collected(df, [column], 0)[0]
 
 
+CLUSTERERS = {
+    "hdbscan": lambda n: clustering.HDBSCAN(5, limit=n),
+}
+
+
+@pytest.mark.parametrize("name", CLUSTERERS)
+def test_clusters_beyond_limit(rows, name):
+    make = CLUSTERERS[name]
+    assert make(1000).fit(rows).labels == make(50).fit(rows).labels
+
+
 def test_snn_by_links_is_the_scan(rows):
     ids, x = collected(rows, ["id", "features"], 0)
     d = ((x[:, None] - x) ** 2).sum(2)
