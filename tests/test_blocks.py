@@ -46,6 +46,7 @@ def test_snn_by_links_is_the_scan(rows):
 
 TRANSFORMERS = {
     "classical_mds": lambda n: manifold.ClassicalMDS(2, limit=n),
+    "hessian_eigenmaps": lambda n: manifold.HessianEigenmaps(60, 2, limit=n),
 }
 
 
