@@ -57,6 +57,13 @@ def test_transformers_beyond_limit(rows, name):
     assert np.abs(want - found).max() <= 1e-5 * max(1.0, np.abs(want).max())
 
 
+def test_kernel_values_of_more_than_five_thousand_rows(spark):
+    df = spark.range(5003).select("id", F.array((F.col("id") % 7).cast("double")).alias("features"))
+    out = preprocessing.KernelCalculator(kernel="linear").fit_transform(df)
+    got = out.filter("id = 6").select(F.size("features"), F.aggregate("features", F.lit(0.0), lambda a, v: a + v)).first()
+    assert got[0] == 5003 and got[1] == 6.0 * sum(i % 7 for i in range(5003))
+
+
 PAIRS = {
     "cosine_similarity": (pairwise.cosine_similarity, lambda a, b: (a * b + 1.0) / (np.sqrt(a * a + 1.0) * np.sqrt(b * b + 1.0))),
 }
