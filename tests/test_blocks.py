@@ -57,6 +57,19 @@ def test_transformers_beyond_limit(rows, name):
     assert np.abs(want - found).max() <= 1e-5 * max(1.0, np.abs(want).max())
 
 
+KERNELS = {
+    "kernel_pca": (lambda n: kernel.KernelPCA(2, limit=n), "transform_mat"),
+}
+
+
+@pytest.mark.parametrize("name", KERNELS)
+def test_kernels_beyond_limit(rows, name):
+    make, learnt = KERNELS[name]
+    k = preprocessing.KernelCalculator(gamma=0.05).fit_transform(rows)
+    want, found = (getattr(make(n).fit(k), learnt) for n in (1000, 50))
+    assert np.abs(want - found).max() <= 1e-7 * np.abs(want).max()
+
+
 def test_kernel_values_of_more_than_five_thousand_rows(spark):
     df = spark.range(5003).select("id", F.array((F.col("id") % 7).cast("double")).alias("features"))
     out = preprocessing.KernelCalculator(kernel="linear").fit_transform(df)
