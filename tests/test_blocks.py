@@ -79,6 +79,7 @@ def test_kernel_values_of_more_than_five_thousand_rows(spark):
 
 PAIRS = {
     "cosine_similarity": (pairwise.cosine_similarity, lambda a, b: (a * b + 1.0) / (np.sqrt(a * a + 1.0) * np.sqrt(b * b + 1.0))),
+    "cosine_distance": (pairwise.cosine_distance, lambda a, b: 0.0 if a == b else min(2.0, max(0.0, 1 - (a * b + 1.0) / (np.sqrt(a * a + 1.0) * np.sqrt(b * b + 1.0))))),
 }
 
 
