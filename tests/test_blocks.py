@@ -58,6 +58,7 @@ def test_transformers_beyond_limit(rows, name):
 
 
 KERNELS = {
+    "kernel_ridge": (lambda n: kernel.KernelRidge(0.5, limit=n), "weight_vec"),
     "kernel_pca": (lambda n: kernel.KernelPCA(2, limit=n), "transform_mat"),
 }
 
