@@ -60,6 +60,7 @@ def test_transformers_beyond_limit(rows, name):
 KERNELS = {
     "kernel_ridge": (lambda n: kernel.KernelRidge(0.5, limit=n), "weight_vec"),
     "kernel_ridge_classifier": (lambda n: kernel.KernelRidgeClassifier(0.5, limit=n), "weight_vec"),
+    "kernel_svc": (lambda n: kernel.KernelSVC(0.1, 400, limit=n), "weight_vec"),
     "kernel_pca": (lambda n: kernel.KernelPCA(2, limit=n), "transform_mat"),
 }
 
