@@ -46,6 +46,8 @@ def test_snn_by_links_is_the_scan(rows):
 
 TRANSFORMERS = {
     "classical_mds": lambda n: manifold.ClassicalMDS(2, limit=n),
+    "laplacian_eigenmaps": lambda n: manifold.LaplacianEigenmaps(2, n_neighbors=60, limit=n),
+    "laplacian_eigenmaps_heat": lambda n: manifold.LaplacianEigenmaps(2, 0.1, n_neighbors=60, limit=n),
     "hessian_eigenmaps": lambda n: manifold.HessianEigenmaps(60, 2, limit=n),
 }
 
