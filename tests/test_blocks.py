@@ -49,6 +49,7 @@ TRANSFORMERS = {
     "laplacian_eigenmaps": lambda n: manifold.LaplacianEigenmaps(2, n_neighbors=60, limit=n),
     "laplacian_eigenmaps_heat": lambda n: manifold.LaplacianEigenmaps(2, 0.1, n_neighbors=60, limit=n),
     "hessian_eigenmaps": lambda n: manifold.HessianEigenmaps(60, 2, limit=n),
+    "local_fisher_discriminant_analysis": lambda n: metric_learning.LocalFisherDiscriminantAnalysis(2, limit=n),
 }
 
 
