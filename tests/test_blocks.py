@@ -48,6 +48,7 @@ TRANSFORMERS = {
     "classical_mds": lambda n: manifold.ClassicalMDS(2, limit=n),
     "laplacian_eigenmaps": lambda n: manifold.LaplacianEigenmaps(2, n_neighbors=60, limit=n),
     "laplacian_eigenmaps_heat": lambda n: manifold.LaplacianEigenmaps(2, 0.1, n_neighbors=60, limit=n),
+    "locally_linear_embedding": lambda n: manifold.LocallyLinearEmbedding(2, 60, limit=n),
     "local_tangent_space_alignment": lambda n: manifold.LocalTangentSpaceAlignment(2, 60, limit=n),
     "hessian_eigenmaps": lambda n: manifold.HessianEigenmaps(60, 2, limit=n),
     "local_fisher_discriminant_analysis": lambda n: metric_learning.LocalFisherDiscriminantAnalysis(2, limit=n),
