@@ -46,6 +46,7 @@ def test_snn_by_links_is_the_scan(rows):
 
 TRANSFORMERS = {
     "classical_mds": lambda n: manifold.ClassicalMDS(2, limit=n),
+    "mds": lambda n: manifold.MDS(2, max_iter=6, limit=n),
     "laplacian_eigenmaps": lambda n: manifold.LaplacianEigenmaps(2, n_neighbors=60, limit=n),
     "laplacian_eigenmaps_heat": lambda n: manifold.LaplacianEigenmaps(2, 0.1, n_neighbors=60, limit=n),
     "locally_linear_embedding": lambda n: manifold.LocallyLinearEmbedding(2, 60, limit=n),
