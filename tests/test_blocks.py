@@ -53,6 +53,7 @@ TRANSFORMERS = {
     "local_tangent_space_alignment": lambda n: manifold.LocalTangentSpaceAlignment(2, 60, limit=n),
     "hessian_eigenmaps": lambda n: manifold.HessianEigenmaps(60, 2, limit=n),
     "local_fisher_discriminant_analysis": lambda n: metric_learning.LocalFisherDiscriminantAnalysis(2, limit=n),
+    "neighbourhood_component_analysis": lambda n: metric_learning.NeighbourhoodComponentAnalysis(2, max_iter=5, limit=n),
     "mlkr": lambda n: metric_learning.MLKR(2, max_iter=5, limit=n),
 }
 
