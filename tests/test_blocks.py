@@ -24,6 +24,7 @@ def values(df, column="features"):
 
 CLUSTERERS = {
     "hdbscan": lambda n: clustering.HDBSCAN(5, limit=n),
+    "power_iteration": lambda n: clustering.PowerIteration(3, gamma=0.2, max_iter=30, limit=n),
 }
 
 
