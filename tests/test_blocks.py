@@ -94,6 +94,7 @@ PAIRS = {
     "cosine_distance": (pairwise.cosine_distance, lambda a, b: 0.0 if a == b else min(2.0, max(0.0, 1 - (a * b + 1.0) / (np.sqrt(a * a + 1.0) * np.sqrt(b * b + 1.0))))),
     "euclidean_distance": (pairwise.euclidean_distance, lambda a, b: abs(a - b)),
     "manhattan_distance": (pairwise.manhattan_distance, lambda a, b: abs(a - b)),
+    "linear_kernel": (pairwise.linear_kernel, lambda a, b: a * b + 1.0),
 }
 
 
