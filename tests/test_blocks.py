@@ -23,6 +23,7 @@ def values(df, column="features"):
 
 
 CLUSTERERS = {
+    "single_linkage": lambda n: clustering.SingleLinkage(3, limit=n),
     "hdbscan": lambda n: clustering.HDBSCAN(5, limit=n),
     "power_iteration": lambda n: clustering.PowerIteration(3, gamma=0.2, max_iter=30, limit=n),
 }
