@@ -10,9 +10,8 @@ Texts are cut into blocks of `STEP` ids. Each block is scored in one context win
 overlap and each id is scored exactly once; all windows of a batch go through one masked attention.
 
 Corpus statistics cover all training documents: word counts, totals, id counts and the words' base probabilities. The
-model learns from every training document, whole, whatever the corpus' size: of each document every `share`-th window, from an
-offset by hash, takes part in the gradient, so that gradient work grows with the corpus (a small corpus has denser windows, and
-goes through them again until `least` windows have been learnt from). Documents fall into `ROUNDS` rounds by hash. In a round,
+model learns from every window of every training document, whatever the corpus' size, so that gradient work grows with the corpus
+(a small corpus is gone through again until `least` windows have been learnt from). Documents fall into `ROUNDS` rounds by hash. In a round,
 trainers that each stream a part of its documents step on from the shared weights, and their weights are averaged, by
 windows seen; there are as many trainers as the round has `PART` windows.
 
@@ -486,13 +485,12 @@ def spelled(df: DataFrame, shipped, ranks, rounds: int) -> DataFrame:
     return rows.mapInArrow(run, "row long, doc_id long, held_out boolean, round int, n_tokens long, n_known long, base double, rare double, symbols binary, words array<binary>, times array<long>")
 
 
-def learnt(rows: DataFrame, model: Model, windows: int, share: int, least: int, rounds: int, batch: int) -> Model:
-    """The model with weights trained on rows (row, round, symbols) of about `windows` windows."""
+def learnt(rows: DataFrame, model: Model, windows: int, least: int, rounds: int, batch: int) -> Model:
+    """The model with weights trained on all windows of rows (row, round, symbols), of about `windows`; learnt_from tells how many they were."""
     spark = rows.sparkSession
-    every = max(1, min(share, windows // least))
     again = max(1, -(-least // max(1, windows)))
-    trainers = max(1, windows // (every * rounds * PART))
-    pieces = 16
+    trainers = max(1, windows // (rounds * PART))
+    pieces, model.learnt_from = 16, 0
     schema = pa.schema([("k", pa.int32()), ("n", pa.int64()), ("weights", pa.binary())])
 
     def added(of: pa.Table) -> pa.Table:
@@ -516,14 +514,10 @@ def learnt(rows: DataFrame, model: Model, windows: int, share: int, least: int,
             for arrow in batches:
                 for low in range(0, arrow.num_rows, 64):
                     part = arrow.slice(low, 64)
-                    symbols = [np.frombuffer(b, np.uint16).astype(np.int32) for b in part.column(1).to_pylist()]
-                    x, y, of = own.windows(symbols)
-                    place = np.arange(len(of)) - np.searchsorted(of, of)
-                    pick = (place + (part.column(0).to_numpy() % every)[of]) % every == 0
-                    if pick.any():
-                        held.append((x[pick], y[pick]))
-                        size += int(pick.sum())
-                        seen += int(pick.sum())
+                    symbols = [np.frombuffer(b, np.uint16).astype(np.int32) for b in part.column(0).to_pylist()]
+                    x, y, _ = own.windows(symbols)
+                    held.append((x, y))
+                    size, seen = size + len(x), seen + len(x)
                     if size >= PART:
                         learn()
                         size = 0
@@ -533,9 +527,10 @@ def learnt(rows: DataFrame, model: Model, windows: int, share: int, least: int,
                 for k, w in enumerate(np.array_split(own.flat(), pieces)):
                     yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([seen]), pa.array([w.tobytes()], pa.binary())], schema=schema)
 
-        mine = rows.filter(F.col("round") == turn).select(F.xxhash64("row").bitwiseAND(0xFFFF).alias("row"), "symbols").coalesce(trainers)
+        mine = rows.filter(F.col("round") == turn).select("symbols").coalesce(trainers)
         found = mine.mapInArrow(run, "k int, n long, weights binary").groupBy("k").applyInArrow(added, "k int, n long, weights binary").collect()
         if found:
+            model.learnt_from += found[0]["n"]
             model.put(np.concatenate([np.frombuffer(r["weights"], np.float32) for r in sorted(found, key=lambda r: r["k"])]))
         shipped.destroy()
     return model.ready()
@@ -555,7 +550,7 @@ def scored(rows: DataFrame, shipped) -> DataFrame:
     return rows.select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "rare", "symbols").mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
 
 
-def score(df: DataFrame, spark: SparkSession, heads: int = 2048, share: int = 8, least: int = 1 << 17, rounds: int = ROUNDS, batch: int = BATCH, frequent: int = 150_000, vocabulary: str | None = None) -> DataFrame:
+def score(df: DataFrame, spark: SparkSession, heads: int = 2048, least: int = 1 << 17, rounds: int = ROUNDS, batch: int = BATCH, frequent: int = 150_000, vocabulary: str | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row of df (doc_id, text)."""
     if vocabulary is None:
         import public_tokenizers
@@ -571,7 +566,7 @@ def score(df: DataFrame, spark: SparkSession, heads: int = 2048, share: int = 8,
     model = Model(ids, docs, heads)
     rows = saved(spelled(df, spark.sparkContext.broadcast((model, corpus)), ranks, rounds), spark, "lm-symbols")
     if docs:
-        model = learnt(rows, model, int(ids.sum()) // STEP + docs, share, least, rounds, batch)
+        model = learnt(rows, model, int(ids.sum()) // STEP + docs, least, rounds, batch)
     logs = scored(rows, spark.sparkContext.broadcast(model.ready()))
     others = counts.filter(~((F.length("word") <= LONGEST) & (F.col("n") >= corpus.least))).withColumnRenamed("n", "c")
     log = F.log10((F.coalesce("c", F.lit(0)) + 0.1) / float(corpus.total + 0.1 * (corpus.distinct + 1)))

@@ -121,6 +121,21 @@ def test_scoring_beats_the_base_where_order_tells(spark):
     assert held and sum(r.score for r in held) > 0.7 * sum(r.base_score for r in held)
 
 
+def test_every_window_is_learnt_from(spark):
+    docs = [(i, prose(30 + 7 * (i % 40), 5000 + i), "a") for i in range(120)]
+    df = documents(spark, docs)
+    with open(__import__("public_tokenizers").path(lm_scoring.VOCABULARY), "rb") as f:
+        ranks = spark.sparkContext.broadcast(f.read())
+    learn = df.filter(~lm_scoring.held_out())
+    counts = lm_scoring.word_counts(learn)
+    ids = lm_scoring.id_counts(counts, ranks, lm_scoring.speller(ranks.value).size)
+    model = lm_scoring.Model(ids, learn.count(), 64)
+    found = lm_scoring.spelled(df, spark.sparkContext.broadcast((model, lm_scoring.Corpus(counts, learn.count(), 50))), ranks, 3).persist()
+    want = sum(-(-(len(r.symbols) // 2 + 1) // lm_scoring.STEP) for r in rows(found) if r["round"] >= 0)
+    # Far more windows than the least number: before, every eighth of them was looked at.
+    assert lm_scoring.learnt(found, model, want, least=want // 20, rounds=3, batch=32).learnt_from == want
+
+
 def test_empty_table_has_no_scores(spark):
     empty = documents(spark, [])
     assert rows(lm_scoring.score(empty, spark)) == []
