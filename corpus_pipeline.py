@@ -14,8 +14,8 @@ def good_only(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every set of near copies, the one of the smallest id: five-word shingles, Jaccard similarity of 0.8."""
-    return simhash.one_of_each(docs, spark, shingle=5, similarity=0.8)
+    """One document of every set of near copies, the one of the smallest id: five-word shingles, SimHashes within 3 bits or Jaccard similarity of 0.8."""
+    return simhash.one_of_each(docs, spark, shingle=5, similarity=0.8, near=3)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,8 @@ Texts become 64-bit SimHash fingerprints of their 3-word shingles, and equal fin
    column, so that only neighbours in it are paired, and the other columns discard among those.
 3. Survivors are verified bit by bit. What leaves a key is a star for each linked set, never all of its pairs.
 
-`one_of_each`, the pipeline's stage, has links of its own: exact Jaccard similarity of 5-word shingles (see `near_copies`).
+`one_of_each`, the pipeline's stage, finds its links in the same way, from fingerprints of 5-word shingles, and adds those that lie
+beyond the reach of SimHash: pairs by exact Jaccard similarity (see `near_copies`).
 
 Components of links are found by distributed label propagation. Null and empty texts have fingerprint zero, linked
 like any other; repeated rows are rows like any other; a null doc_id keeps its row and is never the smallest id.
@@ -48,7 +49,12 @@ def digests(text: bytes, shingle: int, seed: int = 42) -> bytes:
 
 def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
     """The SimHash of a text, signed: a bit is 1 if set in over half of the shingles' XXH64."""
-    rows = np.frombuffer(digests(text, shingle, seed), np.uint8).reshape(-1, 8)
+    return majority(digests(text, shingle, seed))
+
+
+def majority(found: bytes) -> int:
+    """The SimHash of hashes of 8 bytes each, signed; zero if there are none."""
+    rows = np.frombuffer(found, np.uint8).reshape(-1, 8)
     if not len(rows):
         return 0
     counts = np.zeros(64, np.int64)
@@ -182,7 +188,12 @@ def multipliers(n: int) -> np.ndarray:
 
 def shingles(text: bytes, shingle: int) -> np.ndarray:
     """The set of a text's shingles as sorted hashes; a text without words has one of its own."""
-    found = np.unique(np.frombuffer(digests(text, shingle), np.uint64))
+    return one_set(digests(text, shingle))
+
+
+def one_set(found: bytes) -> np.ndarray:
+    """Distinct hashes in order, of 8 bytes each; a zero if there are none."""
+    found = np.unique(np.frombuffer(found, np.uint64))
     return found if len(found) else np.zeros(1, np.uint64)
 
 
@@ -195,19 +206,29 @@ def least_hashes(found: np.ndarray, factors: np.ndarray) -> np.ndarray:
 
 
 def signatures(distinct: DataFrame, shingle: int, keys: int = 24, each_key: int = 5) -> DataFrame:
-    """node, keys and the low bytes of all least hashes, for every text of distinct (node, text)."""
+    """node, the SimHash, keys and the low bytes of all least hashes, for every text of distinct (node, text)."""
     factors = multipliers(keys * each_key)
     tags = [bytes([k]) for k in range(keys)]
 
     def each(part: dict) -> dict:
-        out, low = [], []
+        fps, out, low = [], [], []
         for text in raw_texts(part["text"]):
-            least = least_hashes(shingles(text, shingle), factors)
+            found = digests(text, shingle)
+            fps.append(majority(found))
+            least = least_hashes(one_set(found), factors)
             out.append([xxhash.xxh64_intdigest(t + x.tobytes()) - (1 << 63) for t, x in zip(tags, least.reshape(keys, each_key), strict=True)])
             low.append((least >> np.uint64(56)).astype(np.uint8).tobytes())
-        return {"node": part["node"], "keys": out, "low": low}
+        return {"node": part["node"], "fp": fps, "keys": out, "low": low}
+
+    return arrow_map(distinct, each, "node long,fp long,keys array<bigint>,low binary")
+
 
-    return arrow_map(distinct, each, "node long,keys array<bigint>,low binary")
+def near_nodes(marks: DataFrame, spark: SparkSession, near: int) -> DataFrame:
+    """Links (a, b) of nodes whose SimHashes are equal, or within `near` bits by way of the pivot tables; marks has node and fp."""
+    firsts = saved(marks.groupBy("fp").agg(F.min("node").alias("first")), spark, "copies-fingerprints")
+    same = marks.select("node", "fp").join(firsts, "fp").filter("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    stars = near_links(firsts.select("fp"), near).toDF("x", "y")
+    return stars.join(firsts.toDF("x", "a"), "x").join(firsts.toDF("y", "b"), "y").select("a", "b").unionByName(same)
 
 
 def jaccard(one: np.ndarray, two: np.ndarray, least: float) -> bool:
@@ -286,40 +307,42 @@ def apart(rows: DataFrame, similarity: float, most: int = 4096) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_copies(distinct: DataFrame, spark: SparkSession, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """node and root of every text of distinct (node, text) that has a near copy: sets linked by Jaccard similarity.
+def near_copies(distinct: DataFrame, spark: SparkSession, shingle: int = 5, similarity: float = 0.8, near: int = 3) -> DataFrame:
+    """node and root of every text of distinct (node, text) that has a near copy: sets linked by SimHash or by Jaccard similarity.
 
-    Each key hashes five least shingles, so that a pair at 0.8 shares one of 24 keys but for a chance of 1 in 10,000; SimHash
-    segments can't reach that far, as such a pair differs in about ten bits. Every text is held against the smallest of
-    each of its keys, exactly, and then against all others of its keys that are not linked with it yet.
+    SimHashes link at `near` or fewer differing bits; a pair of Jaccard similarity 0.8 differs in about ten, where segments can't
+    reach. So pairs of this similarity are added: each key hashes five least shingles, so that a pair at 0.8 shares one of 24
+    keys but for a chance of 1 in 10,000. Every text is held against the smallest of each of its keys, exactly, and then
+    against all others of its keys that are not linked with it yet.
     """
     marks = saved(signatures(distinct, shingle), spark, "copies-signatures")
+    close = saved(near_nodes(marks, spark, near), spark, "copies-simhash")
     dealt = marks.select("node", F.explode("keys").alias("key"))
     shared = dealt.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1").select("key", "first")
     shared = saved(dealt.join(shared, "key"), spark, "copies-keys")
     sets = distinct.join(shared.select("node").distinct(), "node", "left_semi")
     sets = saved(arrow_map(sets, lambda part: {"node": part["node"], "held": [shingles(t, shingle).tobytes() for t in raw_texts(part["text"])]}, "node long,held binary"), spark, "copies-sets")
     stars = shared.filter("node != first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    links = saved(alike(stars, sets, similarity), spark, "copies-links")
+    links = saved(alike(stars, sets, similarity).unionByName(close), spark, "copies-links")
     roots = components(links, spark, "copies")
     known = shared.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     several = known.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("key")
-    rest = known.join(several, "key", "left_semi").join(marks, "node").join(sets, "node")
+    rest = known.join(several, "key", "left_semi").join(marks.drop("fp"), "node").join(sets, "node")
     more = saved(apart(rest.select("key", "node", "root", "keys", "low", "held"), similarity), spark, "copies-more")
     found = components(links.unionByName(more), spark, "copies-all")
-    for done in (marks, shared, sets, links, more):
+    for done in (marks, close, shared, sets, links, more):
         forget(spark, done)
     return found
 
 
-def one_of_each(df: DataFrame, spark: SparkSession, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def one_of_each(df: DataFrame, spark: SparkSession, shingle: int = 5, similarity: float = 0.8, near: int = 3) -> DataFrame:
     """df with one row of every set of near copies, that of the smallest doc_id (null last); its columns stay.
 
     Rows are told apart by all of their columns, so that neither null nor repeated doc_ids join different texts.
     """
     node = F.xxhash64(F.coalesce("text", F.lit(""))).alias("node")
     row = F.xxhash64(*df.columns, *[F.col(c).isNull() for c in df.columns]).alias("__row")
-    roots = near_copies(df.select(node, "text").dropDuplicates(["node"]), spark, shingle, similarity)
+    roots = near_copies(df.select(node, "text").dropDuplicates(["node"]), spark, shingle, similarity, near)
     # No row or one for each: equal rows are one here, with their number.
     rows = df.select("doc_id", node, row).groupBy("doc_id", "node", "__row").agg(F.count("*").alias("__n"))
     rows = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -464,6 +464,16 @@ def test_copies_at_five_word_similarity_go(spark):
     assert {r.doc_id for r in rows(simhash.one_of_each(documents(spark, data), spark))} == want
 
 
+def test_the_pipelines_copies_go_by_simhash_too(spark):
+    # A repeated line decides both fingerprints, while their sets of shingles have little in common.
+    line = "alpha beta gamma delta epsilon zeta eta " * 300
+    data = [(4, line + prose(40, 3200), "a"), (2, line + prose(40, 3201), "a"), (9, prose(300, 3202), "a")]
+    one, two = (set(simhash.shingles(t.encode(), 5).tolist()) for _, t, _ in data[:2])
+    assert len(one & two) < 0.3 * len(one | two)
+    assert (simhash.fingerprint(data[0][1].encode(), 5) ^ simhash.fingerprint(data[1][1].encode(), 5)) % (1 << 64) in {0} | {1 << b for b in range(64)}
+    assert sorted(r.doc_id for r in rows(simhash.one_of_each(documents(spark, data), spark))) == [2, 9]
+
+
 def test_rows_without_an_id_are_texts_of_their_own(spark):
     data = [(None, prose(60, 3000 + i), "a") for i in range(8)] + [(None, prose(60, 3000), "b"), (4, prose(60, 3001), "a"), (7, prose(60, 3100), "a"), (7, prose(60, 3101), "a"), (7, prose(60, 3101), "a")]
     kept = rows(simhash.one_of_each(documents(spark, data), spark))
