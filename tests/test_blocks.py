@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.functions.blocks import krylov, solved
+from quern.functions.blocks import krylov, preconditioned, solved
 from quern.functions.numeric import collected, top_eigen
 from quern.operators import clustering, kernel, manifold, metric_learning, pairwise, preprocessing
 
@@ -83,6 +83,26 @@ def test_kernels_beyond_limit(rows, name):
     assert np.abs(want - found).max() <= 1e-7 * np.abs(want).max()
 
 
+def test_kernel_fda_beyond_limit(rows):
+    df = preprocessing.KernelCalculator(gamma=0.05).fit_transform(rows)
+    for make in (lambda n: kernel.KernelFDA(limit=n), lambda n: kernel.KernelFDA(1, 0.01, limit=n)):
+        want, found = (values(make(n).fit(df).transform(df)) for n in (1000, 50))
+        assert np.abs(want - found).max() <= 1e-5 * np.abs(want).max()
+    with pytest.raises(ValueError, match="2 directions"):
+        kernel.KernelFDA(3, limit=50).fit(df)
+
+
+def test_preconditioned_solves():
+    rng = np.random.default_rng(1)
+    q = np.linalg.qr(rng.normal(size=(120, 120)))[0]
+    a = (q * np.concatenate([10.0 ** rng.uniform(0, 4, 20), 10.0 ** rng.uniform(-7, -5, 60), np.zeros(40)])) @ q.T
+    b = rng.normal(size=(120, 3))
+    want = np.linalg.solve(a + 1e-6 * np.eye(120), b)
+    for rank in (1, 30, 120, 500):
+        got = preconditioned(lambda v: a @ v, b, 1e-6, rank)
+        assert np.abs(want - got).max() <= 1e-5 * np.abs(want).max()
+
+
 def test_kernel_values_of_more_than_five_thousand_rows(spark):
     df = spark.range(5003).select("id", F.array((F.col("id") % 7).cast("double")).alias("features"))
     out = preprocessing.KernelCalculator(kernel="linear").fit_transform(df)
