@@ -391,7 +391,7 @@ def tokenizer(file: str) -> Tokenizer:
     return _TOKENIZERS[key]
 
 
-def by_size(some: list[str], size: int = 1 << 19) -> Iterator[list[str]]:
+def by_size(some: list[str], size: int = 1 << 17) -> Iterator[list[str]]:
     """Lists of whole texts of about `size` characters, so that one step's words stay few."""
     held, n = [], 0
     for text in some:
@@ -405,19 +405,8 @@ def by_size(some: list[str], size: int = 1 << 19) -> Iterator[list[str]]:
 
 
 def forget_tables() -> None:
-    """Gives this process's tables and freed memory back, for stages that follow in the same workers."""
-    import ctypes
-    import gc
-
-    import pyarrow as pa
-
+    """Lets this process's tables go, for stages that follow in the same workers."""
     _TOKENIZERS.clear()
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):  # another C library
-        return
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -446,10 +435,10 @@ def encode(df: DataFrame, path: str | None = None, with_ids: bool = False, keep_
                 out["ids_sha256"].append(hashlib.sha256(ids.encode()).hexdigest())
                 out["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
                 if with_ids:
-                    out["ids"].append(list(map(int, ids.split())))
+                    out["ids"].append(np.array(ids.split(), np.int32))
         return {"doc_id": part["doc_id"]} | out
 
-    return arrow_map(df.select("doc_id", "text"), each, schema + (",ids array<int>" if with_ids else ""), after=None if keep_tables else forget_tables)
+    return arrow_map(df.select("doc_id", "text"), each, schema + (",ids array<int>" if with_ids else ""), rows=64, after=None if keep_tables else forget_tables)
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,14 +45,29 @@ def forget(spark: SparkSession, df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def give_back() -> None:
+    """Returns this process's freed memory to the machine."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def arrow_map(df: DataFrame, each: Callable[[dict[str, list]], dict[str, list]], schema: str, rows: int = 256, after: Callable[[], None] | None = None) -> DataFrame:
     """mapInArrow over slices of at most `rows` rows; `each` turns a dict of column lists into another.
 
-    Slices keep the Python objects of one step small however long the texts are. `after` runs at a partition's end.
+    Slices keep the Python objects of one step small however long the texts are. `after` runs at a partition's end; freed memory
+    is given back then, and first at its start, as workers live on from stage to stage.
     """
     kinds = to_arrow(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
@@ -60,6 +75,7 @@ def arrow_map(df: DataFrame, each: Callable[[dict[str, list]], dict[str, list]],
                 yield pa.RecordBatch.from_pydict(out, schema=kinds)
         if after:
             after()
+        give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -730,3 +730,26 @@ def test_pipeline_stages_agree_with_plain_steps(spark, tmp_path):
     words = lambda df: df.agg(F.sum(F.regexp_count("text", F.lit(r"\S+")))).first()[0]
     assert abs(words(out[3]) - words(out[2])) <= 3
     assert out[4].count() == out[3].count() and corpus_pipeline.run(spark, str(tmp_path)).count() == out[4].count()
+
+
+def test_workers_give_memory_back_before_a_partition():
+    """A partition starts without what an earlier stage of the same worker freed but kept, and ends so too."""
+    import pyarrow as pa
+
+    from quern.llm import common
+
+    class Rows:
+        sparkSession = None
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    given, before, held = [], common.give_back, common.to_arrow
+    try:
+        common.give_back, common.to_arrow = lambda: given.append(len(given)), lambda spark, schema: pa.schema([("a", pa.int64())])
+        run = common.arrow_map(Rows(), lambda part: {"a": part["a"].to_pylist()}, "a long", rows=2, after=lambda: given.append("after"))
+        out = run(iter([pa.RecordBatch.from_pydict({"a": [1, 2, 3]})]))
+        assert next(out).num_rows == 2 and given == [0]
+        assert [b.num_rows for b in out] == [1] and given == [0, "after", 2]
+    finally:
+        common.give_back, common.to_arrow = before, held
