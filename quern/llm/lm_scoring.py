@@ -44,7 +44,12 @@ STEP, WIDTH, KEY = 16, 24, 8
 #: Longest word that may be broadcast, in bytes.
 LONGEST = 1024
 #: Rounds of training, windows a trainer sees in a round, and windows of one step.
-ROUNDS, PART, BATCH = 8, 1 << 14, 256
+ROUNDS, PART, BATCH = 8, 1 << 15, 512
+#: Windows of a run, which are trained on together.
+RUN = 8
+#: Columns of the table that symbols are looked up in; values have a one beside them.
+_V, _Q, _K = slice(0, WIDTH + 1), slice(WIDTH + 1, WIDTH + 1 + KEY), slice(WIDTH + 1 + KEY, WIDTH + 1 + 2 * KEY)
+_ONE, _TWO = slice(_K.stop, _K.stop + WIDTH), slice(_K.stop + WIDTH, _K.stop + 2 * WIDTH)
 
 
 class Speller:
@@ -96,6 +101,7 @@ class Model:
         self.classes = math.ceil(n / self.per)
         self.of = np.zeros(4 + len(order), np.int32)
         self.of[2], self.of[4:], self.of[3] = 0, np.arange(1, n), self.classes * self.per
+        self.group = (np.arange((self.classes + 1) * self.per) // self.per).astype(np.uint16)
         rare = np.where(self.symbol == 3, counts + 0.5, 0.0)
         self.rare = np.log(np.maximum(rare, 1e-300) / rare.sum()).astype(np.float64)
         rng = np.random.default_rng(seed)
@@ -130,22 +136,47 @@ class Model:
         rows = flat.reshape(-1, STEP)
         return np.concatenate((rows[own - 1], rows[own]), axis=1), goal.reshape(-1, STEP)[own], np.repeat(np.arange(len(symbols)), blocks)
 
-    def attend(self, x: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Hidden states [n, STEP, WIDTH] of the second halves, and what the backward pass needs."""
+    def runs(self, symbols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The same windows in runs of `RUN` that follow one another: inputs [n, (RUN + 1) STEP] and targets [n, RUN STEP].
+
+        Blocks are looked up once a run, as a window's second half is the next one's first. Windows of padding have no targets.
+        """
+        sizes = np.array([len(s) for s in symbols], np.int64)
+        flat, goal, _, _ = _blocks(symbols, sizes)
+        n = max(1, -(-(len(flat) // STEP - 1) // RUN))
+        flat, goal = (np.concatenate((a, np.zeros((n * RUN + 1) * STEP - len(a), np.int32))).reshape(-1, STEP) for a in (flat, goal))
+        at = np.arange(n)[:, None] * RUN + np.arange(RUN + 1)
+        return flat[at].reshape(n, -1), goal[at[:, 1:]].reshape(n, -1)
+
+    def tables(self) -> tuple[np.ndarray, np.ndarray, float]:
+        """What a symbol is looked up for, side by side (value, one, query, key, last but none, last but one), weights of distances, and a bound on exponents."""
         p = self.p
-        q, k, v = p["q"][x[:, STEP:]], p["k"][x], p["v"][x]
-        s = q @ k.transpose(0, 2, 1)
-        s += np.where(self.seen, p["far"][self.gap], np.float32(-1e9))
-        s[np.broadcast_to((x == 0)[:, None, :], s.shape)] = -1e9
-        s -= s.max(axis=2, keepdims=True)
-        np.exp(s, out=s)
-        s /= s.sum(axis=2, keepdims=True)
-        h = s @ v
-        h += p["one"][x[:, STEP:]]
-        h += p["two"][x[:, STEP - 1 : -1]]
-        h += p["bias"]
-        np.tanh(h, out=h)
-        return h, s, q, k, v
+        most = float(np.sqrt((p["q"] ** 2).sum(1)).max() * np.sqrt((p["k"] ** 2).sum(1)).max() + np.abs(p["far"]).max())
+        table = np.hstack([p["v"], np.ones((len(p["v"]), 1), p["v"].dtype), p["q"], p["k"], p["one"] + p["bias"], p["two"]])
+        return table, p["far"], most
+
+    def attend(self, x: np.ndarray, table: np.ndarray, far: np.ndarray, most: float) -> tuple[np.ndarray, ...]:
+        """Hidden states [n, runs, STEP, WIDTH] of every block of x [n, (runs + 1) STEP] but the first, each in a window with the block before it,
+        and what the backward pass needs. Weights are not yet divided by their sums: values have a one beside them, which adds these up."""
+        tokens = table[x]
+        v, k = _halves(tokens[:, :, _V], 2), _halves(tokens[:, :, _K], 2)
+        q = _halves(tokens[:, STEP:, _Q], 1)
+        e = q @ k.transpose(0, 1, 3, 2)
+        first = x[:, STEP - 1 : -1 : STEP] == 0  # nothing stands before a text's first block
+        if most > 60:  # beyond that, exp overflows in single precision
+            e += np.where(self.seen, far[self.gap], far.dtype.type(-1e9))
+            e[first, :, :STEP] = -1e9
+            e -= e.max(axis=3, keepdims=True)
+            np.exp(e, out=e)
+        else:
+            np.exp(e, out=e)
+            e *= np.where(self.seen, np.exp(far)[self.gap], far.dtype.type(0))
+            e[first, :, :STEP] = 0
+        h = e @ v
+        total, mean = h[..., WIDTH:], h[..., :WIDTH] / h[..., WIDTH:]
+        h = mean + _halves(tokens[:, STEP:, _ONE], 1)
+        h += _halves(tokens[:, STEP - 1 : -1, _TWO], 1)
+        return np.tanh(h, out=h), e, q, k, v, mean, total
 
     def ready(self) -> Model:
         """Tables for scoring: keys with values and a one beside them, and the weights of distances.
@@ -176,18 +207,10 @@ class Model:
         Sequences stand one after another in blocks of STEP, a block of padding before each, and windows overlap by one
         block: keys and values are looked up once and windows are views of them.
         """
-        sizes = np.array([len(s) for s in symbols], np.int64)
-        blocks = -(-(sizes + 1) // STEP) + 1
-        ends = np.cumsum(blocks) * STEP
-        at = ends - blocks * STEP + STEP
-        flat, goal = np.zeros(int(ends[-1]) if len(ends) else 0, np.int32), np.zeros(int(ends[-1]) if len(ends) else 0, np.int32)
-        if len(symbols):
-            place = np.repeat(at - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-            goal[place] = np.concatenate(symbols)
-            flat[at], flat[place + 1], goal[at + sizes] = 1, goal[place], 2
+        flat, goal, at, blocks = _blocks(symbols, np.array([len(s) for s in symbols], np.int64))
         rows, own, out = flat.reshape(-1, STEP), np.repeat(np.arange(len(symbols)), blocks), np.zeros(len(symbols))
-        for low in range(1, len(rows), 1024):  # windows of blocks low - 1 and low, and so on
-            part = rows[low - 1 : low + 1024]
+        for low in range(1, len(rows), 512):  # windows of blocks low - 1 and low, and so on
+            part = rows[low - 1 : low + 512]
             wants = goal[low * STEP : (low + len(part) - 1) * STEP]
             found = np.flatnonzero(wants)
             h = np.ones((len(found), WIDTH + 1), np.float32)
@@ -236,52 +259,80 @@ class Model:
         return found
 
     def train(self, x: np.ndarray, y: np.ndarray, adam: Adam, batch: int = BATCH) -> None:
-        """One pass over windows, in an order of the optimiser's."""
+        """One pass over runs of windows, in an order of the optimiser's, in steps of about `batch` windows."""
         order = adam.rng.permutation(len(x))
-        for at in range(0, len(order), batch):
-            pick = order[at : at + batch]
+        many = max(1, batch * STEP // y.shape[1])
+        for at in range(0, len(order), many):
+            pick = order[at : at + many]
             adam.step(self.p, self.gradient(x[pick], y[pick], False)[1])
 
     def gradient(self, x: np.ndarray, y: np.ndarray, with_loss: bool = True) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean loss over the targets (zero unless asked for), and its gradient."""
+        """Mean loss over the targets of runs of windows (zero unless asked for), and its gradient."""
         p, g = self.p, {}
-        h, s, q, k, v = self.attend(x)
-        rows, cols = np.nonzero(y)
-        group = self.of[y[rows, cols]] // self.per
-        order = np.argsort(group.astype(np.uint16), kind="stable")  # targets of one class stand together
-        rows, cols, group = rows[order], cols[order], group[order]
-        hs, member = h[rows, cols], self.of[y[rows, cols]] - group * self.per
+        table, far, most = self.tables()
+        h, e, q, k, v, mean, total = self.attend(x, table, far, most)
+        spots = np.flatnonzero(y)
+        member = self.of[y.ravel()[spots]]
+        group = self.group[member]
+        order = np.argsort(group, kind="stable")  # targets of one class stand together
+        spots, member, group = spots[order], member[order], group[order].astype(np.int64)
+        member -= group.astype(member.dtype) * self.per
         n, at = len(group), np.arange(len(group))
-        z = hs @ p["c"].T
-        z += p["cb"]
-        loss, z = _softmax_loss(z, group, at, n, with_loss)
-        g["c"], g["cb"] = z.T @ hs, z.sum(0)
+        hs = np.ones((n, WIDTH + 1), h.dtype)
+        hs[:, :WIDTH] = h.reshape(-1, WIDTH)[spots]
+        wide = with_loss or self._steep()
+        z = hs @ np.hstack([p["c"], p["cb"][:, None]]).T
+        loss, z = _softmax_loss(z, group, at, n, with_loss, wide)
+        both = z.T @ hs
+        g["c"], g["cb"] = both[:, :WIDTH], both[:, WIDTH]
         dh = z @ p["c"]
-        g["d"], g["db"] = np.zeros_like(p["d"]), np.zeros_like(p["db"])
+        weights = np.concatenate((p["d"], p["db"][:, :, None]), axis=2)
+        both = np.zeros_like(weights)
         a = 0
         for c, b in enumerate(np.cumsum(np.bincount(group, minlength=self.classes + 1)).tolist()[: self.classes]):
             if b > a:
-                z = hs[a:b] @ p["d"][c].T
-                z += p["db"][c]
-                part, z = _softmax_loss(z, member[a:b], at[: b - a], n, with_loss)
+                rows, to = hs[a:b], weights[c]
+                part, z = _softmax_loss(rows @ to.T, member[a:b], at[: b - a], n, with_loss, wide)
                 loss += part
-                g["d"][c], g["db"][c] = z.T @ hs[a:b], z.sum(0)
+                np.matmul(z.T, rows, out=both[c])
                 dh[a:b] += z @ p["d"][c]
             a = b
+        g["d"], g["db"] = both[:, :, :WIDTH], both[:, :, WIDTH]
+        hs *= hs
+        np.subtract(1, hs, out=hs)
+        dh *= hs[:, :WIDTH]
         full = np.zeros_like(h)
-        full[rows, cols] = dh * (1 - hs * hs)
-        g["bias"] = full.sum((0, 1))
-        ds = full @ v.transpose(0, 2, 1)
-        ds -= (ds * s).sum(2, keepdims=True)
-        ds *= s
-        far = np.bincount(self.gap[self.seen], weights=ds.sum(0)[self.seen], minlength=2 * STEP)
-        g["far"] = far.astype(p["far"].dtype)
-        size = len(p["q"])
-        g["one"], g["q"] = _scattered(x[:, STEP:], size, full, ds @ k)
-        (g["two"],) = _scattered(x[:, STEP - 1 : -1], size, full)
-        g["v"], g["k"] = _scattered(x, size, s.transpose(0, 2, 1) @ full, ds.transpose(0, 2, 1) @ q)
+        full.reshape(-1, WIDTH)[spots] = dh
+        g["bias"] = np.ones(n, h.dtype) @ dh
+        # Back through the weighted means, and through their sum in a last column.
+        du = np.empty((*full.shape[:3], WIDTH + 1), h.dtype)
+        np.divide(full, total, out=du[..., :WIDTH])
+        np.negative(np.einsum("nrsw,nrsw->nrs", du[..., :WIDTH], mean), out=du[..., WIDTH])
+        ds = du @ v.transpose(0, 1, 3, 2)
+        ds *= e
+        moved = np.ones(ds.shape[0] * ds.shape[1], ds.dtype) @ ds.reshape(-1, STEP * 2 * STEP)
+        g["far"] = np.bincount(self.gap[self.seen], weights=moved.reshape(STEP, -1)[self.seen], minlength=2 * STEP).astype(far.dtype)
+        # What each place of x adds to the row of its symbol.
+        out = np.zeros((*x.shape, table.shape[1]), h.dtype)
+        for columns, left, right in ((_V, e, du), (_K, ds, q)):
+            left = left.transpose(0, 1, 3, 2)
+            # The windows of even place lie apart, and so do those of odd place.
+            np.matmul(left[:, ::2], right[:, ::2], out=_apart(out[:, :, columns], 2))
+            if y.shape[1] > STEP:
+                odd = _apart(out[:, STEP:, columns], 2)
+                odd += left[:, 1::2] @ right[:, 1::2]
+        np.matmul(ds, k, out=_apart(out[:, STEP:, _Q]))
+        _apart(out[:, STEP:, _ONE])[:] = full
+        _apart(out[:, STEP - 1 : -1, _TWO])[:] = full
+        sums = _scattered(x, len(table), out)
+        g["v"], g["q"], g["k"], g["one"], g["two"] = sums[:, :WIDTH], sums[:, _Q], sums[:, _K], sums[:, _ONE], sums[:, _TWO]
         return float(loss / n), g
 
+    def _steep(self) -> bool:
+        """Whether scores of classes or members may be so far from zero that exp overflows in single precision; hidden states are bounded by tanh."""
+        p = self.p
+        return max(float((np.abs(p[w]).sum(-1) + np.abs(p[b])).max()) for w, b in (("c", "cb"), ("d", "db"))) > 60
+
     def flat(self) -> np.ndarray:
         """All weights in one row."""
         return np.concatenate([self.p[k].ravel() for k in sorted(self.p)]).astype(np.float32)
@@ -310,35 +361,71 @@ class Adam:
         for k in p:
             if k not in self.m:
                 self.m[k], self.s[k] = np.zeros_like(p[k]), np.zeros_like(p[k])
-            self.m[k] += 0.1 * (g[k] - self.m[k])
-            self.s[k] += 0.01 * (g[k] * g[k] - self.s[k])
-            p[k] -= ((rate / low) * self.m[k] / (np.sqrt(self.s[k] / high) + 1e-8)).astype(p[k].dtype)
-
-
-def _softmax_loss(z: np.ndarray, goal: np.ndarray, at: np.ndarray, n: int, with_loss: bool) -> tuple[float, np.ndarray]:
-    """The summed loss of rows of scores, if asked for, and its gradient by n in place of them."""
-    if with_loss or np.abs(z).max() > 60:  # beyond that, exp overflows in single precision
+            m, s, d = self.m[k], self.s[k], np.ascontiguousarray(g[k])
+            part = d * p[k].dtype.type(0.1)
+            m *= 0.9
+            m += part
+            np.multiply(part, d, out=part)
+            part *= 0.1
+            s *= 0.99
+            s += part
+            np.sqrt(s, out=part)
+            part += 1e-8 * math.sqrt(high)
+            np.divide(m, part, out=part)
+            part *= rate / low * math.sqrt(high)
+            p[k] -= part
+
+
+def _softmax_loss(z: np.ndarray, goal: np.ndarray, at: np.ndarray, n: int, with_loss: bool, wide: bool) -> tuple[float, np.ndarray]:
+    """The summed loss of rows of scores, if asked for, and its gradient by n in place of them; `wide` scores are taken from the rows' maxima."""
+    if wide:
         z -= z.max(axis=1, keepdims=True)
     own = z[at, goal] if with_loss else None
     np.exp(z, out=z)
     sums = z @ np.ones(z.shape[1], z.dtype)
-    z /= (n * sums)[:, None]
+    z *= (1 / (n * sums))[:, None]
     z[at, goal] -= 1 / n
     return float((np.log(sums) - own).sum()) if with_loss else 0.0, z
 
 
-def _scattered(index: np.ndarray, size: int, *grads: np.ndarray) -> list[np.ndarray]:
-    """Sums of gradients by the row of the table that they belong to."""
+def _blocks(symbols: list[np.ndarray], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Inputs and targets of sequences one after another in blocks of STEP, a block of padding before each; where each begins, and its blocks."""
+    blocks = -(-(sizes + 1) // STEP) + 1
+    ends = np.cumsum(blocks) * STEP
+    at = ends - blocks * STEP + STEP
+    flat, goal = np.zeros(int(ends[-1]) if len(ends) else 0, np.int32), np.zeros(int(ends[-1]) if len(ends) else 0, np.int32)
+    if len(symbols):
+        place = np.repeat(at - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+        goal[place] = np.concatenate(symbols)
+        flat[at], flat[place + 1], goal[at + sizes] = 1, goal[place], 2
+    return flat, goal, at, blocks
+
+
+def _halves(a: np.ndarray, blocks: int) -> np.ndarray:
+    """A view [n, runs, blocks STEP, width] of a [n, length, width], each run one block after the last."""
+    runs = a.shape[1] // STEP - blocks + 1
+    return np.lib.stride_tricks.as_strided(a, (len(a), runs, blocks * STEP, a.shape[2]), (a.strides[0], STEP * a.strides[1], *a.strides[1:]), writeable=False)
+
+
+def _apart(a: np.ndarray, blocks: int = 1) -> np.ndarray:
+    """A view [n, parts, blocks STEP, width] of a [n, length, width] that may be written to, as the parts don't overlap."""
+    many = blocks * STEP
+    return np.lib.stride_tricks.as_strided(a, (len(a), a.shape[1] // many, many, a.shape[2]), (a.strides[0], many * a.strides[1], *a.strides[1:]))
+
+
+def _scattered(index: np.ndarray, size: int, grads: np.ndarray, wide: int = 16) -> np.ndarray:
+    """Sums of gradients by the row of the table that they belong to: products with ones, for `wide` rows of the table at a time."""
     flat = index.ravel()
     order = np.argsort(flat.astype(np.uint16) if size <= 1 << 16 else flat, kind="stable")
-    flat = flat[order]
-    first = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
-    out = []
-    for g in grads:
-        table = np.zeros((size, g.shape[-1]), g.dtype)
-        table[flat[first]] = np.add.reduceat(g.reshape(-1, g.shape[-1])[order], first, axis=0)
-        out.append(table)
-    return out
+    flat, rows = flat[order], grads.reshape(-1, grads.shape[-1])[order]
+    ones = np.zeros((len(flat), wide), rows.dtype)
+    ones.reshape(-1)[np.arange(len(flat)) * wide + flat % wide] = 1
+    table = np.zeros((-(-size // wide) * wide, rows.shape[1]), rows.dtype)
+    stops = np.searchsorted(flat, np.arange(0, len(table) + wide, wide)).tolist()
+    for k, (a, b) in enumerate(zip(stops[:-1], stops[1:], strict=True)):
+        if b > a:
+            np.matmul(ones[a:b].T, rows[a:b], out=table[k * wide : (k + 1) * wide])
+    return table[:size]
 
 
 def held_out() -> F.Column:
@@ -515,9 +602,9 @@ def learnt(rows: DataFrame, model: Model, windows: int, least: int, rounds: int,
                 for low in range(0, arrow.num_rows, 64):
                     part = arrow.slice(low, 64)
                     symbols = [np.frombuffer(b, np.uint16).astype(np.int32) for b in part.column(0).to_pylist()]
-                    x, y, _ = own.windows(symbols)
-                    held.append((x, y))
-                    size, seen = size + len(x), seen + len(x)
+                    held.append(own.runs(symbols))
+                    n = sum(len(s) // STEP + 1 for s in symbols)
+                    size, seen = size + n, seen + n
                     if size >= PART:
                         learn()
                         size = 0

@@ -94,6 +94,31 @@ def test_scoring_equals_the_training_path():
         assert abs(fast[k] + model.gradient(x, y)[0] * (len(one) + 1)) < 1e-3
 
 
+def test_runs_hold_the_same_windows_and_gradient():
+    r = np.random.default_rng(3)
+    model = lm_scoring.Model(r.integers(1, 50, 200), 9, heads=100)
+    model.p = {k: v.astype(np.float64) + r.normal(0, 0.3, v.shape) for k, v in model.p.items()}
+    symbols = [r.integers(3, 103, n).astype(np.int32) for n in (0, 1, 15, 16, 17, 200, 31, 0, 500)]
+    x, y, _ = model.windows(symbols)
+    ins, outs = model.runs(symbols)
+    step = lm_scoring.STEP
+    parts = [(a[at : at + 2 * step], b[at : at + step]) for a, b in zip(ins, outs) for at in range(0, len(b), step) if b[at : at + step].any()]
+    assert np.array_equal([a for a, _ in parts], x) and np.array_equal([b for _, b in parts], y)
+    for scale in (1, 40):  # the second beyond what exp takes in single precision
+        model.p["q"] = model.p["q"] * scale
+        (one, want), (two, found) = model.gradient(x, y), model.gradient(ins, outs)
+        assert abs(one - two) < 1e-9 and all(np.abs(want[k] - found[k]).max() < 1e-9 for k in want)
+        assert all(np.abs(v - found[k]).max() < 1e-9 for k, v in model.gradient(ins, outs, False)[1].items())
+
+
+def test_gradients_are_added_up_by_symbol():
+    r = np.random.default_rng(4)
+    index, grads = r.integers(0, 37, (9, 20)) ** 2 % 50, r.normal(0, 1, (9, 20, 5))
+    want = np.zeros((51, 5))
+    np.add.at(want, index.ravel(), grads.reshape(-1, 5))
+    assert np.abs(lm_scoring._scattered(index, 51, grads) - want).max() < 1e-12
+
+
 def test_training_reads_every_training_document(spark, monkeypatch):
     # With dense windows, what the trainers see is every block of every training document.
     data = [(i, prose(5 + 13 * i, 600 + i), "a") for i in range(40)] + [(None, prose(30, 9), "a"), (3, None, "a")]
