@@ -144,3 +144,29 @@ def test_products_are_enough():
     assert np.allclose(solved(lambda v: a @ v + v, b), np.linalg.solve(a + np.eye(200), b), atol=1e-8)
     flat = np.diag([0.0] * 5 + [1.0] * 195)  # a value that several vectors share
     assert np.allclose(krylov(lambda v: flat @ v, 200, 3, largest=False)[0], 0, atol=1e-10)
+
+
+@pytest.fixture(scope="module")
+def flat_kernel(spark):
+    """Kernel values near 1 of 400 rows of length 1, in three groups that hardly differ."""
+    x = np.random.default_rng(5).normal(size=(400, 8))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    df = spark.createDataFrame([(int(i), r.tolist(), int(i % 3), float(r[0])) for i, r in enumerate(x)], "id long, features array<double>, label int, target double")
+    return preprocessing.KernelCalculator(gamma=0.01).fit_transform(df)
+
+
+def test_kernel_fda_of_known_rows_takes_few_products(flat_kernel, monkeypatch):
+    from quern.functions.kernels import KernelTable
+
+    calls, times = [], KernelTable.times
+    monkeypatch.setattr(KernelTable, "times", lambda *a: calls.append(1) or times(*a))
+    k, y = collected(flat_kernel, ["features", "label"], 0)
+    model = kernel.KernelFDA(limit=50).fit(flat_kernel)
+    assert 0 < len(calls) <= 30
+    gaps = np.stack([(k[y == c].mean(0) - k.mean(0)) * np.sqrt((y == c).sum()) for c in range(3)], axis=1)
+    own = k - np.stack([k[y == c].mean(0) for c in range(3)])[y]
+    x = np.linalg.solve(own.T @ own + 1e-8 * np.eye(400), gaps)
+    size, turn = top_eigen(gaps.T @ x, 2)
+    want = k @ (x @ (turn / np.sqrt(size)))
+    got = values(model.transform(flat_kernel))
+    assert np.abs(np.abs(got - got.mean(0)) - np.abs(want - want.mean(0))).max() <= 1e-3 * np.abs(want - want.mean(0)).max()
