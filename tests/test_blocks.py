@@ -170,3 +170,13 @@ def test_kernel_fda_of_known_rows_takes_few_products(flat_kernel, monkeypatch):
     want = k @ (x @ (turn / np.sqrt(size)))
     got = values(model.transform(flat_kernel))
     assert np.abs(np.abs(got - got.mean(0)) - np.abs(want - want.mean(0))).max() <= 1e-3 * np.abs(want - want.mean(0)).max()
+
+
+def test_snn_sends_links_not_labels_of_all_rows_a_block(rows, monkeypatch):
+    from quern.functions.blocks import Blocks
+
+    sent, run = [], Blocks._run
+    monkeypatch.setattr(Blocks, "_run", lambda *a: sent.append(out := run(*a)) or out)
+    monkeypatch.setattr(clustering, "Blocks", lambda spark, x: Blocks(spark, x, 2 * len(x)))
+    clustering.SNN(10, 5, 5).fit(rows)
+    assert max(sum(a.size for part in out for a in part) for out in sent) <= 16 * 150
