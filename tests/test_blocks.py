@@ -180,3 +180,15 @@ def test_snn_sends_links_not_labels_of_all_rows_a_block(rows, monkeypatch):
     monkeypatch.setattr(clustering, "Blocks", lambda spark, x: Blocks(spark, x, 2 * len(x)))
     clustering.SNN(10, 5, 5).fit(rows)
     assert max(sum(a.size for part in out for a in part) for out in sent) <= 16 * 150
+
+
+def test_mds_makes_a_tile_once_for_both_sides(spark, monkeypatch):
+    from quern.functions.blocks import Blocks
+
+    x = np.random.default_rng(8).normal(size=(1100, 4))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, features array<double>")
+    passes, paired = [], Blocks.paired
+    monkeypatch.setattr(Blocks, "paired", lambda *a: passes.append(1) or paired(*a))
+    want, found = (manifold.MDS(2, max_iter=2, limit=n).fit(df) for n in (2000, 50))
+    assert len(passes) == 3
+    assert np.abs(want.embedding - found.embedding).max() <= 1e-9 and abs(want.stress - found.stress) <= 1e-9 * want.stress
