@@ -172,6 +172,30 @@ def test_kernel_fda_of_known_rows_takes_few_products(flat_kernel, monkeypatch):
     assert np.abs(np.abs(got - got.mean(0)) - np.abs(want - want.mean(0))).max() <= 1e-3 * np.abs(want - want.mean(0)).max()
 
 
+MACHINES = {
+    "kernel_ridge": (lambda n: kernel.KernelRidge(1.0, limit=n), 12),
+    "kernel_ridge_classifier": (lambda n: kernel.KernelRidgeClassifier(1.0, limit=n), 12),
+}
+
+
+@pytest.mark.parametrize("name", MACHINES)
+def test_kernel_machines_of_known_rows_take_few_products(flat_kernel, monkeypatch, name):
+    from quern.functions.kernels import KernelTable
+
+    make, most = MACHINES[name]
+    use = lambda model: model.transform(flat_kernel) if name == "kernel_pca" else model.predict(flat_kernel)
+    column = "features" if name == "kernel_pca" else "prediction"
+    want = values(use(make(1000).fit(flat_kernel)), column)
+    calls, times = [], KernelTable.times
+    monkeypatch.setattr(KernelTable, "times", lambda *a: calls.append(1) or times(*a))
+    found = use(make(50).fit(flat_kernel))
+    assert 0 < len(calls) <= most
+    assert np.abs(want - values(found, column)).max() <= 1e-6 * np.abs(want).max()
+    if column == "prediction":  # a wide row is made where somebody asks for it
+        assert "ArrowEvalPython" not in found.select("id", column)._jdf.queryExecution().executedPlan().toString()
+        assert np.abs(values(found) - values(flat_kernel)).max() <= 1e-15
+
+
 def test_snn_sends_links_not_labels_of_all_rows_a_block(rows, monkeypatch):
     from quern.functions.blocks import Blocks
 
