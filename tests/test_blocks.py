@@ -175,6 +175,7 @@ def test_kernel_fda_of_known_rows_takes_few_products(flat_kernel, monkeypatch):
 MACHINES = {
     "kernel_ridge": (lambda n: kernel.KernelRidge(1.0, limit=n), 12),
     "kernel_ridge_classifier": (lambda n: kernel.KernelRidgeClassifier(1.0, limit=n), 12),
+    "kernel_pca": (lambda n: kernel.KernelPCA(2, limit=n), 6),
 }
 
 
