@@ -217,3 +217,17 @@ def test_mds_makes_a_tile_once_for_both_sides(spark, monkeypatch):
     want, found = (manifold.MDS(2, max_iter=2, limit=n).fit(df) for n in (2000, 50))
     assert len(passes) == 3
     assert np.abs(want.embedding - found.embedding).max() <= 1e-9 and abs(want.stress - found.stress) <= 1e-9 * want.stress
+
+
+def test_lle_weighs_many_rows_at_a_time_beyond_limit(rows, monkeypatch):
+    monkeypatch.setattr(manifold.LocallyLinearEmbedding, "_weights", None)  # a call for each row
+    model = manifold.LocallyLinearEmbedding(2, 60, limit=50).fit(rows)
+    x, near = model.training, model._near(rows, model.training)
+    m = np.zeros((len(x), len(x)))
+    for i, at in enumerate(near):
+        g = (x[at] - x[i]) @ (x[at] - x[i]).T
+        w = np.linalg.solve(g + np.eye(60) * 1e-3 * np.trace(g), np.ones(60))
+        row = np.append(-w / w.sum(), 1.0)
+        m[np.ix_(np.append(at, i), np.append(at, i))] += np.outer(row, row)
+    want = top_eigen(m, 3, largest=False)[1][:, 1:]
+    assert np.abs(want - model.embedding).max() <= 1e-5
